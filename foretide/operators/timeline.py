@@ -15,6 +15,7 @@ identical for every width (tested).
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -126,11 +127,52 @@ def row_numbers(df: DataFrame, line: Timeline, name: str = "rn") -> DataFrame:
     return running(df, line, sums={name: F.lit(1).cast("long")})
 
 
+def running_pairs(
+    df: DataFrame,
+    line: Timeline,
+    columns: dict[str, Column],
+    sums: dict[str, Callable[[Column, Column], Column]],
+) -> DataFrame:
+    """Running sums of a function of each row and the row before it.
+
+    ``columns`` are the values both sides offer; every function gets (previous,
+    current) structs, with a null previous on an entity's first row.  Pairs inside a
+    slice are summed there, the one pair across a boundary is evaluated on the
+    slices' last and first rows.
+    """
+    payload = F.struct(*[e.alias(n) for n, e in columns.items()])
+    rows = sliced(df, line).withColumn("_now", payload)
+    rows = rows.withColumn("_before", F.lag("_now").over(line.local()))
+    for n, f in sums.items():
+        inside = F.when(F.col("_before").isNotNull(), f(F.col("_before"), F.col("_now")))
+        rows = rows.withColumn(f"_in_{n}", F.coalesce(inside, F.lit(0)))
+    per = rows.groupBy(*line.cells).agg(
+        F.min_by("_now", line.position()).alias("_first"),
+        F.max_by("_now", line.position()).alias("_last"),
+        *[F.sum(f"_in_{n}").alias(f"_s_{n}") for n in sums],
+    )
+    per = per.withColumn("_prev", F.lag("_last").over(line.across()))
+    upto = line.across().rowsBetween(Window.unboundedPreceding, 0)
+    for n, f in sums.items():
+        edge = F.coalesce(f(F.col("_prev"), F.col("_first")), F.lit(0))
+        per = per.withColumn(f"_e_{n}", edge)
+        # All earlier slices' inner sums, and every boundary up to this slice's own.
+        per = per.withColumn(
+            f"_c_{n}", F.sum(F.col(f"_s_{n}") + F.col(f"_e_{n}")).over(upto) - F.col(f"_s_{n}")
+        )
+    carry = per.select(*line.cells, *[f"_c_{n}" for n in sums])
+    frame = line.local().rowsBetween(Window.unboundedPreceding, 0)
+    out = [(F.sum(f"_in_{n}").over(frame) + F.col(f"_c_{n}")).alias(n) for n in sums]
+    return rows.join(carry, line.cells).select(*[c for c in df.columns if c not in sums], *out)
+
+
 def islands(df: DataFrame, line: Timeline, value: Column, name: str = "island") -> DataFrame:
     """Number maximal runs of consecutive rows with equal ``value`` (null-safe)."""
-    marked = previous_row(df.withColumn("_v", value), line, {"_pv": F.col("_v")})
-    start = (~F.col("_has_prev")) | (~F.col("_v").eqNullSafe(F.col("_pv")))
-    return running(marked, line, sums={name: start.cast("long")}).drop("_v", "_pv", "_has_prev")
+
+    def start(before: Column, now: Column) -> Column:
+        return (before.isNull() | ~before["v"].eqNullSafe(now["v"])).cast("long")
+
+    return running_pairs(df, line, {"v": value}, {name: start})
 
 
 def with_earlier_rows(df: DataFrame, line: Timeline, n: int) -> DataFrame:

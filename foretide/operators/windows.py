@@ -17,6 +17,7 @@ from foretide.operators.timeline import (
     previous_row,
     row_numbers,
     running,
+    running_pairs,
     with_earlier_rows,
     with_earlier_time,
 )
@@ -99,15 +100,20 @@ def segment_ids(df: DataFrame, line: Timeline, wall: str, max_active: float = 60
     ``changed`` is set.  ``last_resume`` and ``changed`` are optional columns: a point
     lies in between exactly when the last resume is later than the previous row.
     """
-    clock = F.col(line.clock)
-    p = previous_row(df, line, {"_a": clock, "_w": F.col(wall)})
-    start = ~F.col("_has_prev") | (clock <= F.col("_a")) | (clock - F.col("_a") > max_active)
-    start = start | (F.col(wall) - F.col("_w") > max_wall)
-    if "last_resume" in df.columns:
-        start = start | (F.col("last_resume") > F.col("_a"))
-    if "changed" in df.columns:
-        start = start | F.col("changed")
-    return running(p, line, sums={"segment": F.coalesce(start, F.lit(True)).cast("long")}).drop("_a", "_w", "_has_prev")
+    columns = {"a": F.col(line.clock), "w": F.col(wall)}
+    for optional in ("last_resume", "changed"):
+        if optional in df.columns:
+            columns[optional] = F.col(optional)
+
+    def start(p: Column, c: Column) -> Column:
+        cut = (c["a"] <= p["a"]) | (c["a"] - p["a"] > max_active) | (c["w"] - p["w"] > max_wall)
+        if "last_resume" in columns:
+            cut = cut | (c["last_resume"] > p["a"])
+        if "changed" in columns:
+            cut = cut | c["changed"]
+        return F.when(p.isNull() | F.coalesce(cut, F.lit(True)), F.lit(1)).otherwise(F.lit(0)).cast("long")
+
+    return running_pairs(df, line, columns, {"segment": start})
 
 
 def context_validity(frames: DataFrame, line: Timeline, rows: int = 33) -> DataFrame:
@@ -135,9 +141,11 @@ def active_clock(events: DataFrame, line: Timeline, started: str = "active") ->
     ``state`` is the state an event switches to; before the first event nothing
     has elapsed.
     """
-    p = previous_row(events, line, {"_t": F.col(line.clock), "_s": F.col("state")})
-    spent = F.when(F.col("_has_prev") & (F.col("_s") == started), F.col(line.clock) - F.col("_t")).otherwise(F.lit(0))
-    return running(p, line, sums={"active_elapsed": spent}).drop("_t", "_s", "_has_prev")
+
+    def spent(p: Column, c: Column) -> Column:
+        return F.when(p["s"] == started, c["t"] - p["t"]).otherwise(F.lit(0))
+
+    return running_pairs(events, line, {"t": F.col(line.clock), "s": F.col("state")}, {"active_elapsed": spent})
 
 
 def running_max(df: DataFrame, line: Timeline, value: str, name: str = "running_max") -> DataFrame:
@@ -467,49 +475,49 @@ def per_second(preds: DataFrame, line: Timeline, seconds: Column) -> DataFrame:
 
 
 def alert_states(
-    preds: DataFrame, line: Timeline, on: int = 3, off: int = 3, threshold: float = 0.5, gap: float = 1.6
+    preds: DataFrame, line: Timeline, on: int = 3, off: int = 3, threshold: float = 0.5, gap: float = 1.6, unit: int = 1000
 ) -> DataFrame:
     """Hysteresis alert state per sampled prediction: adds ``active`` and ``onset``.
 
-    ``preds`` has ``p``, ``t`` (seconds), ``segment``.  Predictions are thinned to one
-    per second and segment (rows without a finite p before the first finite one are
-    kept, and reset everything).  A row switches the alert on when it and the
-    ``on - 1`` rows before it all exceed the threshold, off likewise; the state is the
-    last switch so far.  Nothing reaches across a segment change, gap or reset.
+    ``preds`` has ``p``, ``t`` (seconds, the line's clock / ``unit``) and ``segment``
+    (never falling along a run).  Predictions are thinned to one per second and
+    segment; rows without a finite p before the first finite one are kept, and reset
+    everything.  A row switches the alert on when it and the ``on - 1`` sampled rows
+    before it all exceed the threshold, off likewise, and a segment change, gap or
+    reset switches it off; the state is the last switch so far.  Streaks end at gaps,
+    so they only ever see ``max(on, off) * gap`` seconds back.
     """
     finite = ~(F.col("p").isNull() | F.isnan("p") | (F.abs("p") == float("inf")))
-    rows = preds.withColumn("_ok", finite)
-    rows = islands(rows, line, F.struct("segment", F.floor("t")), "_bucket")
-    # A bucket holds at most one second of one run.
-    inside = Window.partitionBy(*line.keys, "_bucket").orderBy(*line.order).rowsBetween(Window.unboundedPreceding, -1)
-    kept = rows.withColumn("_seen", F.coalesce(F.max(F.col("_ok").cast("int")).over(inside), F.lit(0))).where("_seen = 0")
-    p = previous_row(kept, line, {"_ps": F.col("segment"), "_pt": F.col("t"), "_pok": F.col("_ok")})
+    # One partition holds one second of one run.
+    second = Window.partitionBy(*line.keys, "segment", F.floor("t")).orderBy(*line.order)
+    seen = F.max(F.col("_ok").cast("int")).over(second.rowsBetween(Window.unboundedPreceding, -1))
+    kept = preds.withColumn("_ok", finite).withColumn("_seen", F.coalesce(seen, F.lit(0))).where("_seen = 0").drop("_seen")
+    padded = with_earlier_time(kept, line, int(max(on, off) * gap * unit))
+    w = line.local()
+    before = F.lag(F.struct("segment", "t", "_ok")).over(w)
+    rows = padded.withColumn("_b", before)
     cut = (
-        ~F.col("_has_prev") | ~F.col("_pok") | ~F.col("_ok") | (F.col("segment") != F.col("_ps"))
-        | (F.col("t") - F.col("_pt") > gap)
+        F.col("_b").isNull() | ~F.col("_b._ok") | ~F.col("_ok") | (F.col("segment") != F.col("_b.segment"))
+        | (F.col("t") - F.col("_b.t") > gap)
     )
-    grouped = running(p, line, sums={"_group": F.coalesce(cut, F.lit(True)).cast("long")}).where("_ok")
-    grouped = grouped.select(*[c for c in preds.columns], "_group")
-    side = F.when(F.col("p") > threshold, 1).when(F.col("p") < threshold, -1).otherwise(0)
-    padded = with_earlier_rows(grouped.withColumn("_side", side), line, max(on, off) - 1)
-    w = line.local()
+    side = F.when(~F.col("_ok"), 0).when(F.col("p") > threshold, 1).when(F.col("p") < threshold, -1).otherwise(0)
+    rows = rows.withColumn("_cut", cut).withColumn("_side", side)
 
     def streak(n: int, sign: int) -> Column:
-        f = w.rowsBetween(-(n - 1), 0)
-        return (F.min(F.when(F.col("_side") == sign, F.col("_group")).otherwise(-1)).over(f) == F.col("_group")) & (
-            F.count("*").over(f) == n
+        all_on_side = (F.min((F.col("_side") == sign).cast("int")).over(w.rowsBetween(-(n - 1), 0)) == 1) & (
+            F.count("*").over(w.rowsBetween(-(n - 1), 0)) == n
         )
-
-    # The group number never falls, so its minimum over the frame equals the current
-    # one only if all rows of the frame are in the group and on the same side.
-    switch = F.when(streak(on, 1), 1).when(streak(off, -1), 0)
-    marked = drop_halo(padded.withColumn("_switch", switch))
-    in_group = Timeline((*line.keys, "_group"), line.order, line.clock, line.width)
-    now = running(marked, in_group, lasts={"_now": F.col("_switch")})
-    now = now.withColumn("active", F.coalesce(F.col("_now") == 1, F.lit(False)))
-    before = previous_row(now, in_group, {"_was": F.col("active")})
-    return before.withColumn("onset", F.col("active") & ~F.coalesce("_was", F.lit(False))).drop(
-        "_was", "_has_prev", "_now", "_switch", "_side", "_group"
+        if n == 1:
+            return all_on_side
+        return all_on_side & (F.max(F.col("_cut").cast("int")).over(w.rowsBetween(-(n - 2), 0)) == 0)
+
+    switch = F.when(streak(on, 1), 1).when(streak(off, -1) | F.col("_cut"), 0)
+    marked = drop_halo(rows.withColumn("_switch", switch)).select(*preds.columns, "_ok", "_cut", "_switch")
+    state = running(marked, line, lasts={"_was": F.col("_switch")}, inclusive=False)
+    active = F.coalesce(F.coalesce("_switch", "_was") == 1, F.lit(False))
+    was = F.coalesce(F.col("_was") == 1, F.lit(False)) & ~F.col("_cut")
+    return (
+        state.where("_ok").withColumn("active", active).withColumn("onset", active & ~was).select(*preds.columns, "active", "onset")
     )
 
 

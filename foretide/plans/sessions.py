@@ -60,10 +60,10 @@ def _(spark, d):
 
 @query(
     "f05_expected_remaining",
-    f"select session_id, event_id, round({V.trapezoid_sql(V.MS, HORIZONS)}, 6) as remaining from fx_predictions",
+    f"select session_id, event_id, round({V.trapezoid_sql(V.MS, HORIZONS)}, 9) as remaining from fx_predictions",
 )
 def _(spark, d):
-    return V.predictions(spark, d).select(*KEY, R(S.expected_remaining(C("m"))).alias("remaining"))
+    return V.predictions(spark, d).select(*KEY, R(S.expected_remaining(C("m")), 9).alias("remaining"))
 
 
 @query("f06_failure_targets", "select session_id, event_id, " + ", ".join(f"y{i}" for i in range(7)) + " from fx_labelled")
@@ -193,9 +193,9 @@ def _(spark, d):
     return e.join(nxt, "vec_id", "left").select("vec_id", R(S.average_motion(C("embedding"), C("b"))).alias("motion"))
 
 
-@query("f18_clamp_motion", "select session_id, event_id, round(greatest(0.0, least(1.0, motion/32.0)), 6) as m from fx_obs")
+@query("f18_clamp_motion", "select session_id, event_id, round(greatest(0.0, least(1.0, motion/32.0)), 9) as m from fx_obs")
 def _(spark, d):
-    return V.obs(spark, d).select(*KEY, R(S.clamp_motion(C("motion"))).alias("m"))
+    return V.obs(spark, d).select(*KEY, R(S.clamp_motion(C("motion")), 9).alias("m"))
 
 
 @query(
@@ -212,9 +212,8 @@ def _(spark, d):
 @query("f20_iso_to_ms", "select event_id, epoch_us(ts)//1000 as ms from events")
 def _(spark, d):
     e = V.read(spark, d, "events")
-    return e.select("event_id", S.iso_to_ms(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSXXX")).alias("ms")) if False else e.select(
-        "event_id", S.iso_to_ms(F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z"))).alias("ms")
-    )
+    text = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z"))
+    return e.select("event_id", S.iso_to_ms(text).alias("ms"))
 
 
 @query(
@@ -292,16 +291,16 @@ def _(spark, d):
 
 @query(
     "pf02_prediction_view",
-    "select session_id, event_id, case when event_id % 13 = 0 then 0 else 7 end as horizons, case when event_id % 13 = 0 then null else round(round(m4, 5), 5) end as p30 from fx_predictions",
+    "select session_id, event_id, case when event_id % 13 = 0 then 0 else 7 end as horizons, case when event_id % 13 = 0 then null else round(m4, 9) end as p30 from fx_predictions",
 )
 def _(spark, d):
     from foretide.sources import store
 
     p = V.predictions(spark, d)
-    doc = F.when(C("event_id") % 13 != 0, store.probability_json(C("m")))
+    doc = F.when(C("event_id") % 13 != 0, store.probability_json(C("m"), digits=12))
     v = store.prediction_view(p.withColumn("failure_probabilities", doc))
     return v.select(
-        *KEY, F.size("failure_probabilities").alias("horizons"), R(C("failure_probabilities")["30"], 5).alias("p30")
+        *KEY, F.size("failure_probabilities").alias("horizons"), R(C("failure_probabilities")["30"], 9).alias("p30")
     )
 
 
