@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from foretide.plans import sessions, timelines  # noqa: F401
+from foretide.plans import forecasts, sessions, timelines  # noqa: F401
 from foretide.plans.registry import QUERIES, TWINS  # noqa: F401

@@ -92,13 +92,13 @@ def _(spark, d):
 
 @query(
     "a10_aggregate_window",
-    """select session_id, event_id, round(avg(motion), 6) as mean_motion, round(stddev_pop(motion), 6) as std_motion, min(motion) as min_motion, max(motion) as max_motion,
-       round(avg(case when i >= 24 then motion end) - avg(case when i < 8 then motion end), 6) as delta_motion from fx_even group by all""",
+    """select session_id, event_id, round(avg(motion), 9) as mean_motion, round(stddev_pop(motion), 9) as std_motion, min(motion) as min_motion, max(motion) as max_motion,
+       round(avg(case when i >= 24 then motion end) - avg(case when i < 8 then motion end), 9) as delta_motion from fx_even group by all""",
 )
 def _(spark, d):
     w = windows(spark, d).withColumn("history", J.resample_even(C("history")))
     a = A_window(w)
-    return a.select(*KEY, *[R(C(f"{s}_motion")).alias(f"{s}_motion") for s in ("mean", "std", "min", "max", "delta")])
+    return a.select(*KEY, *[R(C(f"{s}_motion"), 9).alias(f"{s}_motion") for s in ("mean", "std", "min", "max", "delta")])
 
 
 @query(
