@@ -178,13 +178,13 @@ def frame_features(px: DataFrame, n: int, inner: tuple[float, float] = (0.25, 0.
         (F.avg("_dx") + F.avg("_dy")).alias("edge_density"),
         F.avg(F.when(centre, F.col("gray"))).alias("centre_brightness"),
         _share(col, ring).alias("board_occupancy"),
-        _share(col, F.col("near")).alias("near_occupancy"),
-        _share(col, F.col("outer")).alias("outer_occupancy"),
+        F.coalesce(_share(col, F.col("near")), F.lit(0.0)).alias("near_occupancy"),
+        F.coalesce(_share(col, F.col("outer")), F.lit(0.0)).alias("outer_occupancy"),
         (F.sum(F.when(col & ring, weight).otherwise(0.0)) / F.greatest(F.lit(1), F.count(F.when(ring, 1)))).alias("radial_pressure"),
     ]
     for k in range(6):
         mine = ring & (F.col("sector") == k)
-        out.append(_share(col, mine).alias(f"occupancy_{k}"))
+        out.append(F.coalesce(_share(col, mine), F.lit(0.0)).alias(f"occupancy_{k}"))
         reach = F.percentile(F.when(mine & col, F.col("radius")), 0.9)
         scaled = (F.coalesce(reach, F.lit(RING_INNER)) - RING_INNER) / (RING_OUTER - RING_INNER)
         out.append(S.clip(scaled, 0.0, 1.0).alias(f"reach_{k}"))
@@ -341,52 +341,50 @@ def fit_hexagon_core(px: DataFrame, w: int, h: int, min_core: int = 100, min_nei
 
 # --- sampling along rays and strips ---------------------------------------------------
 def _median(a: Column) -> Column:
+    """Median of an array; null when empty."""
     s = F.array_sort(a)
-    n = F.size(s)
+    n = F.greatest(F.size(s), F.lit(1))
     return (F.try_element_at(s, F.floor((n - 1) / 2).cast("int") + 1) + F.try_element_at(s, F.floor(n / 2).cast("int") + 1)) / 2
 
 
-def sample(geo: DataFrame, px: DataFrame, points: Column, w: int, h: int, clamp: bool = True) -> DataFrame:
-    """Pixels at sample points: ``points`` is an array of struct<…, sx, sy> per frame.
+def sample(points: DataFrame, px: DataFrame, w: int, h: int, clamp: bool = True) -> DataFrame:
+    """Pixels at the rounded positions (sx, sy) of sample rows.
 
-    The grid is fixed in size per frame; samples meet pixels on (frame, y, x).  With
-    ``clamp`` coordinates are moved to the border, otherwise outside samples are kept
+    Samples per frame are fixed in number and meet pixels on (frame, y, x).  With
+    ``clamp`` positions are moved to the border, otherwise samples outside are kept
     with null channels.
     """
-    s = geo.select(*geo.columns, F.explode(points).alias("_p")).select(*geo.columns, "_p.*")
     x, y = F.rint("sx").cast("int"), F.rint("sy").cast("int")
     if clamp:
         x, y = F.greatest(F.lit(0), F.least(x, F.lit(w - 1))), F.greatest(F.lit(0), F.least(y, F.lit(h - 1)))
-    return s.withColumn("x", x).withColumn("y", y).join(px, ["frame", "y", "x"], "left")
+    return points.withColumn("x", x).withColumn("y", y).drop("sx", "sy").join(px, ["frame", "y", "x"], "left")
 
 
-def _strip_points(radii: Column, offsets: Sequence[float], phase: Column) -> Column:
-    """Points across a strip along each face normal: struct<lane, j, radius, sx, sy>."""
-    lanes = []
-    for k in range(6):
-        angle = F.radians(F.lit(30.0 + 60.0 * k) + phase)
-        c, s = F.cos(angle), F.sin(angle)
-
-        def row(r, j, k=k, c=c, s=s):
-            return F.array(
-                *[
-                    F.struct(
-                        F.lit(k).alias("lane"), j.alias("j"), r.alias("radius"),
-                        (F.col("cx") + (r * c - o * s) * F.col("apothem")).alias("sx"),
-                        (F.col("cy") + (r * s + o * c) * F.col("apothem")).alias("sy"),
-                    )
-                    for o in offsets
-                ]
-            )
-
-        lanes.append(F.flatten(F.transform(radii, row)))
-    return F.concat(*lanes)
-
-
-def _steps(start: Column | float, stop: float, step: float) -> Column:
-    start = F.lit(float(start)) if not isinstance(start, Column) else start
+def strip_points(
+    geo: DataFrame, start: Column | float, stop: float, step: float, offsets: Sequence[float], phase: Column | float = 0.0
+) -> DataFrame:
+    """Rows across a strip along each face normal: frame, lane, j, radius, sx, sy.
+
+    Grids are exploded from integers so that positions are computed in generated code.
+    """
+    start = start if isinstance(start, Column) else F.lit(float(start))
+    phase = phase if isinstance(phase, Column) else F.lit(float(phase))
     last = F.ceil((F.lit(stop) - start) / step).cast("int") - 1
-    return F.transform(F.sequence(F.lit(0), last), lambda i: start + i * step)
+    lanes = geo.select(
+        "frame", "cx", "cy", "apothem", start.alias("_start"), last.alias("_last"), phase.alias("_phase"),
+        F.explode(F.sequence(F.lit(0), F.lit(5))).alias("lane"),
+    )
+    turned = lanes.withColumn("_angle", F.radians(30.0 + 60.0 * F.col("lane") + F.col("_phase")))
+    axis = turned.select("*", F.cos("_angle").alias("_c"), F.sin("_angle").alias("_s")).drop("_angle", "_phase")
+    rows = axis.select("*", F.explode(F.sequence(F.lit(0), F.col("_last"))).alias("j")).drop("_last")
+    rows = rows.withColumn("radius", F.col("_start") + F.col("j") * step).drop("_start")
+    rows = rows.select("*", F.explode(F.array(*[F.lit(float(o)) for o in offsets])).alias("_o"))
+    r, o, c, s = F.col("radius"), F.col("_o"), F.col("_c"), F.col("_s")
+    return rows.select(
+        "frame", "lane", "j", "radius",
+        (F.col("cx") + (r * c - o * s) * F.col("apothem")).alias("sx"),
+        (F.col("cy") + (r * s + o * c) * F.col("apothem")).alias("sy"),
+    )
 
 
 def orientation(geo: DataFrame, px: DataFrame, w: int, h: int, rays: int = 180, depth: int = 101, step: int = 1) -> DataFrame:
@@ -398,20 +396,24 @@ def orientation(geo: DataFrame, px: DataFrame, w: int, h: int, rays: int = 180,
     g = geo.where("valid")
     r, gg, b = _rgb()
     dark = px.where((r < 0.28) & (gg < 0.36) & (b < 0.43)).select("frame", "y", "x", F.lit(True).alias("dark"))
-    radii = [0.20 + 0.25 * i / (depth - 1) for i in range(depth)]
-    angles = F.transform(F.sequence(F.lit(0), F.lit(rays - 1)), lambda i: i * (2 * math.pi / rays) - math.pi)
-    ray = g.select("frame", "cx", "cy", "apothem", F.posexplode(angles).alias("ray", "angle"))
-    pts = F.array(
-        *[
-            F.struct(
-                F.lit(q).alias("radius"),
-                (F.col("cx") + F.cos("angle") * F.lit(q) * F.col("apothem")).alias("sx"),
-                (F.col("cy") + F.sin("angle") * F.lit(q) * F.col("apothem")).alias("sy"),
-            )
-            for q in radii
-        ]
-    )
-    s = sample(ray, dark, pts, w, h)
+    ray = g.select("frame", "cx", "cy", "apothem", F.explode(F.sequence(F.lit(0), F.lit(rays - 1))).alias("ray"))
+    ray = ray.withColumn("angle", F.col("ray") * (2 * math.pi / rays) - math.pi)
+    ray = ray.select("*", F.cos("angle").alias("_c"), F.sin("angle").alias("_s"))
+    steps = ray.select("*", F.explode(F.sequence(F.lit(0), F.lit(depth - 1))).alias("_i"))
+    reach = lambda i: (i * (0.25 / (depth - 1)) + 0.20) * F.col("apothem")
+
+    def cell(i):
+        x, y = F.rint(F.col("cx") + F.col("_c") * reach(i)), F.rint(F.col("cy") + F.col("_s") * reach(i))
+        return F.greatest(F.lit(0.0), F.least(x, F.lit(w - 1.0))) + F.greatest(F.lit(0.0), F.least(y, F.lit(h - 1.0))) * w
+
+    # Only the last step of a ray inside each pixel can be its last dark step there.
+    i = F.col("_i")
+    steps = steps.where((i == depth - 1) | (cell(i) != cell(i + 1)))
+    pts = steps.select(
+        "frame", "cx", "cy", "apothem", "ray", "angle", (i * (0.25 / (depth - 1)) + 0.20).alias("radius"),
+        (F.col("cx") + F.col("_c") * reach(i)).alias("sx"), (F.col("cy") + F.col("_s") * reach(i)).alias("sy"),
+    )
+    s = sample(pts, dark, w, h)
     inside = F.hypot(F.col("x") - F.col("cx"), F.col("y") - F.col("cy")) / F.col("apothem") < 0.46
     outer = s.groupBy("frame", "ray", "angle").agg(F.coalesce(F.max(F.when(F.col("dark") & inside, F.col("radius"))), F.lit(0.0)).alias("outer"))
     per = outer.groupBy("frame").agg(
@@ -460,8 +462,8 @@ def lane_stacks(
     the core; holes of up to two radial steps are bridged.
     """
     g = geo.select("frame", "cx", "cy", "apothem", "phase", "core_ratio")
-    radii = _steps(F.col("core_ratio") + 0.008, reach, step)
-    s = sample(g, coloured, _strip_points(radii, offsets, F.col("phase")), w, h).where("colour is not null")
+    points = strip_points(g, F.col("core_ratio") + 0.008, reach, step, offsets, F.col("phase"))
+    s = sample(points, coloured, w, h).where("colour is not null")
     counted = s.groupBy("frame", "lane", "j", "radius", "colour").agg(F.count("*").alias("n"))
     # Most votes win, the lower colour on ties.
     label = counted.groupBy("frame", "lane", "j", "radius").agg(F.max(F.struct("n", (-F.col("colour")).alias("c"))).alias("_m"))
@@ -521,8 +523,8 @@ def incoming_runs(
     Lanes are fixed in screen space; off-phase boards compare with the tallest stack.
     """
     offsets = [-0.06 + 0.12 * i / 8 for i in range(9)]
-    g = geo.select("frame", "cx", "cy", "apothem", "phase")
-    s = sample(g, coloured, _strip_points(_steps(0.35, NO_INCOMING, step), offsets, F.lit(0.0)), w, h, clamp=False).where("colour is not null")
+    points = strip_points(geo, 0.35, NO_INCOMING, step, offsets)
+    s = sample(points, coloured, w, h, clamp=False).where("colour is not null")
     counted = s.groupBy("frame", "lane", "j", "radius", "colour").agg(F.count("*").alias("n"))
     label = counted.groupBy("frame", "lane", "j", "radius").agg(F.max(F.struct("n", (-F.col("colour")).alias("c"))).alias("_m"))
     line = label.where(F.col("_m.n") >= votes).select("frame", "lane", "j", "radius", (-F.col("_m.c")).alias("colour"), F.col("_m.n").alias("n"))
@@ -764,9 +766,9 @@ def flash_observation(
 ) -> DataFrame:
     """Per frame, lane and radius: share of white and of coloured samples; cropped boards are invalid."""
     offsets = [-reach + 2 * reach * i / (across - 1) for i in range(across)]
-    g = geo.where("valid").select("frame", "cx", "cy", "apothem", "phase")
     labelled = px.withColumn("colour", classify_colour())
-    s = sample(g, labelled, _strip_points(_steps(start, stop, step), offsets, F.col("phase")), w, h, clamp=False)
+    points = strip_points(geo.where("valid"), start, stop, step, offsets, F.col("phase"))
+    s = sample(points, labelled, w, h, clamp=False)
     white = (F.least(*_rgb()) > 0.84) & (span() < 0.065)
     cells = s.groupBy("frame", "lane", "j").agg(
         F.avg(white.cast("double")).alias("white"), F.avg((F.col("colour") >= 0).cast("double")).alias("coloured"),

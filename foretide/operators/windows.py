@@ -153,6 +153,10 @@ def running_max(df: DataFrame, line: Timeline, value: str, name: str = "running_
 
 
 # --- look-backs ----------------------------------------------------------------
+def _divide_by(s: float):
+    return lambda x: x / s
+
+
 def lookback_deltas(
     df: DataFrame, line: Timeline, seconds: Sequence[int] = (1, 2, 4, 8), tolerance: float = 600, ranked: bool = False,
     unit: int = 1000,
@@ -178,7 +182,7 @@ def lookback_deltas(
     for s in seconds:
         b = f"_b{s}."
         growth = F.zip_with(side("", "height"), side(b, "height"), lambda x, y: x - y)
-        motion = F.zip_with(side(b, "incoming"), side("", "incoming"), lambda x, y, s=s: (x - y) / s)
+        motion = F.transform(F.zip_with(side(b, "incoming"), side("", "incoming"), lambda x, y: x - y), _divide_by(s))
         if ranked:
             low = F.least(F.array_min("confidence"), F.array_min(f"{b}confidence")) * 0.5
             conf = F.transform("height", lambda _: low)
