@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from foretide.operators import board as B
@@ -155,6 +157,49 @@ def board_scene(spark, d):
     return px, geo
 
 
+def _strips(name: str, start: float, stop: float, step: float, offsets, phase: str, where: str) -> str:
+    """SQL rows of a strip grid (frame, lane, j, radius, colour and pixel of each sample)."""
+    last = math.ceil((stop - start) / step) - 1
+    values = ", ".join(f"({o!r})" for o in offsets)
+    axis = f"radians(30.0 + 60.0 * l.l + {phase})"
+    r = f"({start!r} + j.j * {step!r})"
+    return f"""select q.frame, q.lane, q.j, q.radius, c.colour, c.r, c.g, c.b from (
+        select frame, l.l as lane, j.j as j, {r} as radius, round_even(24.0 + ({r} * cos({axis}) - o.o * sin({axis})) * a, 0) as sx, round_even(24.0 + ({r} * sin({axis}) + o.o * cos({axis})) * a, 0) as sy
+        from fx_boards, range(6) l(l), range({last + 1}) j(j), (values {values}) o(o)) q join fx_coloured c on c.frame = q.frame and c.x = cast(floor(q.sx/6) as bigint) and c.y = cast(floor(q.sy/6) as bigint) {where}"""
+
+
+def _votes(strips: str, least: int) -> str:
+    return f"""select frame, lane, j, radius, colour, n from (select *, row_number() over (partition by frame, lane, j order by n desc, colour) as k from (
+        select frame, lane, j, radius, colour, count(*) as n from {strips} group by all)) where k = 1 and n >= {least}"""
+
+
+BRIGHT = "where c.colour >= 0 and greatest(c.r, c.g, c.b) >= .52"
+V.register_ctes(
+    {
+        "fx_boards": "select vec_id as frame, (11 + vec_id % 4)::double as a, vec_id % 60 - 30 as ph from embeddings",
+        "fx_strip19": _strips("s", 0.32 + 0.008, 0.94, 0.012, [-0.085 + 0.17 * i / 14 for i in range(15)], "ph", BRIGHT),
+        "fx_occupied": _votes("fx_strip19", 7),
+        "fx_connected": """select * from (select *, sum(case when j - pj > 3 then 1 else 0 end) over (partition by frame, lane order by j) as holes, first(radius) over (partition by frame, lane order by j) as r0 from (
+            select *, lag(j) over (partition by frame, lane order by j) as pj, lag(colour) over (partition by frame, lane order by j) as pc from fx_occupied)) where holes = 0 and r0 <= 0.32 + 0.055""",
+        "fx_stacks": """select g.frame, l.l as lane, coalesce(max(c.radius) + 0.006, 0.32) as height, coalesce(last(c.colour order by c.j) filter (c.j is not null), -1) as top,
+            coalesce(string_agg(case when c.pc is null or c.pc <> c.colour then c.colour::varchar end, ',' order by c.j), '') as colours
+            from fx_boards g cross join range(6) l(l) left join fx_connected c on c.frame = g.frame and c.lane = l.l group by g.frame, l.l""",
+        "fx_strip24": _strips("s", 0.35, 2.1, 0.006, [-0.06 + 0.12 * i / 8 for i in range(9)], "0.0", BRIGHT),
+        "fx_voted24": _votes("fx_strip24", 6),
+        "fx_runs24": """select frame, lane, colour, min(radius) as radius, avg(n/9.0) as confidence from (select *, j - row_number() over (partition by frame, lane, colour order by j) as k from fx_voted24) group by frame, lane, colour, k having count(*) >= 4""",
+        "fx_strip29": _strips("s", 0.37, 0.93, 0.07, [-0.19 + 2 * 0.19 * i / 4 for i in range(5)], "ph", ""),
+        "fx_dark": "select frame, dy.dy + y*6 as y, dx.dx + x*6 as x from fx_bright, range(6) dy(dy), range(6) dx(dx) where r < .28 and g < .36 and b < .43",
+        "fx_rays": """select q.frame, q.ray, q.angle, coalesce(max(case when sqrt(pow(d.x - 24.0, 2) + pow(d.y - 24.0, 2))/q.a < .46 then radius end), 0.0) as outer_r from (
+            select frame, a, t.t as ray, t.t*(2*pi()/180) - pi() as angle, i.i*(0.25/100) + 0.20 as radius,
+              cast(round_even(24.0 + cos(t.t*(2*pi()/180) - pi())*((i.i*(0.25/100) + 0.20)*a), 0) as bigint) as sx, cast(round_even(24.0 + sin(t.t*(2*pi()/180) - pi())*((i.i*(0.25/100) + 0.20)*a), 0) as bigint) as sy
+            from fx_boards, range(180) t(t), range(101) i(i)) q left join fx_dark d on d.frame = q.frame and d.x = q.sx and d.y = q.sy group by all""",
+        "fx_facing": "select frame, deg.deg as deg, outer_r*greatest(" + ", ".join(f"cos(angle - radians(deg.deg + 30 + {60 * k}))" for k in range(6)) + ") as ap from fx_rays, range(60) deg(deg) where outer_r > .22",
+        "fx_mad": "select f.frame, f.deg, median(abs(ap - m)) as error, any_value(m) as core from fx_facing f join (select frame, deg, median(ap) as m from fx_facing group by all) t on t.frame = f.frame and t.deg = f.deg group by all",
+        "fx_phase": "select frame, error, core from (select *, row_number() over (partition by frame order by round(error, 9), deg) as k from fx_mad) where k = 1",
+    }
+)
+
+
 @query("p32_transform_pixels", "select frame, cast(y*2 + a.a as int) as y, cast(x*2 + b.b as int) as x, round(r, 6) as r from fx_bright, range(2) a(a), range(2) b(b)")
 def _(spark, d):
     return B.transform_pixels(bright(spark, d), 2.0).select("frame", "y", "x", R(C("r")).alias("r"))
@@ -165,23 +210,44 @@ def _(spark, d):
     return B.transform_pixels(bright(spark, d), 0.5).select("frame", C("y").cast("int").alias("y"), C("x").cast("int").alias("x"), R(C("r")).alias("r"))
 
 
-@query("p16_fit_hexagon_core")
+_REACH = [f"(x - cx)*cos(radians({30 + 60 * k})) + (y - cy)*sin(radians({30 + 60 * k}))" for k in range(6)]
+V.register_ctes(
+    {
+        "fx_all48": "select frame, dy.dy + y*6 as y, dx.dx + x*6 as x, r, g, b from fx_bright, range(6) dy(dy), range(6) dx(dx)",
+        "fx_core48": "select frame, count(*) as n, (min(x)+max(x))/2.0 as cx, (min(y)+max(y))/2.0 as cy from fx_all48 where r < .28 and g < .36 and b < .43 and abs(x - 24) < 48*.12 and abs(y - 24) < 48*.2 group by frame",
+        "fx_gray48": "select frame, y, x from fx_all48 where greatest(abs(r - 189/255.0), abs(g - 195/255.0), abs(b - 199/255.0)) < .5 and abs(x - 24) < 48*.26 and abs(y - 24) < 48*.26 and greatest(r,g,b) - least(r,g,b) < .5",
+        "fx_solid48": "select p.frame, " + ", ".join(f"{e} as e{k}" for k, e in enumerate(_REACH)) + " from (select a.frame, a.y, a.x from fx_gray48 a join fx_gray48 b on b.frame = a.frame and abs(b.x - a.x) <= 1 and abs(b.y - a.y) <= 1 group by all having count(*) >= 2) p join fx_core48 c on c.frame = p.frame",
+        "fx_tops48": "select frame, list_sort([" + ", ".join(f"max(e{k})" for k in range(6)) + "]) as s from fx_solid48 group by frame",
+        "fx_fit48": "select t.frame, (s[3] + s[4])/2 as a, list_sort([" + ", ".join(f"abs(s[{k + 1}] - (s[3] + s[4])/2)/greatest(1.0, (s[3] + s[4])/2)" for k in range(6)) + "]) as e from fx_tops48 t",
+        "fx_over48": "select f.frame, avg(case when greatest(e0,e1,e2,e3,e4,e5) > f.a*1.04 then 1.0 else 0.0 end) as over from fx_solid48 s join fx_fit48 f on f.frame = s.frame group by f.frame",
+    }
+)
+
+
+@query(
+    "p16_fit_hexagon_core",
+    """select frame, reason = 'ok' as valid, reason, round(cx, 6) as cx, round(cy, 6) as cy, round(a, 6) as apothem from (select g.frame, c.cx, c.cy, f.a, case when f.frame is null and coalesce(c.n, 0) >= 4 then 'gray_not_found' when coalesce(c.n, 0) < 4 then 'core_center_missing'
+        when f.a < 8 or e[3] >= .035 or o.over > .02 then 'occluded_gray_fit_uncertain' else 'ok' end as reason from fx_boards g left join fx_core48 c using (frame) left join fx_fit48 f using (frame) left join fx_over48 o using (frame))""",
+)
 def _(spark, d):
     px, _ = board_scene(spark, d)
-    return B.fit_hexagon_core(px, 48, 48, min_core=4, min_neighbours=2, near=0.5, max_span=0.5).select("frame", "valid", "reason", "cx", "cy", "apothem")
+    return B.fit_hexagon_core(px, 48, 48, min_core=4, min_neighbours=2, near=0.5, max_span=0.5).select("frame", "valid", "reason", *[R(C(c)).alias(c) for c in ("cx", "cy", "apothem")])
 
 
-@query("p17_orientation")
+@query(
+    "p17_orientation",
+    "select g.frame, round(u.usable, 6) as usable, round(p.error, 6) as orientation_error from fx_boards g join (select frame, avg(case when outer_r > .22 then 1.0 else 0.0 end) as usable from fx_rays group by 1) u using (frame) left join fx_phase p using (frame)",
+)
 def _(spark, d):
     px, geo = board_scene(spark, d)
     o = B.orientation(geo.drop("phase", "core_ratio", "orientation_error"), px, 48, 48)
-    return o.select("frame", "usable", "phase", "orientation_error")
+    return o.select("frame", R(C("usable")).alias("usable"), R(C("orientation_error")).alias("orientation_error"))
 
 
-@query("p18_core_ratio")
+@query("p18_core_ratio", "select g.frame, round(p.core, 6) as core_ratio from fx_boards g left join fx_phase p using (frame)")
 def _(spark, d):
     px, geo = board_scene(spark, d)
-    return B.orientation(geo.drop("phase", "core_ratio", "orientation_error"), px, 48, 48).select("frame", "core_ratio")
+    return B.orientation(geo.drop("phase", "core_ratio", "orientation_error"), px, 48, 48).select("frame", R(C("core_ratio")).alias("core_ratio"))
 
 
 def stacks(spark, d):
@@ -190,7 +256,7 @@ def stacks(spark, d):
     return px, geo, coloured, B.lane_stacks(geo, coloured, 48, 48)
 
 
-@query("p19_lane_stacks")
+@query("p19_lane_stacks", "select frame, cast(lane as int) as lane, round(height, 6) as height, cast(top as int) as top, colours from fx_stacks")
 def _(spark, d):
     return stacks(spark, d)[3].select("frame", "lane", R(C("height")).alias("height"), "top", F.array_join("colours", ",").alias("colours"))
 
@@ -243,7 +309,17 @@ def _(spark, d):
     return r.select("frame", (~C("repaired")).alias("kept"), R(F.array_max("heights")).alias("tallest"))
 
 
-@query("p23_hold_geometry")
+@query(
+    "p23_hold_geometry",
+    """with recursive f as (select g.run, g.frame, s.seq, valid, cx, cy, apothem as a, .31 + abs(cx - 50)*.03 as core, g.frame % 2 = 0 as rv, cx + .1 as rx, cy as ry, apothem*1.01 as ra, .325 as rc from fx_geo g join fx_seq s using (frame)),
+walk as (select run, frame, seq, valid, cx, cy, a, core, 0 as held, false as refit from f where seq = 1
+ union all
+ select n.run, n.frame, n.seq, n.valid, case when n.h then n.pcx else n.ux end, case when n.h then n.pcy else n.uy end, case when n.h then n.pa else n.ua end, case when n.h then n.ua*n.uc/n.pa else n.uc end, case when n.h then n.pheld + 1 else 0 end, n.u and not n.h from (
+  select *, valid and pv and uc > .34 and abs(ua*uc/(pa*pcore) - 1) < .025 and sqrt(pow(ux - pcx, 2) + pow(uy - pcy, 2)) < .04*pa and pheld < 2 and pcore < .34 and abs(ua*uc/pa/.325 - 1) < .055 as h from (
+   select *, case when u then rx else cx end as ux, case when u then ry else cy end as uy, case when u then ra else a end as ua, case when u then rc else core end as uc from (
+    select f.*, w.valid as pv, w.cx as pcx, w.cy as pcy, w.a as pa, w.core as pcore, w.held as pheld, f.valid and w.valid and f.rv and sqrt(pow(f.cx - w.cx, 2) + pow(f.cy - w.cy, 2))/w.a > .075 as u from walk w join f on f.run = w.run and f.seq = w.seq + 1))) n)
+select run, frame, valid, case when valid then round(cx, 6) end as cx, case when valid then round(a, 6) end as apothem, case when valid then round(core, 6) end as core, case when valid then held else 0 end as held, case when valid then refit else false end as refit from walk""",
+)
 def _(spark, d):
     g = geometry(spark, d)
     f = g.withColumn("core", 0.31 + F.abs(C("cx") - 50) * 0.03).withColumn("refit_valid", C("frame") % 2 == 0)
@@ -251,7 +327,13 @@ def _(spark, d):
     return B.hold_geometry(f, GEO_LINE).select("run", "frame", "valid", R(C("cx")).alias("cx"), R(C("apothem")).alias("apothem"), R(C("core")).alias("core"), "held", "refit")
 
 
-@query("p24_incoming_runs")
+@query(
+    "p24_incoming_runs",
+    """select s.frame, cast(s.lane as int) as lane, round(coalesce(w.radius, 2.1), 6) as incoming, cast(coalesce(w.colour, -1) as int) as colour, round(coalesce(w.confidence, 0.0), 6) as confidence from fx_stacks s left join (
+        select * from (select r.*, row_number() over (partition by r.frame, r.lane order by r.radius) as k from fx_runs24 r join (
+          select k.frame, k.lane, case when abs(g.ph) <= 5 then k.height else max(k.height) over (partition by k.frame) end as h from fx_stacks k join fx_boards g using (frame)) n on n.frame = r.frame and n.lane = r.lane
+          where r.radius > greatest(0.48, n.h + 0.07)) where k = 1) w on w.frame = s.frame and w.lane = s.lane""",
+)
 def _(spark, d):
     px, geo, coloured, st = stacks(spark, d)
     return B.incoming_runs(geo, st, coloured, 48, 48, length=4).select("frame", "lane", R(C("incoming")).alias("incoming"), "colour", R(C("confidence")).alias("confidence"))
@@ -293,6 +375,8 @@ def _(spark, d):
     return B.pixel_motion(frames, px, FRAME_LINE).select("session", "frame", R(C("motion")).alias("motion"))
 
 
+
+
 # --- lanes along time -------------------------------------------------------------------
 LANE_LINE = Timeline(("run",), ("at_ms",), "at_ms", 5_000)
 
@@ -461,11 +545,15 @@ def _(spark, d):
 
 
 # --- clear flashes ---------------------------------------------------------------------
-@query("p29_flash_observation")
+@query(
+    "p29_flash_observation",
+    """select frame, true as valid, 'ok' as reason, 6 as lanes, round(max(c), 6) as most_coloured, round(max(w), 6) as most_white from (
+        select frame, lane, j, avg(case when colour >= 0 then 1.0 else 0.0 end) as c, avg(case when least(r,g,b) > .84 and greatest(r,g,b) - least(r,g,b) < .065 then 1.0 else 0.0 end) as w from fx_strip29 group by all) group by frame""",
+)
 def _(spark, d):
     px, geo = board_scene(spark, d)
     o = B.flash_observation(geo, px, 48, 48, step=0.07, across=5)
-    return o.select("frame", "valid", "reason", F.size("white").alias("lanes"), R(F.array_max(F.flatten("coloured"))).alias("most_coloured"))
+    return o.select("frame", "valid", "reason", F.size("white").alias("lanes"), R(F.array_max(F.flatten("coloured"))).alias("most_coloured"), R(F.array_max(F.flatten("white"))).alias("most_white"))
 
 
 V.register_ctes(
