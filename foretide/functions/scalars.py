@@ -50,6 +50,20 @@ def round_away(x: Column, digits: int = 6) -> Column:
     return F.round(x, digits)
 
 
+def array_sum(a: Column) -> Column:
+    return F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
+
+
+def array_quantile(ascending: Column, q: float) -> Column:
+    """Linear-interpolated quantile of an ascending array; null for an empty one."""
+    n = F.greatest(F.size(ascending), F.lit(1))
+    at = (n - 1) * F.lit(float(q))
+    lo = F.floor(at).cast("int")
+    hi = F.least(lo + 1, n - 1)
+    a, b = F.try_element_at(ascending, lo + 1), F.try_element_at(ascending, hi + 1)
+    return a + (b - a) * (at - lo)
+
+
 def monotone_columns(p: Sequence[Column]) -> list[Column]:
     """Clip to [0, 1] and take the running maximum, one column per horizon."""
     clipped = [clip(c, 0.0, 1.0) for c in p]

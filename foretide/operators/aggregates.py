@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foretide.functions.scalars import array_quantile, monotone
 from foretide.operators.quality import phase
 from foretide.operators.timeline import Timeline, previous_row, running
 from foretide.settings import COHORT, DEVELOPMENT_RUNS, LOCKED_TEST_RUNS, TARGET_RUNS
@@ -116,11 +117,11 @@ def message_counts(df: DataFrame, message: str) -> DataFrame:
 
 
 # --- durations and references -----------------------------------------------------
-def run_durations(windows: DataFrame, run: str = "session_id", cell: float = 1.0) -> DataFrame:
+def run_durations(windows: DataFrame, run: str = "session_id") -> DataFrame:
     """Longest and median elapsed + remaining seconds per run."""
     total = F.col("elapsed") + F.col("ttf")
     longest = windows.groupBy(run).agg(F.max(total).alias("duration_max"))
-    middle = exact_quantiles(windows, total, {"duration_median": 0.5}, [run], cell).drop("duration_median_element")
+    middle = exact_quantiles(windows, total, {"duration_median": 0.5}, [run]).drop("duration_median_element")
     return longest.join(middle, run)
 
 
@@ -174,28 +175,34 @@ def macro_mean(per_run: DataFrame, metrics: Sequence[str]) -> DataFrame:
 
 def ensemble_median(members: DataFrame, keys: Sequence[str], width: int = 7) -> DataFrame:
     """``members`` has one row per (keys, member) with array ``p``; a handful of members each."""
-    from foretide.functions.scalars import monotone
+    listed = members.groupBy(*keys).agg(F.collect_list("p").alias("_m"))
+    medians = F.array(*[array_quantile(F.array_sort(F.transform("_m", _at(i))), 0.5) for i in range(width)])
+    # Two projections: the running maximum refers to every median several times.
+    return listed.select(*keys, medians.alias("_q")).select(*keys, monotone(F.col("_q"), width).alias("p"))
 
-    medians = F.array(*[F.median(F.element_at("p", i + 1)) for i in range(width)])
-    return members.groupBy(*keys).agg(medians.alias("p")).withColumn("p", monotone(F.col("p"), width))
+
+def _at(i: int):
+    return lambda p: F.element_at(p, i + 1)
 
 
 def exact_quantiles(
-    df: DataFrame, value: Column, quantiles: dict[str, float], keys: Sequence[str] = (), cell: float = 1.0
+    df: DataFrame, value: Column, quantiles: dict[str, float], keys: Sequence[str] = (), cells: int = 4096
 ) -> DataFrame:
     """Linear-interpolated quantiles of any number of rows per group.
 
     Built-in ``percentile`` keeps a group's distinct values in one buffer.  Here
-    equal values are merged, ranks accumulated over cells of the value axis, and only
-    the one or two values around each wanted rank are picked.
+    equal values are merged, ranks accumulated over ``cells`` equal parts of the
+    group's value range, and only the one or two values around each wanted rank are
+    picked.  Adds ``<name>_element``, the value at position floor(q n).
     """
     hist = df.select(*keys, value.cast("double").alias("v")).where("v is not null").groupBy(*keys, "v").agg(
         F.count("*").alias("c")
     )
-    line = Timeline(tuple(keys), ("v",), "v", cell)
-    upto = running(hist, line, sums={"upto": F.col("c")})
-    total = hist.groupBy(*keys).agg(F.sum("c").alias("n"))
-    joined = upto.join(total, list(keys)) if keys else upto.join(F.broadcast(total))
+    total = hist.groupBy(*keys).agg(F.sum("c").alias("n"), F.min("v").alias("_lo"), F.max("v").alias("_hi"))
+    joined = hist.join(total, list(keys)) if keys else hist.join(F.broadcast(total))
+    part = F.coalesce(F.try_divide(F.col("v") - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0)) * cells
+    line = Timeline(tuple(keys), ("v",), "_part", 1.0)
+    upto = running(joined.withColumn("_part", part), line, sums={"upto": F.col("c")})
 
     def at_rank(rank: Column) -> Column:
         return F.min(F.when(F.col("upto") > rank, F.col("v")))
@@ -211,12 +218,12 @@ def exact_quantiles(
         ]
         a_, b_ = F.col(f"_a_{name}"), F.col(f"_b_{name}")
         out += [(a_ + (b_ - a_) * (at - lo)).alias(name), F.col(f"{name}_element")]
-    return joined.groupBy(*keys).agg(*picks).select(*keys, *out)
+    return upto.groupBy(*keys).agg(*picks).select(*keys, *out)
 
 
-def latency_p95(df: DataFrame, value: str, keys: Sequence[str] = (), cell: float = 1.0) -> DataFrame:
+def latency_p95(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
     """Interpolated p95 and the element at floor(.95 n) of the ascending order."""
-    return exact_quantiles(df, F.col(value), {"p95": 0.95}, keys, cell)
+    return exact_quantiles(df, F.col(value), {"p95": 0.95}, keys)
 
 
 # --- event scoring -----------------------------------------------------------------

@@ -26,6 +26,7 @@ from foretide.operators.timeline import (
     with_earlier_rows,
     with_earlier_time,
 )
+from foretide.settings import materialise
 
 # Block colours (red, yellow, blue, green) and the board's gray.
 PALETTE = ((231, 76, 60), (241, 196, 15), (52, 152, 219), (46, 204, 113))
@@ -648,7 +649,7 @@ def hold_geometry(frames: DataFrame, line: Timeline) -> DataFrame:
         return F.when(valid, chosen).otherwise(0)
 
     change = F.array(*[next_case(c).cast("long") for c in cases])
-    mapped = drop_halo(rows.withColumn("change", change))
+    mapped = materialise(drop_halo(rows.withColumn("change", change)), "geometry")
     states = entry_states(mapped.select(*line.keys, "pos", "change"), line.keys, state_maps(len(cases)), 0)
     j = mapped.join(states, [*line.keys, "pos"]).withColumn("_case", F.element_at("change", (F.col("state") + 1).cast("int")))
     pick = lambda f: F.coalesce(

@@ -55,12 +55,12 @@ def state_maps(n: int) -> Family:
 
 
 def entry_states(
-    items: DataFrame, keys: Sequence[str], family: Family, initial: int, block: int = 256, levels: int = 3
+    items: DataFrame, keys: Sequence[str], family: Family, initial: int, block: int = 512, levels: int = 2
 ) -> DataFrame:
     """State before each item: (keys, pos, state).
 
     ``items`` has the keys, ``pos`` (0, 1, 2, … per key) and ``change``.  With the
-    defaults the topmost list holds one entry per 256**3 rows of a key.
+    defaults the topmost list holds one entry per 512**2 rows of a key.
     """
     group = F.floor(F.col("pos") / block).cast("long") if levels else F.lit(0).cast("long")
     listed = items.groupBy(*keys, group.alias("_g")).agg(

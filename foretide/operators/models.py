@@ -76,18 +76,19 @@ def average_duration(train: DataFrame, default: float = 60.0) -> DataFrame:
     return per.agg(F.coalesce(F.avg("_d"), F.lit(default)).alias("avg_s"))
 
 
-def empirical_reference(train: DataFrame, rows: DataFrame, horizons: Sequence[float], cell: float = 1.0) -> DataFrame:
+def empirical_reference(train: DataFrame, rows: DataFrame, horizons: Sequence[float], cell: float = 0.25) -> DataFrame:
     """Adds ``p``: share of training runs still going that end within each horizon.
 
+    ``rows`` carries a stable ``row_id``.
     Counts of durations up to t and t + h are looked up by cumulative counts along
     the time axis (one pass per bound), not by comparing with every run.
     """
     from foretide.operators.aggregates import run_durations
 
-    d = run_durations(train, "run", cell).select(F.col("duration_median").alias("d"))
+    d = run_durations(train, "run").select(F.col("duration_median").alias("d"))
     hist = d.groupBy("d").agg(F.count("*").alias("c"))
     total = hist.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("_all"))
-    points = rows.withColumn("_id", F.monotonically_increasing_id()) if "row_id" not in rows.columns else rows.withColumn("_id", F.col("row_id"))
+    points = rows.withColumn("_id", F.col("row_id").cast("long"))
     bounds = [("b", 0.0), *[(f"w{i}", float(h)) for i, h in enumerate(horizons)]]
     probes = points.select("_id", F.explode(F.array(*[F.struct(F.lit(n).alias("n"), (F.col("elapsed") + h).alias("t")) for n, h in bounds])).alias("_q")).select("_id", "_q.*")
     # Durations sort before probes of the same time, so "up to and including" is counted.
@@ -250,7 +251,7 @@ def fit_ensemble(
     out = []
     for m in range(members):
         mult = bootstrap_multiplicity(numbered, seed + m)
-        drawn = train.join(F.broadcast(mult), "run")
+        drawn = train.join(mult, "run")
         out.append(fit_horizons(drawn, cal, features, horizons, weight=F.col("multiplicity"), balanced=True, c=1.0, **options))
     return out
 
@@ -268,22 +269,34 @@ def score_members(members: DataFrame, keys: Sequence[str], horizons: Sequence[fl
     Adds ``p`` (monotone median), remaining, low / high (10 % and 90 % of the members'
     remaining time) and disagreement (mean over horizons of the members' std).
     """
-    from foretide.operators.aggregates import ensemble_median
-
     width = width or len(horizons)
-    med = ensemble_median(members, keys, width)
-    rem = members.withColumn("_r", S.expected_remaining(F.col("p"), horizons))
-    spread = rem.groupBy(*keys).agg(
-        F.percentile("_r", 0.1).alias("low"),
-        F.percentile("_r", 0.9).alias("high"),
-        (sum((F.stddev_pop(F.element_at("p", i + 1)) for i in range(width)), F.lit(0.0)) / width).alias("disagreement"),
+    listed = members.groupBy(*keys).agg(F.collect_list("p").alias("_m"))
+    column = lambda i: F.transform("_m", lambda p: F.element_at(p, i + 1))
+    left = F.array_sort(F.transform("_m", lambda p: S.expected_remaining(p, horizons)))
+    spread = [_deviation(column(i)) for i in range(width)]
+    scored = listed.select(
+        *keys,
+        F.array(*[S.array_quantile(F.array_sort(column(i)), 0.5) for i in range(width)]).alias("_q"),
+        left.alias("_left"),
+        (sum(spread[1:], spread[0]) / width).alias("disagreement"),
+    ).withColumn("p", S.monotone(F.col("_q"), width))
+    return scored.select(
+        *keys, "p", S.array_quantile(F.col("_left"), 0.1).alias("low"), S.array_quantile(F.col("_left"), 0.9).alias("high"), "disagreement",
+        S.expected_remaining(F.col("p"), horizons).alias("remaining"),
     )
-    return med.join(spread, list(keys)).withColumn("remaining", S.expected_remaining(F.col("p"), horizons))
 
 
-def certainty_contract(scored: DataFrame, cap: float = 60.0, high_limit: float = 7.0, medium_limit: float = 15.0, cell: float = 0.01) -> DataFrame:
+def _deviation(a: Column) -> Column:
+    """Population standard deviation of a short array."""
+    return F.transform(
+        F.array(S.array_sum(a) / F.size(a)),
+        lambda m: F.sqrt(S.array_sum(F.transform(a, lambda v: (v - m) * (v - m))) / F.size(a)),
+    )[0]
+
+
+def certainty_contract(scored: DataFrame, cap: float = 60.0, high_limit: float = 7.0, medium_limit: float = 15.0) -> DataFrame:
     """Disagreement thresholds (33 % / 67 %), the error of each tier, and which tiers may be shown."""
-    q = exact_quantiles(scored, F.col("disagreement"), {"high": 0.33, "medium": 0.67}, cell=cell).select("high", "medium")
+    q = exact_quantiles(scored, F.col("disagreement"), {"high": 0.33, "medium": 0.67}).select("high", "medium")
     err = F.abs(F.col("remaining") - F.least(F.col("ttf"), F.lit(float(cap))))
     tier_high = F.col("disagreement") <= F.col("high")
     tier_medium = ~tier_high & (F.col("disagreement") <= F.col("medium"))

@@ -20,7 +20,7 @@ from foretide.operators.timeline import (
     sliced,
     with_earlier_time,
 )
-from foretide.settings import CONTEXT_MS, MIN_ROWS, MIN_SPAN_MS
+from foretide.settings import CONTEXT_MS, MIN_ROWS, MIN_SPAN_MS, materialise
 
 
 # --- clocks and pauses ------------------------------------------------------
@@ -320,6 +320,7 @@ def match_events(
         *keys, "at", F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"),
         (F.col("k") - 1).cast("long").alias("pos"),
     )
+    ev = materialise(ev, "events")
     change = F.struct((F.col("lo") - F.col("pos")).alias("lo"), (F.col("hi") - F.col("pos") - 1).alias("hi"))
     states = entry_states(ev.select(*keys, "pos", change.alias("change")), keys, clamps(), 0)
     judged = ev.join(states, [*keys, "pos"]).withColumn("_p", F.greatest(F.col("state") + F.col("pos"), F.col("lo")))
@@ -327,12 +328,12 @@ def match_events(
     numbered = row_numbers(truth.select(*keys, at.alias("at")), t_line, "_i").select(
         *keys, F.col("at").alias("truth_at"), (F.col("_i") - 1).alias("_p")
     )
-    used = judged.withColumn("_p", F.when(F.col("_p") < F.col("hi"), F.col("_p")))
-    joined = used.select(*keys, F.col("at").alias("event_at"), "_p").join(numbered, [*keys, "_p"], "full")
-    kind = (
-        F.when(F.col("event_at").isNull(), "missed").when(F.col("truth_at").isNull(), "false").otherwise("matched")
-    )
-    return joined.select(*keys, kind.alias("kind"), "event_at", "truth_at")
+    used = judged.withColumn("_p", F.when(F.col("_p") < F.col("hi"), F.col("_p"))).select(*keys, F.col("at").alias("event_at"), "_p")
+    hits = used.where(F.col("_p").isNotNull())
+    matched = hits.join(numbered, [*keys, "_p"]).select(*keys, F.lit("matched").alias("kind"), "event_at", "truth_at")
+    wrong = used.where(F.col("_p").isNull()).select(*keys, F.lit("false").alias("kind"), "event_at", none.alias("truth_at"))
+    missed = numbered.join(hits, [*keys, "_p"], "left_anti").select(*keys, F.lit("missed").alias("kind"), none.alias("event_at"), "truth_at")
+    return matched.unionByName(wrong).unionByName(missed)
 
 
 def censor(df: DataFrame, first: int, stop: int, ambiguous: DataFrame | None = None, keys: Sequence[str] = ()) -> DataFrame:

@@ -178,19 +178,29 @@ def islands(df: DataFrame, line: Timeline, value: Column, name: str = "island")
 def with_earlier_rows(df: DataFrame, line: Timeline, n: int) -> DataFrame:
     """Slices padded by the ``n`` rows before them, for ROWS frames up to ``n`` back.
 
-    Evaluate frames over ``line.local()`` and finish with :func:`drop_halo`.
+    Slices are placed by how many rows precede them.  The rows a slice needs lie in
+    the slices that begin within ``n`` rows of it and in the one before those, so at
+    most 2 n rows are gathered per slice.  Evaluate frames over ``line.local()`` and
+    finish with :func:`drop_halo`.
     """
     rows = sliced(df, line)
     whole = F.struct(*[F.col(c) for c in df.columns])
     tails = (
         rows.withColumn("_back", F.row_number().over(line.local(descending=True)))
+        .withColumn("_size", F.count("*").over(Window.partitionBy(*line.cells)))
         .where(F.col("_back") <= n)
         .groupBy(*line.cells)
-        .agg(F.sort_array(F.collect_list(F.struct(line.position().alias("at"), whole.alias("row")))).alias("_t"))
+        .agg(
+            F.max("_size").alias("_size"),
+            F.sort_array(F.collect_list(F.struct(line.position().alias("at"), whole.alias("row")))).alias("_t"),
+        )
+        .withColumn("_start", F.sum("_size").over(line.across()) - F.col("_size"))
     )
-    seen = F.flatten(F.collect_list("_t").over(line.across().rowsBetween(-n, -1)))
+    placed = Window.partitionBy(*line.keys).orderBy("_start")
+    straddling = F.last("_t").over(placed.rangeBetween(Window.unboundedPreceding, -n - 1))
+    near = F.flatten(F.collect_list("_t").over(placed.rangeBetween(-n, -1)))
     halo = (
-        tails.select(*line.cells, seen.alias("_seen"))
+        tails.select(*line.cells, F.concat(F.coalesce(straddling, F.slice("_t", 1, 0)), near).alias("_seen"))
         .select(SLICE, F.explode(F.slice("_seen", -F.greatest(F.lit(1), F.least(F.size("_seen"), F.lit(n))), n)).alias("_h"))
         .select("_h.row.*", SLICE, F.lit(True).alias(HALO))
     )

@@ -21,7 +21,7 @@ from foretide.operators.timeline import (
     with_earlier_rows,
     with_earlier_time,
 )
-from foretide.settings import TARGET_RUNS
+from foretide.settings import TARGET_RUNS, materialise
 
 
 # --- run tables --------------------------------------------------------------
@@ -198,22 +198,8 @@ def lookback_deltas(
     return out.drop(*[f"_b{s}" for s in seconds])
 
 
-def _quantile(values: Column, q: float) -> Column:
-    """Linear-interpolated quantile of an ascending array; 0 for an empty one."""
-    n = F.size(values)
-    at = (n - 1) * F.lit(float(q))
-    lo = F.floor(at).cast("int")
-    hi = F.least(lo + 1, n - 1)
-    a, b = F.try_element_at(values, lo + 1), F.try_element_at(values, hi + 1)
-    return F.when(n == 0, F.lit(0.0)).otherwise(a + (b - a) * (at - lo))
-
-
-def _total(x: Column) -> Column:
-    return F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
-
-
 def _motion_block(n: int, s: int, speeds: Column, fraction: Column, appear: Column, land: Column, g: Sequence[Column]) -> Column:
-    q = [_quantile(speeds, p) * 4.0 for p in (0.5, 0.25, 0.75, 1.0)]
+    q = [F.coalesce(S.array_quantile(speeds, p) * 4.0, F.lit(0.0)) for p in (0.5, 0.25, 0.75, 1.0)]
     return F.array(*q, fraction, appear, land, *g)
 
 
@@ -252,7 +238,7 @@ def motion_features(
         rows.withColumn("_sp", speeds)
         .withColumn("_ap", count(lambda v: (v["r0"] >= 2.05) & (v["r1"] < 2.05)))
         .withColumn("_la", count(landed))
-        .withColumn("_g", _total(F.col("height")) - _total(F.col("_ph")))
+        .withColumn("_g", S.array_sum(F.col("height")) - S.array_sum(F.col("_ph")))
     )
     blocks = []
     for s in seconds:
@@ -336,7 +322,7 @@ def verified_motion(df: DataFrame, line: Timeline, seconds: Sequence[int] = (1,
         .withColumn("_ap", F.when(F.col("_st"), appear).otherwise(0))
         .withColumn("_la", F.when(F.col("_st"), land).otherwise(0))
         .withColumn("_ok", F.coalesce(F.col("_st") & (jump < 0.035), F.lit(False)))
-        .withColumn("_cur", F.when(F.col("_ok"), (_total(F.col("height")) + _total(a["height"])) / 2))
+        .withColumn("_cur", F.when(F.col("_ok"), (S.array_sum(F.col("height")) + S.array_sum(a["height"])) / 2))
     )
     for k in (1, 2, 3):
         rows = rows.withColumn(f"_c{k}", F.lag("_cur", k).over(w))
@@ -563,7 +549,7 @@ def propose_boundary(counts: DataFrame, line: Timeline, floor: int = 5) -> DataF
 
 def drop_events(frames: DataFrame, line: Timeline, threshold: float = 0.06) -> DataFrame:
     """Frames whose total height falls by more than ``threshold``; rising event counts, if any, too."""
-    total = _total(F.col("height"))
+    total = S.array_sum(F.col("height"))
     p = previous_row(frames.withColumn("_h", total), line, {"_ph": F.col("_h")})
     return p.withColumn("dropped", F.coalesce(F.col("_h") - F.col("_ph") < -threshold, F.lit(False))).drop(
         "_h", "_ph", "_has_prev"
@@ -599,7 +585,7 @@ def thin(df: DataFrame, line: Timeline, step: float) -> DataFrame:
         gap = F.col(line.clock) - F.lag(line.clock, d).over(line.local())
         nexts.append(F.when(F.coalesce(gap >= step, F.lit(True)), 0).otherwise(min(d, n)).cast("long"))
     nexts.append(F.lit(0).cast("long"))
-    mapped = drop_halo(ahead.withColumn("change", F.array(*nexts)).withColumn("pos", F.col("_rn") - 1))
+    mapped = materialise(drop_halo(ahead.withColumn("change", F.array(*nexts)).withColumn("pos", F.col("_rn") - 1)), "thin")
     states = entry_states(mapped.select(*line.keys, "pos", "change"), line.keys, state_maps(n + 1), n)
     joined = mapped.join(states, [*line.keys, "pos"])
     keep = F.element_at("change", (F.col("state") + 1).cast("int")) == 0

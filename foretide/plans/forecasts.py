@@ -14,7 +14,7 @@ from foretide.plans import views as V
 from foretide.plans.registry import query
 from foretide.plans.sessions import KEY, R, runs40
 from foretide.plans.timelines import marks, windows
-from foretide.settings import FOLDS, fresh_path
+from foretide.settings import FOLDS, fresh_path, materialise
 
 C = F.col
 FX = V.FX_HORIZONS
@@ -715,14 +715,11 @@ def _(spark, d):
 def fitted_windows(spark, d):
     """Windows of the forty study runs as (run, keys, x, y, ttf), written once: many fits read them."""
     w = windows(spark, d).withColumn("history", J.resample_even(C("history")))
-    keys = ["session_id", SLICE, "event_id", "ttf", "active_ms"] if SLICE in w.columns else ["session_id", "event_id", "ttf", "active_ms"]
-    a = J.aggregate_window(w, keys, ["motion"])
+    a = J.aggregate_window(w, ["session_id", SLICE, "event_id", "ttf", "active_ms"], ["motion"])
     runs = runs40(spark, d).select("session_id", "run")
     x = F.array(*[C(f"{s}_motion") for s in ("mean", "std", "min", "max", "delta")], C("active_ms") / 1000.0)
     out = a.join(runs, "session_id").select("run", "session_id", "event_id", "ttf", x.alias("x"), S.failure_targets(C("ttf"), FX).alias("y"))
-    path = fresh_path(spark, "windows")
-    out.write.parquet(path)
-    return spark.read.parquet(path)
+    return materialise(out, "windows")
 
 
 def small_folds(df):

@@ -17,7 +17,7 @@ from foretide.settings import COHORT, HORIZONS, LEGACY
 C = F.col
 R = lambda x, d=6: F.round(x.cast("double"), d)
 KEY = ["session_id", "event_id"]
-RUNS_LINE = Timeline((), ("started_ms", "session_id"), "started_ms", V.DAY_MS)
+RUNS_LINE = Timeline((), ("started_ms", "session_id"), "started_ms", V.HOUR_MS)
 PS = ", ".join(f"round(p{i}, 6) as p{i}" for i in range(7))
 MS6 = ", ".join(f"round(m{i}, 6) as m{i}" for i in range(7))
 
@@ -603,7 +603,7 @@ def _(spark, d):
        group by session_id""",
 )
 def _(spark, d):
-    return A.latency_p95(V.obs(spark, d), "motion", ["session_id"], 50.0).select("session_id", R(C("p95")).alias("p95"), R(C("p95_element")).alias("p95_element"))
+    return A.latency_p95(V.obs(spark, d), "motion", ["session_id"]).select("session_id", R(C("p95")).alias("p95"), R(C("p95_element")).alias("p95_element"))
 
 
 @query(
@@ -624,7 +624,7 @@ def _(spark, d):
     from foretide.operators.timeline import row_numbers
 
     # The listing itself is orderBy; its positions come from the sliced numbering.
-    newest = Timeline((), ("_neg", "_negid"), "_neg", V.DAY_MS)
+    newest = Timeline((), ("_neg", "_negid"), "_neg", V.HOUR_MS)
     s = V.session_facts(spark, d).withColumn("_neg", -C("started_ms")).withColumn("_negid", -C("session_id"))
     return row_numbers(s, newest, "position").select("session_id", "position")
 

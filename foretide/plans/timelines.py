@@ -41,7 +41,7 @@ where h.i = cast(round_even(k.i * (h.n - 1) / 31.0, 0) as bigint)""",
 
 def windows(spark, d, fields=("motion",)):
     """Anchored 8 s histories of every run with the duration and labels attached."""
-    w = J.select_history(V.obs(spark, d), O, fields)
+    w = J.select_history(V.obs(spark, d), V.HISTORY_LINE, fields)
     return w.join(V.session_facts(spark, d).select("session_id", "active_duration_ms"), "session_id").withColumn(
         "ttf", S.time_to_failure(C("active_duration_ms"), C("active_ms"))
     )
@@ -56,7 +56,7 @@ def windows(spark, d, fields=("motion",)):
 )
 def _(spark, d):
     w = windows(spark, d).withColumn("history", J.resample_even(C("history")))
-    f = A_window(w)
+    f = aggregated(w)
     y = f.withColumn("y", S.failure_targets(C("ttf"), V.FX_HORIZONS))
     rates = [F.sum(F.element_at("y", i + 1)).alias(f"_y{i}") for i in range(7)]
     per = y.groupBy("session_id").agg(F.count("*").alias("_n"), F.sum("mean_motion").alias("_m"), *rates)
@@ -68,15 +68,13 @@ def _(spark, d):
     )
 
 
-def A_window(w):
-    return J.aggregate_window(w, ["session_id", SLICE, "event_id", "ttf"], ["motion"]) if SLICE in w.columns else J.aggregate_window(
-        w, ["session_id", "event_id", "ttf"], ["motion"]
-    )
+def aggregated(w):
+    return J.aggregate_window(w, ["session_id", SLICE, "event_id", "ttf"], ["motion"])
 
 
 @query("j05_select_history", 'select session_id, event_id, "rows" as n, span_ms from fx_windows')
 def _(spark, d):
-    return J.select_history(V.obs(spark, d), O, ["motion"]).select(*KEY, C("rows").alias("n"), "span_ms")
+    return J.select_history(V.obs(spark, d), V.HISTORY_LINE, ["motion"]).select(*KEY, C("rows").alias("n"), "span_ms")
 
 
 @query("w06_anchors", "select session_id, event_id from fx_numbered where rn > 32 and (rn - 33) % 4 = 0")
@@ -97,7 +95,7 @@ def _(spark, d):
 )
 def _(spark, d):
     w = windows(spark, d).withColumn("history", J.resample_even(C("history")))
-    a = A_window(w)
+    a = aggregated(w)
     return a.select(*KEY, *[R(C(f"{s}_motion"), 9).alias(f"{s}_motion") for s in ("mean", "std", "min", "max", "delta")])
 
 

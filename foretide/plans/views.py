@@ -18,11 +18,15 @@ from foretide.settings import COHORT, LEGACY, prepare_session
 
 FX_HORIZONS = (1, 2, 3, 4, 6, 9, 12)
 TICK_US = 172_800_000
-SLICE_MS = 5_000
+# Carried values work on any width; histories copy 8 s of rows into every slice.
+SLICE_MS = 1_000
+HISTORY_SLICE_MS = 8_000
 MIN_COVERAGE = 0.95
 
 OBS_LINE = Timeline(("session_id",), ("ts_ms", "event_id"), "active_ms", SLICE_MS)
-DAY_MS = 86_400_000
+HISTORY_LINE = Timeline(OBS_LINE.keys, OBS_LINE.order, OBS_LINE.clock, HISTORY_SLICE_MS)
+HOUR_MS = 3_600_000
+DAY_MS = 24 * HOUR_MS
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Forecast horizons (seconds) and cohort policy.
 HORIZONS = (5, 10, 15, 20, 30, 45, 60)
@@ -62,3 +62,14 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     import uuid
 
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate result once and continue from the table.
+
+    For results that several branches of one plan read: the branches then share the
+    work, the plan stays small, and a lost executor costs a re-read.
+    """
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

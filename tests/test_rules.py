@@ -165,7 +165,7 @@ def test_quantiles_and_auroc(spark):
     rng = np.random.default_rng(1)
     v = rng.integers(0, 50, 500) / 4
     df = spark.createDataFrame(pd.DataFrame({"v": v}))
-    q = A.exact_quantiles(df, F.col("v"), {"a": 0.33, "b": 0.95}, cell=3.0).first()
+    q = A.exact_quantiles(df, F.col("v"), {"a": 0.33, "b": 0.95}, cells=7).first()
     assert q.a == pytest.approx(np.quantile(v, 0.33)) and q.b == pytest.approx(np.quantile(v, 0.95))
     p, y = rng.random(300).round(2), rng.integers(0, 2, 300)
     pairs = [(a > b) + 0.5 * (a == b) for a in p[y == 1] for b in p[y == 0]]
