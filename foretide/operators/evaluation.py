@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foretide.operators.aggregates import exact_quantiles
-from foretide.operators.timeline import Timeline, running
+from foretide.operators.timeline import Timeline, row_numbers, running
 from foretide.settings import LOCKED_TEST_RUNS, TARGET_RUNS
 
 
@@ -220,7 +220,8 @@ def paired_intervals(a: DataFrame, b: DataFrame, metrics: Sequence[str], seed: i
     pair = a.select("run", *[F.col(m).alias(f"a_{m}") for m in metrics]).join(
         b.select("run", *[F.col(m).alias(f"b_{m}") for m in metrics]), "run"
     )
-    pos = pair.withColumn("pos", F.row_number().over(Window.orderBy("run")) - 1)
+    numbered = row_numbers(pair, Timeline((), ("run",), "run", 10_000), "_rn")
+    pos = numbered.withColumn("pos", F.col("_rn") - 1).drop("_rn")
     n = pos.agg(F.count("*").alias("_n"))
     spark = a.sparkSession
     slots = (

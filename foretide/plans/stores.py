@@ -236,7 +236,7 @@ def event_stream(spark, d):
     """The events table as a file stream with the session clock (starts come from the batch table)."""
     prepare_session(spark)
     schema = spark.read.parquet(f"{d}/events.parquet").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", 64).parquet(d)
     e = raw.select(
         C("user_id").alias("session_id"), "event_id", C("ts").cast("timestamp").alias("ts"), F.unix_micros(C("ts").cast("timestamp")).alias("ts_us"), "event_type", C("value").alias("motion"),
     )
@@ -266,19 +266,32 @@ def live_model():
     return L.LiveModel(w, b)
 
 
-@query("st01_live_history")
+V.register_ctes(
+    {
+        "fx_live": """select * from (select *, sum(ok) over w as valid_frames, sum(ok) over (partition by session_id, g order by ts_ms, event_id) as n from (
+            select *, case when kind = 'frame' and coalesce(st, 'active') <> 'paused' then 1 else 0 end as ok from (
+              select *, last_value(case when kind <> 'frame' then kind end ignore nulls) over w as st, sum(case when kind = 'active' then 1 else 0 end) over w as g from (
+                select *, case when event_type = 'error' and event_id % 12 = 0 then 'paused' when event_type = 'signup' and event_id % 12 = 0 then 'active' else 'frame' end as kind from fx_obs)
+              window w as (partition by session_id order by ts_ms, event_id))) window w as (partition by session_id order by ts_ms, event_id)) where kind = 'frame'""",
+        "fx_livespan": "select session_id, event_id, active_ms - first_value(active_ms) over (partition by session_id, g order by ts_ms, event_id rows between 35 preceding and current row) as span from fx_live where ok = 1",
+        "fx_livestatus": "select l.*, case when ok = 0 then 'paused' when n < 8 or span < 1500 then 'warming_up' else 'ready' end as status from fx_live l left join fx_livespan s on s.session_id = l.session_id and s.event_id = l.event_id",
+    }
+)
+
+
+@query("st01_live_history", "select session_id, ts_ms, cast(valid_frames as bigint) as valid_frames, cast(least(36, n) as int) as history, active_ms as clock from fx_live")
 def _(spark, d):
     out = drain(spark, L.live_history(live_rows(event_stream(spark, d)), None), "history")
     return out.select("session_id", "ts_ms", "valid_frames", "history", "clock")
 
 
-@query("st02_pause_resume")
+@query("st02_pause_resume", "select session_id, count(case when ok = 0 then 1 end) as paused, cast(max(least(36, n)) as int) as longest from fx_live group by 1")
 def _(spark, d):
     out = drain(spark, L.live_history(live_rows(event_stream(spark, d)), live_model(), min_rows=8, min_span_ms=1500), "pauses")
     return out.groupBy("session_id").agg(F.count(F.when(C("status") == "paused", 1)).alias("paused"), F.max("history").alias("longest"))
 
 
-@query("st03_live_status")
+@query("st03_live_status", "select session_id, status, count(*) as n from fx_livestatus group by all")
 def _(spark, d):
     out = drain(spark, L.live_history(live_rows(event_stream(spark, d)), live_model(), min_rows=8, min_span_ms=1500), "status")
     return out.groupBy("session_id", "status").agg(F.count("*").alias("n"))
@@ -301,7 +314,18 @@ def signals(stream):
     return stream.select("session_id", "ts_ms", "event_id", (C("motion") / 20).alias("motion"), (t == "signup").alias("hidden"), F.lit(False).alias("paused"), (t == "error").alias("over"), F.lit(False).alias("playing"))
 
 
-@query("st06_run_detector")
+@query(
+    "st06_run_detector",
+    """with recursive sig as (select session_id, ts_ms, motion/20 >= 1.8 as moving, event_type = 'signup' as hidden, event_type = 'error' as done, row_number() over (partition by session_id order by ts_ms, event_id) as rn from fx_obs),
+walk as (select session_id, ts_ms, rn, 'idle' as state, case when moving and not hidden and not done then 1 else 0 end as streak, cast(null as varchar) as event from sig where rn = 1
+ union all
+ select q.session_id, q.ts_ms, q.rn,
+   case when q.state = 'idle' then case when q.hits >= 3 then 'active' else 'idle' end when q.done then 'idle' when q.hidden then 'paused' else 'active' end,
+   case when q.state = 'idle' and q.hits < 3 then q.hits else 0 end,
+   case when q.state = 'idle' then case when q.hits >= 3 then 'started' end when q.done then 'ended' when q.hidden then case when q.state <> 'paused' then 'paused' end when q.state = 'paused' then 'resumed' end
+ from (select s.*, w.state, case when s.hidden or s.done or not s.moving then 0 else w.streak + 1 end as hits from walk w join sig s on s.session_id = w.session_id and s.rn = w.rn + 1) q)
+select session_id, ts_ms, event from walk where event is not null""",
+)
 def _(spark, d):
     return drain(spark, L.run_detector(signals(event_stream(spark, d))), "detector").select("session_id", "ts_ms", "event")
 

@@ -464,7 +464,8 @@ def _(spark, d):
     + f" from fx_predictions window w as ({ORD} rows between 2 preceding and current row))",
 )
 def _(spark, d):
-    return W.smooth(V.predictions(spark, d), O).select(*KEY, *[R(F.element_at("smoothed", i + 1), 9).alias(f"s{i}") for i in range(7)])
+    m = V.predictions(spark, d).select(*KEY, "ts_ms", "active_ms", "m")
+    return W.smooth(m, O).select(*KEY, *[R(F.element_at("smoothed", i + 1), 9).alias(f"s{i}") for i in range(7)])
 
 
 @query(
