@@ -12,7 +12,7 @@ from foretide.operators import windows as W
 from foretide.operators.timeline import Timeline
 from foretide.plans import views as V
 from foretide.plans.registry import query
-from foretide.settings import COHORT, HORIZONS, LEGACY
+from foretide.settings import COHORT, HORIZONS
 
 C = F.col
 R = lambda x, d=6: F.round(x.cast("double"), d)
