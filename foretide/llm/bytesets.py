@@ -116,3 +116,15 @@ def grouped(texts, size: int = BLOCK) -> Iterator[tuple[list[int], np.ndarray]]:
         total += len(data) + 1
     if held:
         yield held, np.frombuffer(b"".join(parts), dtype=np.uint8)
+
+
+def grams(codes: np.ndarray, q: int, size: int = BLOCK // 4) -> np.ndarray:
+    """Hashes of all runs of ``q`` codes, of a sequence of any length."""
+    if len(codes) < q:
+        return np.zeros(0, np.uint64)
+    out = []
+    for a in range(0, len(codes) - q + 1, size):
+        part = codes[a : a + size + q - 1]
+        at = np.arange(len(part) - q + 1)
+        out.append(Hasher(part).spans(at, at + q))
+    return np.concatenate(out)

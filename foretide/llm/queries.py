@@ -7,14 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foretide.llm import decontaminate, mixing, sharding, simhash, toxicity
+from foretide.llm import decontaminate, linechunks, linefreq, mixing, quality, sharding, simhash, tokens, toxicity, warc
 from foretide.llm.common import fold, table
+from foretide.settings import fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TWINS: dict[str, str] = {}
 
 SHARDS, WEIGHTS = 24, [5, 2, 1]
 
+PAGES_SQL = """
+with p as (select page_id, encode(coalesce(html, '')) as body from pages),
+d as (select page_id, octet_length(body) as n, sha1(body) as digest from p),
+g as (select digest, max(page_id) as last_id from d where n >= 1000 group by digest)
+select d.page_id, cast(d.n as bigint) as payload_bytes, d.digest as payload_digest,
+       case when g.last_id is null or g.last_id = d.page_id then 'response' else 'revisit' end as record_type,
+       case when g.last_id <> d.page_id then g.last_id end as refers_to
+from d left join g on d.digest = g.digest
+"""
+
 
 def query(name: str, twin: str | None = None):
     def keep(fn):
@@ -48,6 +59,15 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(placed, pieces).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query("op3_tokens_orc")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = fresh_path(spark, "tokens")
+    tokens.write(table(spark, sf_dir, "documents"), path, str(public_tokenizers.path("byte_bpe_50k.json")))
+    return tokens.digests(spark, path)
+
+
 @query("op4_toxicity")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -61,6 +81,37 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query("op6_line_frequency")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = linefreq.judge(table(spark, sf_dir, "documents"))
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "removed_words")
+    return rows.select("doc_id", *counts, "base_failed", "kept")
+
+
 @query("op7_simhash")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op8_quality")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels").where(fold("doc_id", 3) != 1))
+    held = F.coalesce(fold("doc_id", 3) == 1, F.lit(False))
+    return quality.score(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
+@query("op9_line_chunks")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linechunks.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_chunks", "removed_chunks", "removed_words", "removed", F.crc32(F.col("text").cast("binary")).alias("kept_crc32"), "text")
+
+
+@query("op10_warc", PAGES_SQL)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "warc")
+    warc.write_pages(table(spark, sf_dir, "pages"), path)
+    # A response is measured on its payload as read back; a revisit has only its headers.
+    size = F.coalesce(F.octet_length("payload"), F.col("payload_bytes")).cast("long")
+    digest = F.coalesce(F.sha1("payload"), F.col("payload_digest"))
+    return warc.read(spark, path).select("page_id", size.alias("payload_bytes"), digest.alias("payload_digest"), "record_type", "refers_to")
