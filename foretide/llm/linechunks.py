@@ -38,7 +38,7 @@ def _trimmed(line: Column) -> Column:
 
 def chunks(text: Column, window: int = 2, divisor: int = 3) -> Column:
     """Array of chunks, each an array of lines; put together they are the text."""
-    lines = F.split(text, LINE_END)
+    lines = F.filter(F.split(text, LINE_END), lambda x: x != "")
     hashes = F.transform(lines, lambda x: F.xxhash64(_trimmed(x)))
 
     def ends(hs: Column, n: Column) -> Column:
