@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from foretide.functions.scalars import array_quantile, monotone
 from foretide.operators.quality import phase
-from foretide.operators.timeline import Timeline, previous_row, running
+from foretide.operators.timeline import Timeline, by_depth, null_safe_join, previous_row, running
 from foretide.settings import COHORT, DEVELOPMENT_RUNS, LOCKED_TEST_RUNS, TARGET_RUNS
 
 
@@ -186,23 +186,21 @@ def _at(i: int):
 
 
 def exact_quantiles(
-    df: DataFrame, value: Column, quantiles: dict[str, float], keys: Sequence[str] = (), cells: int = 4096
+    df: DataFrame, value: Column, quantiles: dict[str, float], keys: Sequence[str] = ()
 ) -> DataFrame:
     """Linear-interpolated quantiles of any number of rows per group.
 
     Built-in ``percentile`` keeps a group's distinct values in one buffer.  Here
-    equal values are merged, ranks accumulated over ``cells`` equal parts of the
-    group's value range, and only the one or two values around each wanted rank are
-    picked.  Adds ``<name>_element``, the value at position floor(q n).
+    equal values are merged, ranks accumulated over cells that hold about equally many
+    of them, and only the one or two values around each wanted rank are picked.  Adds ``<name>_element``, the value at position floor(q n).
     """
     hist = df.select(*keys, value.cast("double").alias("v")).where("v is not null").groupBy(*keys, "v").agg(
         F.count("*").alias("c")
     )
-    total = hist.groupBy(*keys).agg(F.sum("c").alias("n"), F.min("v").alias("_lo"), F.max("v").alias("_hi"))
-    joined = hist.join(total, list(keys)) if keys else hist.join(F.broadcast(total))
-    part = F.coalesce(F.try_divide(F.col("v") - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0)) * cells
-    line = Timeline(tuple(keys), ("v",), "_part", 1.0)
-    upto = running(joined.withColumn("_part", part), line, sums={"upto": F.col("c")})
+    hist, line = by_depth(hist, tuple(keys), "v", "quantiles")
+    total = hist.groupBy(*keys).agg(F.sum("c").alias("n"))
+    joined = null_safe_join(hist, total, list(keys)) if keys else hist.join(F.broadcast(total))
+    upto = running(joined, line, sums={"upto": F.col("c")})
 
     def at_rank(rank: Column) -> Column:
         return F.min(F.when(F.col("upto") > rank, F.col("v")))

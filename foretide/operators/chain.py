@@ -55,13 +55,18 @@ def state_maps(n: int) -> Family:
 
 
 def entry_states(
-    items: DataFrame, keys: Sequence[str], family: Family, initial: int, block: int = 512, levels: int = 2
+    items: DataFrame, keys: Sequence[str], family: Family, initial: int, block: int = 48, levels: int | None = None
 ) -> DataFrame:
     """State before each item: (keys, pos, state).
 
-    ``items`` has the keys, ``pos`` (0, 1, 2, … per key) and ``change``.  With the
-    defaults the topmost list holds one entry per 512**2 rows of a key.
+    ``items`` has the keys, ``pos`` (0, 1, 2, … per key) and ``change``.  There are as many
+    levels as the longest key needs for its topmost list to fit in one block.
     """
+    if levels is None:
+        longest = (items.agg(F.max("pos")).first()[0] or 0) + 1
+        levels = 0
+        while block ** (levels + 1) < longest:
+            levels += 1
     group = F.floor(F.col("pos") / block).cast("long") if levels else F.lit(0).cast("long")
     listed = items.groupBy(*keys, group.alias("_g")).agg(
         F.sort_array(F.collect_list(F.struct("pos", "change"))).alias("_items")

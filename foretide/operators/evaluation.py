@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foretide.operators.aggregates import exact_quantiles
-from foretide.operators.timeline import Timeline, row_numbers, running
+from foretide.operators.timeline import Timeline, by_depth, row_numbers, running
 from foretide.settings import LOCKED_TEST_RUNS, TARGET_RUNS
 
 
@@ -20,27 +20,27 @@ def brier(long_df: DataFrame, keys: Sequence[str] = ("h",)) -> DataFrame:
     return long_df.groupBy(*keys).agg(F.avg(F.pow(F.col("p") - F.col("y"), 2)).alias("brier"))
 
 
-def auroc(long_df: DataFrame, keys: Sequence[str] = ("h",), cells: int = 4096) -> DataFrame:
+def auroc(long_df: DataFrame, keys: Sequence[str] = ("h",)) -> DataFrame:
     """Rank-sum area under the ROC curve, ties averaged; .5 with a single class.
 
     Equal probabilities are merged first, then negatives below are accumulated over
-    cells of the probability axis: no ordering of all rows in one task.
+    cells with about equally many probabilities: no ordering of all rows in one task.
     """
     by_p = long_df.groupBy(*keys, "p").agg(
         F.sum(F.col("y").cast("long")).alias("pos"), F.sum(1 - F.col("y").cast("long")).alias("neg")
     )
-    line = Timeline(tuple(keys), ("p",), "p", 1.0 / cells)
-    below = running(by_p, line, sums={"neg_below": F.col("neg")}, inclusive=False)
+    celled, line = by_depth(by_p, tuple(keys), "p", "auroc")
+    below = running(celled, line, sums={"neg_below": F.col("neg")}, inclusive=False)
     area = F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2.0))
     pairs = F.sum("pos") * F.sum("neg")
     return below.groupBy(*keys).agg(F.when(pairs > 0, area / pairs).otherwise(0.5).alias("auroc"))
 
 
 def probability_bin(p: Column, bins: int = 10) -> Column:
-    """0..bins-1 by edges k/bins compared as doubles; 1.0 falls into the last."""
+    """0..bins-1 by edges k * (1 / bins), as doubles (ten bins: the third starts at 0.30000000000000004); 1.0 falls into the last."""
     out = F.lit(0)
     for k in range(1, bins):
-        out = F.when(p >= F.lit(k / bins), F.lit(k)).otherwise(out)
+        out = F.when(p >= F.lit(k * (1.0 / bins)), F.lit(k)).otherwise(out)
     return out
 
 
@@ -214,8 +214,8 @@ def bootstrap_multiplicity(runs: DataFrame, seed: int, run: str = "run") -> Data
 def paired_intervals(a: DataFrame, b: DataFrame, metrics: Sequence[str], seed: int = 1, resamples: int = 5000) -> DataFrame:
     """Paired bootstrap over runs: improvement, 95 % interval, runs won, per metric.
 
-    ``a`` and ``b`` hold run and metrics.  The evaluated cohort is small by contract
-    (at most the policy's run cap); resamples x runs draws are joined to it.
+    ``a`` and ``b`` hold run and metrics.  Every run contributes one draw to each
+    resample; the draws are spread over the runs and met by position.
     """
     pair = a.select("run", *[F.col(m).alias(f"a_{m}") for m in metrics]).join(
         b.select("run", *[F.col(m).alias(f"b_{m}") for m in metrics]), "run"
@@ -223,10 +223,9 @@ def paired_intervals(a: DataFrame, b: DataFrame, metrics: Sequence[str], seed: i
     numbered = row_numbers(pair, Timeline((), ("run",), "run", 10_000), "_rn")
     pos = numbered.withColumn("pos", F.col("_rn") - 1).drop("_rn")
     n = pos.agg(F.count("*").alias("_n"))
-    spark = a.sparkSession
     slots = (
-        spark.range(resamples).withColumnRenamed("id", "resample").join(F.broadcast(n))
-        .select("resample", "_n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("slot"))
+        pos.select(F.col("pos").alias("slot")).join(F.broadcast(n))
+        .select("slot", "_n", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(resamples - 1).cast("long"))).alias("resample"))
         .withColumn("pos", draw(F.col("resample") * 1009 + F.col("slot") * 7919 + seed * 104_729 + 1, F.col("_n")))
     )
     means = slots.join(pos, "pos").groupBy("resample").agg(

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from foretide.functions import scalars as S
 from foretide.operators.aggregates import exact_quantiles
 from foretide.operators.evaluation import bootstrap_multiplicity
-from foretide.operators.timeline import Timeline, running
+from foretide.operators.timeline import Timeline, by_depth, null_safe_join, running
 from foretide.settings import DEVELOPMENT_RUNS, FIT_RUNS, FOLDS, HORIZONS, TARGET_RUNS
 
 
@@ -76,29 +76,29 @@ def average_duration(train: DataFrame, default: float = 60.0) -> DataFrame:
     return per.agg(F.coalesce(F.avg("_d"), F.lit(default)).alias("avg_s"))
 
 
-def empirical_reference(train: DataFrame, rows: DataFrame, horizons: Sequence[float], cell: float = 0.25) -> DataFrame:
+def empirical_reference(train: DataFrame, rows: DataFrame, horizons: Sequence[float]) -> DataFrame:
     """Adds ``p``: share of training runs still going that end within each horizon.
 
-    ``rows`` carries a stable ``row_id``.
-    Counts of durations up to t and t + h are looked up by cumulative counts along
-    the time axis (one pass per bound), not by comparing with every run.
+    Counts of durations up to t and t + h are cumulative counts along the time axis, looked
+    up for each distinct elapsed time once and joined to the rows that share it.
     """
     from foretide.operators.aggregates import run_durations
 
     d = run_durations(train, "run").select(F.col("duration_median").alias("d"))
     hist = d.groupBy("d").agg(F.count("*").alias("c"))
     total = hist.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("_all"))
-    points = rows.withColumn("_id", F.col("row_id").cast("long"))
+    points = rows.select(F.col("elapsed").alias("_id")).distinct()
     bounds = [("b", 0.0), *[(f"w{i}", float(h)) for i, h in enumerate(horizons)]]
-    probes = points.select("_id", F.explode(F.array(*[F.struct(F.lit(n).alias("n"), (F.col("elapsed") + h).alias("t")) for n, h in bounds])).alias("_q")).select("_id", "_q.*")
+    probes = points.select("_id", F.explode(F.array(*[F.struct(F.lit(n).alias("n"), (F.col("_id") + h).alias("t")) for n, h in bounds])).alias("_q")).select("_id", "_q.*")
     # Durations sort before probes of the same time, so "up to and including" is counted.
-    marks = hist.select(F.col("d").alias("t"), F.lit(0).alias("_side"), F.lit(-1).cast("long").alias("_id"), F.lit("").alias("n"), "c").unionByName(
+    marks = hist.select(F.col("d").alias("t"), F.lit(0).alias("_side"), F.lit(-1.0).alias("_id"), F.lit("").alias("n"), "c").unionByName(
         probes.select("t", F.lit(1).alias("_side"), "_id", "n", F.lit(0).cast("long").alias("c"))
     )
-    line = Timeline((), ("t", "_side", "_id", "n"), "t", cell)
-    upto = running(marks, line, sums={"upto": F.col("c")}).where("_side = 1")
+    celled, _ = by_depth(marks, (), "t", "durations")
+    line = Timeline((), ("t", "_side", "_id", "n"), "_cell", 1)
+    upto = running(celled, line, sums={"upto": F.col("c")}).where("_side = 1")
     wide = upto.groupBy("_id").agg(*[F.max(F.when(F.col("n") == n, F.col("upto"))).alias(f"_u_{n}") for n, _ in bounds])
-    j = points.join(wide, "_id").join(F.broadcast(total))
+    j = null_safe_join(rows, wide.withColumnRenamed("_id", "elapsed"), ["elapsed"], "left").join(F.broadcast(total))
     beyond = F.col("_all") - F.col("_u_b")
     within = [F.col(f"_u_w{i}") - F.col("_u_b") for i in range(len(horizons))]
     p = S.monotone(F.array(*S.empirical_duration_probs(beyond, within)), len(horizons))

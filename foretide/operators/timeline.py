@@ -7,7 +7,11 @@ every window runs per (entity, slice).  What crosses a slice boundary travels as
 * a *carry*: one pre-aggregated row per slice, combined over the slices before
   (running sums, running maxima, last value, previous row), or
 * a *halo*: the few earlier rows a bounded frame can still see, replicated into
-  the slice that needs them and dropped again afterwards.
+  the slice that needs them and dropped again afterwards.  Frames of a number of rows
+  use buckets of row numbers instead of slices of time.
+
+Null keys are an entity of their own, a null clock is a slice of its own before all
+others; no row is lost.
 
 Rows per task are then bounded by capture rate x slice width, and results are
 identical for every width (tested).
@@ -21,6 +25,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from foretide.settings import materialise
+
 SLICE = "_slice"
 HALO = "_halo"
 
@@ -64,6 +70,27 @@ def sliced(df: DataFrame, line: Timeline) -> DataFrame:
     return df.withColumn(SLICE, line.slice_of())
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which null matches null; the right side's key columns are dropped."""
+    renamed = right.select(*[F.col(c).alias(f"_on_{c}") for c in on], *[c for c in right.columns if c not in on])
+    match = F.lit(True)
+    for c in on:
+        match = match & F.col(c).eqNullSafe(F.col(f"_on_{c}"))
+    return left.join(renamed, match, how).drop(*[f"_on_{c}" for c in on])
+
+
+def by_depth(df: DataFrame, keys: tuple[str, ...], value: str, name: str) -> tuple[DataFrame, Timeline]:
+    """``df`` cut into cells of about equal numbers of rows along ``value``, and their timeline.
+
+    Range partitioning places the borders by a sample of the rows, so one far outlier or
+    a crowded stretch does not put everything into one cell; equal values share a cell.
+    The cells are written once, so every later reader sees the same borders.
+    """
+    cells = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(cells, *keys, value).withColumn("_cell", F.spark_partition_id().cast("long"))
+    return materialise(ranged, name), Timeline(tuple(keys), (value,), "_cell", 1)
+
+
 def previous_row(df: DataFrame, line: Timeline, columns: dict[str, Column]) -> DataFrame:
     """Add, per row, the given expressions evaluated on the preceding row.
 
@@ -73,7 +100,7 @@ def previous_row(df: DataFrame, line: Timeline, columns: dict[str, Column]) -> D
     rows = sliced(df, line).withColumn("_now", payload)
     tail = rows.groupBy(*line.cells).agg(F.max_by("_now", line.position()).alias("_tail"))
     carry = tail.select(*line.cells, F.lag("_tail").over(line.across()).alias("_carry"))
-    joined = rows.join(carry, line.cells).withColumn(
+    joined = null_safe_join(rows, carry, line.cells).withColumn(
         "_prev", F.coalesce(F.lag("_now").over(line.local()), F.col("_carry"))
     )
     added = [F.col(f"_prev.{n}").alias(n) for n in columns]
@@ -119,7 +146,7 @@ def running(
         for n in lasts
     ]
     new = {*sums, *maxima, *lasts}
-    return rows.join(carry, line.cells).select(*[c for c in df.columns if c not in new], *out)
+    return null_safe_join(rows, carry, line.cells).select(*[c for c in df.columns if c not in new], *out)
 
 
 def row_numbers(df: DataFrame, line: Timeline, name: str = "rn") -> DataFrame:
@@ -163,7 +190,7 @@ def running_pairs(
     carry = per.select(*line.cells, *[f"_c_{n}" for n in sums])
     frame = line.local().rowsBetween(Window.unboundedPreceding, 0)
     out = [(F.sum(f"_in_{n}").over(frame) + F.col(f"_c_{n}")).alias(n) for n in sums]
-    return rows.join(carry, line.cells).select(*[c for c in df.columns if c not in sums], *out)
+    return null_safe_join(rows, carry, line.cells).select(*[c for c in df.columns if c not in sums], *out)
 
 
 def islands(df: DataFrame, line: Timeline, value: Column, name: str = "island") -> DataFrame:
@@ -175,36 +202,22 @@ def islands(df: DataFrame, line: Timeline, value: Column, name: str = "island")
     return running_pairs(df, line, {"v": value}, {name: start})
 
 
-def with_earlier_rows(df: DataFrame, line: Timeline, n: int) -> DataFrame:
-    """Slices padded by the ``n`` rows before them, for ROWS frames up to ``n`` back.
+def with_earlier_rows(df: DataFrame, line: Timeline, n: int, bucket: int = 256) -> DataFrame:
+    """Buckets of consecutive rows padded by the ``n`` rows before them, for ROWS frames up to ``n`` back.
 
-    Slices are placed by how many rows precede them.  The rows a slice needs lie in
-    the slices that begin within ``n`` rows of it and in the one before those, so at
-    most 2 n rows are gathered per slice.  Evaluate frames over ``line.local()`` and
-    finish with :func:`drop_halo`.
+    Rows are numbered per entity (numbers cross slices as carries) and fall into buckets
+    of ``max(bucket, n)``; the last ``n`` rows of a bucket are also sent to the next.  No
+    task gets more than twice a bucket of an entity, and nothing runs over whole
+    entities.  Evaluate frames over ``line.local()`` and finish with :func:`drop_halo`.
     """
-    rows = sliced(df, line)
-    whole = F.struct(*[F.col(c) for c in df.columns])
-    tails = (
-        rows.withColumn("_back", F.row_number().over(line.local(descending=True)))
-        .withColumn("_size", F.count("*").over(Window.partitionBy(*line.cells)))
-        .where(F.col("_back") <= n)
-        .groupBy(*line.cells)
-        .agg(
-            F.max("_size").alias("_size"),
-            F.sort_array(F.collect_list(F.struct(line.position().alias("at"), whole.alias("row")))).alias("_t"),
-        )
-        .withColumn("_start", F.sum("_size").over(line.across()) - F.col("_size"))
-    )
-    placed = Window.partitionBy(*line.keys).orderBy("_start")
-    straddling = F.last("_t").over(placed.rangeBetween(Window.unboundedPreceding, -n - 1))
-    near = F.flatten(F.collect_list("_t").over(placed.rangeBetween(-n, -1)))
-    halo = (
-        tails.select(*line.cells, F.concat(F.coalesce(straddling, F.slice("_t", 1, 0)), near).alias("_seen"))
-        .select(SLICE, F.explode(F.slice("_seen", -F.greatest(F.lit(1), F.least(F.size("_seen"), F.lit(n))), n)).alias("_h"))
-        .select("_h.row.*", SLICE, F.lit(True).alias(HALO))
+    size = max(bucket, n)
+    at = F.col("_row_no") - 1
+    own = F.floor(at / size).cast("long")
+    seen = F.when(F.pmod(at, F.lit(size)) >= size - n, F.array(own, own + 1)).otherwise(F.array(own))
+    numbered = row_numbers(df, line, "_row_no")
+    return numbered.select(*df.columns, own.alias("_own"), F.explode(seen).alias(SLICE)).select(
+        *df.columns, SLICE, (F.col(SLICE) != F.col("_own")).alias(HALO)
     )
-    return rows.withColumn(HALO, F.lit(False)).unionByName(halo)
 
 
 def with_earlier_time(df: DataFrame, line: Timeline, span: float) -> DataFrame:

@@ -12,7 +12,7 @@ from foretide.operators import timejoin as J
 from foretide.operators.timeline import SLICE, Timeline
 from foretide.plans import views as V
 from foretide.plans.registry import query
-from foretide.plans.sessions import KEY, R, runs40
+from foretide.plans.sessions import KEY, R, cohort_runs, runs40
 from foretide.plans.timelines import marks, windows
 from foretide.settings import FOLDS, fresh_path, materialise
 
@@ -29,9 +29,9 @@ def long_rows(spark, d):
 V.register_ctes(
     {
         "fx_dev": """select l.*, cast(r.run as bigint) as run, l.active_ms/1000.0 as elapsed, row_number() over (partition by l.session_id order by l.ts_ms, l.event_id) as row_id
-            from fx_labelled l join fx_runs40 r using (session_id)""",
+            from fx_labelled l join fx_runs r using (session_id)""",
         "fx_train": "select * from fx_dev where run <= 24",
-        "fx_test": "select * from fx_dev where run > 24 and run <= 30",
+        "fx_test": "select * from fx_dev where run > 24",
         "fx_const": "select " + ", ".join(f"avg(y{i}) as c{i}" for i in range(7)) + " from fx_train",
         "fx_avgdur": "select avg(d) as avg_s from (select max(elapsed + ttf) as d from fx_train group by run)",
     }
@@ -51,13 +51,13 @@ V.register_ctes(
 
 
 def development(spark, d):
-    runs = runs40(spark, d).select("session_id", "run")
+    runs = cohort_runs(spark, d).select("session_id", "run")
     return V.labelled(spark, d).join(runs, "session_id").withColumn("elapsed", C("active_ms") / 1000.0)
 
 
 def parts(spark, d):
     dev = development(spark, d)
-    return dev.where("run <= 24"), dev.where("run > 24 and run <= 30")
+    return dev.where("run <= 24"), dev.where("run > 24")
 
 
 def references(spark, d):
@@ -146,11 +146,11 @@ EMP = [f"(count(case when d > elapsed and d <= elapsed + {h} then 1 end) + 0.5)/
 @query(
     "f10_empirical_duration",
     "select session_id, event_id, " + ", ".join(f"round({e}, 6) as p{i}" for i, e in enumerate(EMP))
-    + " from (select session_id, event_id, elapsed from fx_dev where run > 24 and run <= 30), (select median(elapsed + ttf) as d from fx_train group by run) group by session_id, event_id",
+    + " from (select session_id, event_id, elapsed from fx_dev where run > 24), (select median(elapsed + ttf) as d from fx_train group by run) group by session_id, event_id",
 )
 def _(spark, d):
     train, test = parts(spark, d)
-    e = M.empirical_reference(train, test.withColumn("row_id", C("event_id")), FX)
+    e = M.empirical_reference(train, test, FX)
     return e.select(*KEY, *[R(F.element_at("p", i + 1)).alias(f"p{i}") for i in range(7)])
 
 
@@ -183,7 +183,7 @@ def _(spark, d):
     return E.auroc(long_rows(spark, d)).select("h", R(C("auroc")).alias("auroc"))
 
 
-BIN = "case " + " ".join(f"when p >= {k / 10!r} then {k}" for k in range(9, 0, -1)) + " else 0 end"
+BIN = "case " + " ".join(f"when p >= {k * 0.1!r}::double then {k}" for k in range(9, 0, -1)) + " else 0 end"
 
 
 @query(
@@ -283,22 +283,22 @@ SQUARES = "(" + " + ".join(f"pow(m{i} - y{i}, 2)" for i in range(7)) + ")/7"
 V.register_ctes(
     {
         "fx_perrun": f"""select run, avg({SQUARES}) as brier, avg(case when ttf <= 12 then abs(remaining - ttf) end) as mae, avg(case when ttf <= 2 then abs(remaining - ttf) end) as final_near_mae,
-        coalesce(avg(case when ttf > 12 then case when m6 >= .5 then 1.0 else 0.0 end end), 0.0) as false_warning_fraction, max(case when m6 >= .5 then ttf end) as first_warning_lead from fx_dev where run <= 30 group by run"""
+        coalesce(avg(case when ttf > 12 then case when m6 >= .5 then 1.0 else 0.0 end end), 0.0) as false_warning_fraction, max(case when m6 >= .5 then ttf end) as first_warning_lead from fx_dev group by run"""
     }
 )
 
 
 def per_run(spark, d):
-    dev = development(spark, d).where("run <= 30").withColumn("alarm", F.element_at("m", 7) >= 0.5)
+    dev = development(spark, d).withColumn("alarm", F.element_at("m", 7) >= 0.5)
     return E.per_run_metrics(dev, "run", CAP, 2.0)
 
 
 RUN_METRICS = ("brier", "mae", "final_near_mae", "false_warning_fraction", "first_warning_lead")
 
 
-@query("e09_per_run_metrics", "select run, " + ", ".join(f"round({c}, 6) as {c}" for c in RUN_METRICS) + " from fx_perrun")
+@query("e09_per_run_metrics", "select run, " + ", ".join(f"round({c}, 9) as {c}" for c in RUN_METRICS) + " from fx_perrun")
 def _(spark, d):
-    return per_run(spark, d).select("run", *[R(C(c)).alias(c) for c in RUN_METRICS])
+    return per_run(spark, d).select("run", *[R(C(c), 9).alias(c) for c in RUN_METRICS])
 
 
 @query("a15_macro_mean", "select " + ", ".join(f"round(avg({c}), 6) as {c}" for c in RUN_METRICS[:4]) + " from fx_perrun")
@@ -371,7 +371,7 @@ BOOT_X = DRAW_SQL.format(x="s.resample*1009 + k.slot*7919 + 1*104729 + 1", n="n.
 @query(
     "e12_paired_intervals",
     f"""with pr as (select run, brier, mae, row_number() over (order by run) - 1 as pos from fx_perrun), n as (select count(*) as n from pr),
-        means as (select s.resample, avg(brier*0.25 - 0.01) as brier, avg(mae*0.5 - 1.0) as mae from range(200) s(resample), n, range(40) k(slot) join pr on pr.pos = {BOOT_X} where k.slot < n.n group by 1)
+        means as (select s.resample, avg(brier*0.25 - 0.01) as brier, avg(mae*0.5 - 1.0) as mae from range(5000) s(resample), n, (select pos as slot from pr) k join pr on pr.pos = {BOOT_X} group by 1)
         select metric, round(improvement, 6) as improvement, round(low, 6) as low, round(high, 6) as high, runs_won, runs from (
           select 'brier' as metric, (select avg(brier*0.25 - 0.01) from pr) as improvement, (select quantile_cont(brier, .025) from means) as low, (select quantile_cont(brier, .975) from means) as high,
                  (select count(*) from pr where brier*0.25 > 0.01) as runs_won, (select count(*) from pr) as runs
@@ -381,7 +381,7 @@ BOOT_X = DRAW_SQL.format(x="s.resample*1009 + k.slot*7919 + 1*104729 + 1", n="n.
 def _(spark, d):
     base = per_run(spark, d).select("run", "brier", "mae")
     better = base.select("run", (C("brier") * 0.75 + 0.01).alias("brier"), (C("mae") * 0.5 + 1.0).alias("mae"))
-    p = E.paired_intervals(better, base, ["brier", "mae"], 1, 200)
+    p = E.paired_intervals(better, base, ["brier", "mae"], 1)
     return p.select("metric", *[R(C(c)).alias(c) for c in ("improvement", "low", "high")], "runs_won", "runs")
 
 
@@ -722,16 +722,16 @@ def fitted_windows(spark, d):
     return materialise(out, "windows")
 
 
-def small_folds(df):
-    """The study's folds, or their proportions when there are fewer runs."""
-    n = df.agg(F.max("run")).first()[0] or 0
-    return FOLDS if n >= 30 else [tuple(max(1, round(n * x / 30)) for x in f) for f in FOLDS]
+def study_folds(df):
+    """The study's folds; a run without windows is refused."""
+    M.assert_folds(df)
+    return FOLDS
 
 
 @query("m03_logistic")
 def _(spark, d):
     w = fitted_windows(spark, d)
-    a, b, c = small_folds(w)[-1]
+    a, b, c = study_folds(w)[-1]
     p = M.predict_horizons(M.fit_horizons(w.where(C("run") <= a), w.where((C("run") > a) & (C("run") <= b)), "x", 7), w.where((C("run") > b) & (C("run") <= c)), "x")
     return p.select("run", "session_id", "event_id", "p")
 
@@ -739,7 +739,7 @@ def _(spark, d):
 @query("m04_boosted_trees")
 def _(spark, d):
     w = fitted_windows(spark, d)
-    a, b, c = small_folds(w)[-1]
+    a, b, c = study_folds(w)[-1]
     # One horizon: the ensemble size and depth are the reference's.
     y = F.element_at("y", 4)
     train, test = M.vectors(w.where(C("run") <= a), "x"), M.vectors(w.where((C("run") > b) & (C("run") <= c)), "x")
@@ -750,7 +750,7 @@ def _(spark, d):
 @query("m07_calibrate")
 def _(spark, d):
     w = fitted_windows(spark, d)
-    a, b, c = small_folds(w)[-1]
+    a, b, c = study_folds(w)[-1]
     y = F.element_at("y", 5)
     parts_ = [M.vectors(w.where(q), "x") for q in (C("run") <= a, (C("run") > a) & (C("run") <= b), (C("run") > b) & (C("run") <= c))]
     model = M.calibrate(M.fit(parts_[0], "x", y), parts_[1], y)
@@ -760,7 +760,7 @@ def _(spark, d):
 @query("m09_ensemble")
 def _(spark, d):
     w = fitted_windows(spark, d).withColumn("y", F.array(F.element_at("y", 3), F.element_at("y", 5), F.element_at("y", 7)))
-    a, b, c = small_folds(w)[-1]
+    a, b, c = study_folds(w)[-1]
     run = C("run")
     ens = M.fit_ensemble(w.where(run <= a), w.where((run > a) & (run <= b)), "x", 3, members=3)
     got = M.member_predictions(ens, w.where((run > b) & (run <= c)), "x")
@@ -770,7 +770,7 @@ def _(spark, d):
 @query("m12_candidate_grid")
 def _(spark, d):
     w = fitted_windows(spark, d).withColumn("y", F.array(F.element_at("y", 4), F.element_at("y", 7)))
-    grid = M.run_grid(w, {"elapsed": [5], "motion": [0, 1, 2, 3, 4]}, ["logistic"], 2, small_folds(w))
+    grid = M.run_grid(w, {"elapsed": [5], "motion": [0, 1, 2, 3, 4]}, ["logistic"], 2, study_folds(w))
     per = grid.select("candidate", "fold", "run", F.explode(F.arrays_zip("p", "y")).alias("_z"))
     return per.groupBy("candidate", "fold", "run").agg(F.avg(F.pow(C("_z.p") - C("_z.y"), 2)).alias("brier"))
 
@@ -778,7 +778,7 @@ def _(spark, d):
 @query("m15_freeze_candidate")
 def _(spark, d):
     w = fitted_windows(spark, d).withColumn("y", F.array(F.element_at("y", 5)))
-    n = small_folds(w)[-1]
+    n = study_folds(w)[-1]
     models = M.fit_horizons(w.where(C("run") <= n[0]), w.where((C("run") > n[0]) & (C("run") <= n[2])), "x", 1)
     return M.freeze(models, fresh_path(spark, "frozen"), {"fit_to": int(n[0]), "calibrate_to": int(n[2]), "purpose": "prospective candidate"})
 

@@ -9,7 +9,7 @@ from foretide.operators import aggregates as A
 from foretide.operators import quality as Q
 from foretide.operators import timejoin as J
 from foretide.operators import windows as W
-from foretide.operators.timeline import Timeline
+from foretide.operators.timeline import Timeline, row_numbers
 from foretide.plans import views as V
 from foretide.plans.registry import query
 from foretide.settings import COHORT, HORIZONS
@@ -415,19 +415,23 @@ def _(spark, d):
        (select row_number() over (order by started_ms, session_id) as idx from fx_cohort)""",
 )
 def _(spark, d):
-    from foretide.operators.timeline import row_numbers
-
     return row_numbers(V.cohort(spark, d), RUNS_LINE, "idx").select("idx", Q.phase(C("idx")).alias("phase"))
 
 
+def cohort_runs(spark, d):
+    """Cohort runs numbered by start; the cohort's rules come before any cap."""
+    return row_numbers(V.cohort(spark, d), RUNS_LINE, "run")
+
+
 def runs40(spark, d):
-    """First forty runs by start, as the fixed study cohort."""
-    return W.run_order(V.session_facts(spark, d)).withColumn("run", C("run_order").cast("long"))
+    """The first forty cohort runs, as the fixed study."""
+    return W.run_order(V.cohort(spark, d)).withColumn("run", C("run_order").cast("long"))
 
 
 V.register_ctes(
     {
-        "fx_runs40": "select *, run_order as run from (select *, row_number() over (order by started_ms, session_id) as run_order from fx_facts) where run_order <= 40",
+        "fx_runs": "select *, row_number() over (order by started_ms, session_id) as run from fx_cohort",
+        "fx_runs40": "select *, run as run_order from fx_runs where run <= 40",
     }
 )
 

@@ -8,8 +8,8 @@ from foretide.operators.timeline import Timeline
 from foretide.plans import boards
 from foretide.plans import views as V
 from foretide.plans.registry import query
-from foretide.plans.sessions import KEY, R, runs40
-from foretide.settings import COHORT, fresh_path, prepare_session
+from foretide.plans.sessions import KEY, R, cohort_runs
+from foretide.settings import fresh_path, prepare_session
 from foretide.sources import readers as RD
 from foretide.sources import store as ST
 from foretide.streaming import live as L
@@ -95,7 +95,7 @@ def _(spark, d):
 def stored_windows(spark, d):
     """Labelled rows of the study runs, written partitioned by run."""
     path = fresh_path(spark, "stored")
-    runs = runs40(spark, d).select("session_id", C("run").alias("run_order"))
+    runs = cohort_runs(spark, d).select("session_id", C("run").alias("run_order"))
     rows = V.labelled(spark, d).join(runs, "session_id").select("run_order", *KEY, "ttf", "active_ms")
     summary = rows.agg(F.count("*").alias("windows"))
     RD.write_windows(rows, path, summary)
@@ -206,20 +206,15 @@ def _(spark, d):
     return spark.read.schema("run long, n long").json(path)
 
 
-@query("snk09_checkpoint_cohort", "select session_id, started_ms, 20 as usable_runs from fx_cohort where (select count(*) from fx_cohort) >= 20 order by started_ms, session_id limit 20")
+@query("snk09_checkpoint_cohort", "select session_id, started_ms, 20 as usable_runs from fx_cohort order by started_ms, session_id limit 20")
 def _(spark, d):
     tables = {"sessions": V.sessions(spark, d), "lifecycle": V.lifecycle(spark, d)}
-    if tables["sessions"].where(C("usable") & (C("model_version") == COHORT)).count() < 20:
-        # Too small a cohort has no milestone yet.
-        return tables["sessions"].limit(0).select("session_id", "started_ms", F.lit(20).alias("usable_runs"))
     return ST.checkpoint_cohort(tables, 20, fresh_path(spark, "checkpoints")).select("session_id", "started_ms", "usable_runs")
 
 
-@query("a07_checkpoint_summary", "select 20 as usable_runs, 20 as session_count from events having count(*) > 0 and (select count(*) from fx_cohort) >= 20")
+@query("a07_checkpoint_summary", "select 20 as usable_runs, 20 as session_count from events having count(*) > 0")
 def _(spark, d):
     tables = {"sessions": V.sessions(spark, d)}
-    if tables["sessions"].where(C("usable") & (C("model_version") == COHORT)).count() < 20:
-        return tables["sessions"].limit(0).select(F.lit(20).alias("usable_runs"), F.lit(20).alias("session_count"))
     path = fresh_path(spark, "checkpoints")
     ST.checkpoint_cohort(tables, 20, path)
     return ST.list_checkpoints(spark, path).select("usable_runs", "session_count")

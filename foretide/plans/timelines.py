@@ -12,7 +12,7 @@ from foretide.operators import windows as W
 from foretide.operators.timeline import SLICE, Timeline, row_numbers
 from foretide.plans import views as V
 from foretide.plans.registry import query
-from foretide.plans.sessions import KEY, RUNS_LINE, R, runs40
+from foretide.plans.sessions import KEY, RUNS_LINE, R, cohort_runs, runs40
 
 C = F.col
 O = V.OBS_LINE
@@ -307,10 +307,10 @@ def _(spark, d):
 
 @query(
     "j15_expand_grid",
-    "select run, candidate, fold, count(*) as n from fx_runs40 join fx_obs using (session_id), (values ('a'),('b')) c(candidate), range(3) f(fold) where run <= 30 group by all",
+    "select run, candidate, fold, count(*) as n from fx_runs join fx_obs using (session_id), (values ('a'),('b')) c(candidate), range(3) f(fold) group by all",
 )
 def _(spark, d):
-    runs = runs40(spark, d).where("run <= 30").select("session_id", "run")
+    runs = cohort_runs(spark, d).select("session_id", "run")
     n = V.obs(spark, d).join(runs, "session_id").groupBy("run").agg(F.count("*").alias("n"))
     return J.expand_grid(n, candidate=["a", "b"], fold=[0, 1, 2]).select("run", "candidate", C("fold").cast("long").alias("fold"), "n")
 
@@ -524,14 +524,14 @@ V.register_ctes(
     {
         "fx_ctx": """select s.session_id, run, s.event_id, s.active_ms, case when s.event_id % 97 = 0 then 'gray_not_found' when n < 9 or first_seg <> segment then 'insufficient_continuous_context' when bad > 0 then 'invalid_frame_in_context' else 'ok' end as reason from (
         select *, count(*) over w as n, first(segment) over w as first_seg, sum(case when event_id % 97 = 0 then 1 else 0 end) over w as bad from fx_segments
-        window w as (partition by session_id order by ts_ms, event_id rows between 8 preceding and current row)) s join fx_runs40 r using (session_id) where run <= 30""",
+        window w as (partition by session_id order by ts_ms, event_id rows between 8 preceding and current row)) s join fx_runs r using (session_id)""",
     }
 )
 
 
 def contexts(spark, d):
     f = segmented(spark, d).withColumn("valid", C("event_id") % 97 != 0).withColumn("frame_reason", F.when(C("event_id") % 97 == 0, "gray_not_found").otherwise("ok"))
-    runs = runs40(spark, d).where("run <= 30").select("session_id", "run", "active_duration_ms")
+    runs = cohort_runs(spark, d).select("session_id", "run", "active_duration_ms")
     return W.context_validity(f, O, 9).join(runs, "session_id")
 
 

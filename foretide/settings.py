@@ -33,18 +33,18 @@ KNOWN_KINDS = ("sklearn_personal_survival", "torchscript_personal_survival")
 
 
 def prepare_session(spark: SparkSession) -> SparkSession:
-    """Session options every plan relies on; cluster sizing stays with the cluster."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    spark.conf.set("spark.sql.adaptive.enabled", "true")
-    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    """The one session option every plan relies on; everything else stays with the caller."""
+    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark
 
 
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (local tests) a fresh folder is made, and
-    remembered in the session so that later calls agree.
+    Only where a local master names none (tests) a fresh folder is made, and remembered
+    in the session so that later calls agree.  On a cluster every executor would write to
+    a folder of its own, so there a missing setting is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
@@ -52,6 +52,9 @@ def shared_folder(spark: SparkSession) -> str:
     if not folder:
         folder = spark.conf.get("foretide.shared.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
         spark.conf.set("foretide.shared.dir", folder)
     return folder.rstrip("/")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -158,11 +159,14 @@ def checkpoint_cohort(tables: dict[str, DataFrame], n: int, path: str) -> DataFr
 
 
 def _finished(spark: SparkSession, path: str) -> bool:
+    """A folder that is missing, or holds no finished file yet, means "not there"; other errors are raised."""
     try:
         spark.read.parquet(path).schema  # noqa: B018
         return True
-    except Exception:  # noqa: BLE001 - missing or unfinished output both mean "not there"
-        return False
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return False
+        raise
 
 
 def list_checkpoints(spark: SparkSession, path: str) -> DataFrame:

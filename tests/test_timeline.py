@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from foretide.operators import timeline as T
@@ -105,3 +106,64 @@ def test_without_keys(spark):
     got = back(T.row_numbers(spark.createDataFrame(p), line, "rn"), "rn")
     q = p.sort_values(["t", "id"]).reset_index(drop=True)
     assert got.rn.tolist() == want(q, np.arange(len(q)) + 1)
+
+
+def test_hot_entity_is_spread_over_buckets(spark):
+    """One entity owns a third of the rows: no bucket holds more than twice its size."""
+    rows = spark.range(6_000).selectExpr("if(id % 3 = 0, 0, id % 50 + 1) as e", "id as t", "id as v")
+    line = T.Timeline(("e",), ("t",), "t", 100)
+    padded = T.with_earlier_rows(rows, line, 5, bucket=64)
+    most = padded.groupBy("e", T.SLICE).count().agg(F.max("count")).first()[0]
+    assert most <= 2 * 64
+    frame = line.local().rowsBetween(-5, 0)
+    got = T.drop_halo(padded.withColumn("x", F.sum("v").over(frame))).select("e", "t", "x")
+    want = rows.withColumn("x", F.sum("v").over(Window.partitionBy("e").orderBy("t").rowsBetween(-5, 0))).select("e", "t", "x")
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+
+def test_null_keys_and_clocks_lose_no_row(spark):
+    df = spark.createDataFrame([(1, 5, 1), (None, 7, 2), (1, None, 3), (None, None, 4), (1, 900, 5)], "e long, t long, v long")
+    line = T.Timeline(("e",), ("t", "v"), "t", 100)
+    sums = {r["v"]: r["s"] for r in T.running(df, line, sums={"s": F.col("v")}).collect()}
+    assert sums == {3: 3, 1: 4, 5: 9, 4: 4, 2: 6}
+    before = {r["v"]: r["p"] for r in T.previous_row(df, line, {"p": F.col("v")}).collect()}
+    assert before == {3: None, 1: 3, 5: 1, 4: None, 2: 4}
+    assert {r["v"]: r["rn"] for r in T.row_numbers(df, line).collect()} == {3: 1, 1: 2, 5: 3, 4: 1, 2: 2}
+
+
+def test_one_far_value_does_not_crowd_a_cell(spark):
+    df = spark.range(20_000).selectExpr("cast(id as double) as v").unionByName(spark.createDataFrame([(1e18,)], "v double"))
+    cells, _ = T.by_depth(df, (), "v", "depth")
+    assert cells.groupBy("_cell").count().agg(F.max("count")).first()[0] < 0.7 * 20_000
+    from foretide.operators.aggregates import exact_quantiles
+
+    assert exact_quantiles(df, F.col("v"), {"m": 0.5}).first()["m"] == 10_000.0
+
+
+def test_chain_of_three_levels(spark):
+    from foretide.operators.chain import clamps, entry_states
+
+    n, q, want = 48 * 48 + 1, 0, []
+    items = []
+    for i in range(n):
+        lo, hi = (i * 7) % 50 - 30, (i * 7) % 50 + (i % 11)
+        items.append((1, i, (lo, hi)))
+        want.append(q)
+        q = min(max(q, lo), hi)
+    df = spark.createDataFrame(items, "k long, pos long, change struct<lo:bigint,hi:bigint>")
+    got = {r["pos"]: r["state"] for r in entry_states(df, ["k"], clamps(), 0).collect()}
+    assert [got[i] for i in range(n)] == want
+
+
+def test_shared_folder_must_be_named_off_a_local_master():
+    from types import SimpleNamespace
+
+    from foretide.settings import shared_folder
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    fake = SimpleNamespace(conf=Conf(), sparkContext=SimpleNamespace(master="spark://h:7077", getConf=lambda: Conf()))
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared_folder(fake)
