@@ -328,19 +328,20 @@ def fold_scores(spark, d):
 
 def screened(spark, d):
     folds = fold_scores(spark, d)
+    # Each candidate fails other gates.
+    turn = F.regexp_extract("candidate", r"(\d+)", 1).cast("int")
     result = folds.groupBy("candidate").agg(F.avg("brier").alias("brier"), F.avg("mae").alias("mae"), (F.avg("mae") / 2).alias("final10")).select(
-        "*", F.lit(0.1).alias("worst_ece"), F.lit(0.7).alias("recall"), F.lit(0.1).alias("false_per_minute")
+        "*", (F.lit(0.09) + turn * 0.02).alias("worst_ece"), (F.lit(0.55) + turn * 0.1).alias("recall"), (turn * 0.09).alias("false_per_minute")
     )
     base = folds.select("fold", "base_brier", "base_mae").distinct().agg(
         F.lit("reference").alias("name"), F.avg("base_brier").alias("brier"), F.avg("base_mae").alias("mae"), (F.avg("base_mae") / 2).alias("final10")
     )
-    cov = runs40(spark, d).agg(F.lit(0.97).alias("coverage"), F.count("*").alias("_n"))
-    return E.screen(result, base, folds, cov)
+    return E.screen(result, base, folds, V.cohort(spark, d).select("coverage"))
 
 
 SCREEN_SQL = """select candidate, round(c.brier, 6) as brier, round(c.mae, 6) as mae, c.brier <= .9*b.brier as probability, c.mae <= .9*b.mae as "time", w.won >= 2 as folds, c.mae/2 <= 1.1*b.mae/2 as final_ten,
-       true as calibration, true as timely, true as false_alarms, true as coverage, c.brier <= .9*b.brier and c.mae <= .9*b.mae and w.won >= 2 and c.mae/2 <= 1.1*b.mae/2 as qualifies
-       from (select candidate, avg(brier) as brier, avg(mae) as mae from fx_folds group by 1) c, (select avg(base_brier) as brier, avg(base_mae) as mae from fx_foldbase) b,
+       k <= 1 as calibration, k >= 1 as timely, k <= 2 as false_alarms, v.coverage >= .95 as coverage, c.brier <= .9*b.brier and c.mae <= .9*b.mae and w.won >= 2 and c.mae/2 <= 1.1*b.mae/2 and k = 1 and v.coverage >= .95 as qualifies
+       from (select candidate, cast(right(candidate, 1) as int) as k, avg(brier) as brier, avg(mae) as mae from fx_folds group by 1) c, (select min(coverage) as coverage from fx_cohort) v, (select avg(base_brier) as brier, avg(base_mae) as mae from fx_foldbase) b,
        (select candidate as cw, count(case when f.brier < g.base_brier and f.mae < g.base_mae then 1 end) as won from fx_folds f join fx_foldbase g using (fold) group by 1) w where w.cw = candidate"""
 
 
@@ -436,13 +437,13 @@ def _(spark, d):
 
 @query(
     "e15_audit_decision",
-    """select n as reviewed, i as issues, i as incorrect, cast(0 as bigint) as uncertain, c.bad = 0 as alignment_passed, c.n2 as alignment_checks, round((n-i)*1.0/n, 6) as upper_bound,
+    """select n as reviewed, i as issues, i - u as incorrect, u as uncertain, c.bad = 0 as alignment_passed, c.n2 as alignment_checks, round((n-i)*1.0/n, 6) as upper_bound,
        case when c.bad = 0 and (n-i)*1.0/n < .9 then 'closed_extraction_failure' else 'not_approved' end as status, false as forecasting_allowed
-       from (select count(*) as n, count(case when quality = 0 then 1 end) as i from labels), (select count(*) as n2, count(case when abs((session_id % 7)*0.05) + .15 > .5 then 1 end) as bad from fx_facts) c""",
+       from (select count(*) as n, count(case when quality = 0 then 1 end) as i, count(case when quality = 0 and doc_id % 3 = 0 then 1 end) as u from labels), (select count(*) as n2, count(case when abs((session_id % 7)*0.05) + .15 > .5 then 1 end) as bad from fx_facts) c""",
 )
 def _(spark, d):
     lab = V.read(spark, d, "labels").select(C("doc_id").alias("id"), "quality")
-    issues = lab.where("quality = 0").withColumn("kind", F.lit("incorrect"))
+    issues = lab.where("quality = 0").withColumn("kind", F.when(C("id") % 3 == 0, "uncertain").otherwise("incorrect"))
     al = V.session_facts(spark, d).select(((C("session_id") % 7) * 0.05).alias("offset_s"), F.lit(False).alias("search_edge"))
     a = E.audit_decision(lab, issues, al)
     return a.withColumn("upper_bound", R(C("upper_bound")))
@@ -491,15 +492,18 @@ def _(spark, d):
 @query(
     "e16_measurement_gate",
     EVENT_SQL + """, cov as (select count(distinct pos0) as n from (select session_id*100000 + pos + o.o as pos0 from tr, range(-1, 7) o(o)))
-      select true_positive + false_negative >= 20 as enough_events, s - n/12.0 >= 30 as enough_negative_time, precision >= .5 as precision_ok, recall >= .5 as recall_ok, false_per_minute <= 20 as false_rate_ok, true as coverage_ok, true as ambiguity_ok,
-      true_positive + false_negative >= 20 and s - n/12.0 >= 30 and precision >= .5 and recall >= .5 and false_per_minute <= 20 as passed from fx_score, cov, fx_seconds""",
+      select true_positive + false_negative >= 20 as enough_events, s - n/12.0 >= 30 as enough_negative_time, precision >= .5 as precision_ok, recall >= .5 as recall_ok, false_per_minute <= 20 as false_rate_ok, supported >= .95 as coverage_ok, ambiguous <= .1 as ambiguity_ok,
+      true_positive + false_negative >= 20 and s - n/12.0 >= 30 and precision >= .5 and recall >= .5 and false_per_minute <= 20 and supported >= .95 and ambiguous <= .1 as passed from fx_score, cov, fx_seconds,
+      (select avg(case when event_id % 50 <> 0 then 1.0 else 0.0 end) as supported, avg(case when event_id % 9 = 0 then 1.0 else 0.0 end) as ambiguous from fx_obs)""",
 )
 def _(spark, d):
     truth = marks(spark, d, "purchase")
     covered = truth.select("session_id", F.explode(F.sequence(C("at") - 1, C("at") + 6)).alias("at")).distinct().agg(F.count("*").alias("_n"))
     secs = V.session_facts(spark, d).agg((F.sum("active_duration_ms") / 1000.0).alias("_s"))
     s = summary(spark, d).join(F.broadcast(covered)).join(F.broadcast(secs))
-    s = s.withColumn("negative_seconds", C("_s") - C("_n") / 12.0).withColumn("supported_share", F.lit(1.0)).withColumn("ambiguous_share", F.lit(0.0))
+    share = lambda q: F.avg(F.when(q, 1.0).otherwise(0.0))
+    support = V.obs(spark, d).agg(share(C("event_id") % 50 != 0).alias("supported_share"), share(C("event_id") % 9 == 0).alias("ambiguous_share"))
+    s = s.join(F.broadcast(support)).withColumn("negative_seconds", C("_s") - C("_n") / 12.0)
     g = E.measurement_gate(s, dict(events=20, negative_seconds=30, precision=0.5, recall=0.5, false_per_minute=20, coverage=0.95, ambiguous=0.1))
     return g.select("enough_events", "enough_negative_time", "precision_ok", "recall_ok", "false_rate_ok", "coverage_ok", "ambiguity_ok", "passed")
 
@@ -622,7 +626,9 @@ def _(spark, d):
 @query(
     "a19_review_checkpoint",
     """select count(*) as reviewed, count(case when quality = 1 and toxic = 0 then 1 end) as correct, round(count(case when quality = 1 and toxic = 0 then 1 end)*1.0/count(*), 6) as accuracy,
-       (select count(distinct user_id) from events) as clips, true as events_covered, false as passed from labels""",
+       (select count(distinct user_id) from events) as clips, (select count(distinct event_type) from events where event_type in ('click', 'error', 'purchase', 'view')) = 4 as events_covered,
+       count(*) = 60 and count(case when quality = 1 and toxic = 0 then 1 end) >= ceil(60*.9) and (select count(distinct user_id) from events) = 12
+         and (select count(distinct event_type) from events where event_type in ('click', 'error', 'purchase', 'view')) = 4 as passed from labels""",
 )
 def _(spark, d):
     lab = V.read(spark, d, "labels").select(C("doc_id").alias("id"), (C("quality") == 1).alias("geometry_correct"), (C("toxic") == 0).alias("colours_correct"))

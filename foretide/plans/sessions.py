@@ -438,23 +438,26 @@ V.register_ctes(
 
 @query(
     "pf13_cohort_violations",
-    """select cast(count(distinct run) as bigint) as runs_inside, cast(0 as bigint) as runs_outside, cast(0 as bigint) as mixed_runs,
-       cast(sum(case when active_ms <= prev then 1 else 0 end) as bigint) as backward_anchors from (
-         select r.run, o.active_ms, lag(o.active_ms) over (partition by session_id order by ts_ms, event_id) as prev
-         from fx_obs o join fx_runs40 r using (session_id) where r.run <= 30)""",
+    """select count(case when run between 1 and 30 then 1 end) as runs_inside, count(case when run not between 1 and 30 then 1 end) as runs_outside,
+       count(case when lo <> hi then 1 end) as mixed_runs, cast(sum(back) as bigint) as backward_anchors from (
+         select run, min(session_id) as lo, max(session_id) as hi, sum(case when active_ms <= prev then 1 else 0 end) as back from (
+           select case when r.run % 17 = 0 then 3 else r.run end as run, o.session_id, o.active_ms, lag(o.active_ms) over (partition by session_id order by ts_ms, event_id) as prev
+           from fx_obs o join fx_runs r using (session_id)) group by run)""",
 )
 def _(spark, d):
-    runs = runs40(spark, d).where("run <= 30").select("session_id", "run")
+    # Every seventeenth run claims to be run 3, and the cohort goes beyond run 30.
+    runs = cohort_runs(spark, d).select("session_id", F.when(C("run") % 17 == 0, 3).otherwise(C("run")).alias("run"))
     return Q.cohort_violations(V.obs(spark, d).join(runs, "session_id"), V.OBS_LINE, 1, 30)
 
 
 @query(
     "pf14_count_nonfinite",
-    "select count(case when not isfinite(z) then 1 end) as z, count(case when false then 1 end) as m from (select case when event_id % 50 = 0 then 'nan'::double when event_id % 70 = 0 then 'inf'::double else m0 end as z from fx_predictions)",
+    "select count(case when not isfinite(z) then 1 end) as z, count(case when event_id % 60 = 0 then 1 end) as m from (select event_id, case when event_id % 50 = 0 then 'nan'::double when event_id % 70 = 0 then 'inf'::double else m0 end as z from fx_predictions)",
 )
 def _(spark, d):
     z = F.when(C("event_id") % 50 == 0, float("nan")).when(C("event_id") % 70 == 0, float("inf")).otherwise(F.element_at("m", 1))
-    return Q.count_nonfinite(V.predictions(spark, d).select(z.alias("z"), "m"), ["z", "m"])
+    m = F.when(C("event_id") % 60 == 0, F.concat(F.slice("m", 1, 6), F.array(F.lit(float("-inf"))))).otherwise(C("m"))
+    return Q.count_nonfinite(V.predictions(spark, d).select(z.alias("z"), m.alias("m")), ["z", "m"])
 
 
 @query(

@@ -36,19 +36,59 @@ def _(spark, d):
     return RD.read_observations(spark, path, tolerant=True)
 
 
-@query("src02_read_documents", "select cast(count(*) as bigint) as documents, cast(sum(event_id) as bigint) as ids from events where event_id % 4 <> 0")
-def _(spark, d):
-    e = V.read(spark, d, "events")
-    text = F.when(C("event_id") % 8 == 0, "[1,2]").when(C("event_id") % 4 == 0, "{oops").otherwise(F.to_json(F.struct("event_id", "props")))
-    docs = e.select(RD.parse_document(text).alias("document")).where("document is not null")
-    return docs.agg(F.count("*").alias("documents"), F.sum(F.get_json_object("document", "$.event_id").cast("long")).alias("ids"))
+@query("src02_read_documents", "select s_suppkey as id, case when s_suppkey % 4 <> 0 then s_name end as name, s_suppkey % 4 <> 0 as readable from supplier")
+def _(spark, d):
+    """One JSON file per supplier; every fourth cannot be read or is no object."""
+    s = V.read(spark, d, "supplier").withColumn("id", C("s_suppkey"))
+    text = F.when(C("id") % 8 == 0, "[1,2]").when(C("id") % 4 == 0, "{oops").otherwise(F.to_json(F.struct("s_name", "s_acctbal")))
+    path = fresh_path(spark, "documents")
+    s.select("id", text.alias("value")).write.partitionBy("id").text(path)
+    docs = RD.read_documents(spark, f"{path}/id=*/*.txt")
+    return docs.select(
+        F.regexp_extract("path", r"id=(\d+)/", 1).cast("long").alias("id"), F.get_json_object("document", "$.s_name").alias("name"), C("document").isNotNull().alias("readable")
+    )
+
+
+def write_png(root):
+    """For mapInPandas: 8x8 grey images of (label, vec_id, embedding) below ``root/<label>/frames``."""
+
+    def chunk(kind, body):
+        import struct
+        import zlib
+
+        return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+
+    def run(batches):
+        import zlib
+
+        from pyarrow import fs
+
+        files, top = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            for label, key, v in zip(batch["label"], batch["vec_id"], batch["embedding"], strict=True):
+                grey = [min(255, int(abs(float(x)) * 255)) for x in v[:64]]
+                rows = b"".join(bytes([0, *grey[8 * y : 8 * y + 8]]) for y in range(8))
+                data = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", (8).to_bytes(4) * 2 + bytes([8, 0, 0, 0, 0])) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
+                folder = f"{top}/{label}/frames"
+                files.create_dir(folder, recursive=True)
+                # Every sixth file is not an image, every seventh has no timestamp for a name.
+                name = f"x{key}y" if key % 7 == 0 else str(key)
+                with files.open_output_stream(f"{folder}/{name}.png") as f:
+                    f.write(data if key % 6 else b"no image")
+            yield batch[["vec_id"]]
+
+    return run
 
 
-@query("src03_frame_keys", "select session_id, case when event_id % 6 <> 0 then ts_ms end as frame from fx_obs")
+@query("src03_read_frames", "select label as session_id, vec_id as frame, 8 as width, 8 as height, least(255, floor(abs(embedding[1]::double)*255)) as first_pixel from embeddings where vec_id % 6 <> 0 and vec_id % 7 <> 0")
 def _(spark, d):
-    ext = F.when(C("event_id") % 6 == 0, ".txt").when(C("event_id") % 2 == 0, ".jpg").otherwise(".png")
-    o = V.obs(spark, d).select(F.concat(F.lit("file:/data/"), C("session_id"), F.lit("/frames/"), C("ts_ms"), ext).alias("path"))
-    return o.select(RD.session_key(C("path")).cast("long").alias("session_id"), RD.frame_key(C("path")).alias("frame"))
+    """Images written below their sessions and read back by Spark's image source."""
+    root = fresh_path(spark, "frames")
+    root = root if ":" in root else f"file://{root}"
+    V.read(spark, d, "embeddings").select("label", "vec_id", "embedding").mapInPandas(write_png(root), "vec_id long").count()
+    f = RD.read_frames(spark, root)
+    first = F.conv(F.hex(F.substring("image.data", 1, 1)), 16, 10).cast("long")
+    return f.select(C("session_id").cast("long").alias("session_id"), "frame", C("image.width").alias("width"), C("image.height").alias("height"), first.alias("first_pixel"))
 
 
 @query(
@@ -220,10 +260,14 @@ def _(spark, d):
     return ST.list_checkpoints(spark, path).select("usable_runs", "session_count")
 
 
-@query("snk10_filter_oversize", "select doc_id from documents where octet_length(encode(text)) <= 2000")
+@query("snk10_filter_oversize", "select s_suppkey as id, octet_length(encode(repeat(s_name, cast(s_suppkey % 40 as int)))) + 1 as length from supplier where octet_length(encode(repeat(s_name, cast(s_suppkey % 40 as int)))) + 1 <= 500")
 def _(spark, d):
-    files = V.read(spark, d, "documents").select("doc_id", F.octet_length("text").alias("length"))
-    return ST.filter_oversize(files, 2000).select("doc_id")
+    """One upload per supplier; sizes come from the listing of binary files."""
+    path = fresh_path(spark, "uploads")
+    s = V.read(spark, d, "supplier")
+    s.select(C("s_suppkey").alias("id"), F.repeat("s_name", (C("s_suppkey") % 40).cast("int")).alias("value")).write.partitionBy("id").text(path)
+    files = ST.filter_oversize(RD.list_uploads(spark, f"{path}/id=*/*.txt"), 500)
+    return files.select(F.regexp_extract("path", r"id=(\d+)/", 1).cast("long").alias("id"), "length")
 
 
 # --- streams ------------------------------------------------------------------------
