@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import partial, reduce
+from typing import Any
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import StandardScaler, VarianceThresholdSelector
@@ -220,17 +223,24 @@ def linear_score(x: Column, coefficients: Sequence[float], intercept: float) ->
     return F.aggregate(products, F.lit(0.0), lambda s, v: s + v) + intercept
 
 
+def together(jobs: Sequence[Callable[[], Any]], parallelism: int = 8) -> list:
+    """Independent fits submitted from a few driver threads, so their small jobs share the cluster."""
+    with ThreadPoolExecutor(parallelism) as pool:
+        return list(pool.map(lambda job: job(), [inheritable_thread_target(j) for j in jobs]))
+
+
 def fit_horizons(
     train: DataFrame, cal: DataFrame, features: str, horizons: int, family: str = "logistic", weight: Column | None = None,
     **options,
 ) -> list[Fitted]:
     """One calibrated model per horizon from (features, y) rows."""
     train, cal = vectors(train, features), vectors(cal, features)
-    models = []
-    for h in range(horizons):
+
+    def one(h: int) -> Fitted:
         y = F.element_at("y", h + 1)
-        models.append(calibrate(fit(train, features, y, family, weight=weight, **options), cal, y))
-    return models
+        return calibrate(fit(train, features, y, family, weight=weight, **options), cal, y)
+
+    return together([partial(one, h) for h in range(horizons)])
 
 
 def predict_horizons(models: Sequence[Fitted], rows: DataFrame, features: str, name: str = "p") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from foretide.functions import scalars as S
@@ -746,45 +748,44 @@ def _(spark, d):
 def _(spark, d):
     w = fitted_windows(spark, d)
     a, b, c = study_folds(w)[-1]
-    # One horizon: the ensemble size and depth are the reference's.
-    y = F.element_at("y", 4)
-    train, test = M.vectors(w.where(C("run") <= a), "x"), M.vectors(w.where((C("run") > b) & (C("run") <= c)), "x")
-    model = M.fit(train, "x", y, "tree")
-    return model.probability(test, "p").select("run", "session_id", "event_id", "p")
+    train = M.vectors(w.where(C("run") <= a), "x")
+    models = M.together([partial(M.fit, train, "x", F.element_at("y", h + 1), "tree") for h in range(7)])
+    return M.predict_horizons(models, w.where((C("run") > b) & (C("run") <= c)), "x").select("run", "session_id", "event_id", "p")
 
 
 @query("m07_calibrate")
 def _(spark, d):
     w = fitted_windows(spark, d)
     a, b, c = study_folds(w)[-1]
-    y = F.element_at("y", 5)
-    parts_ = [M.vectors(w.where(q), "x") for q in (C("run") <= a, (C("run") > a) & (C("run") <= b), (C("run") > b) & (C("run") <= c))]
-    model = M.calibrate(M.fit(parts_[0], "x", y), parts_[1], y)
-    return model.probability(parts_[2], "p").select("run", "session_id", "event_id", "p")
+    train, cal = [M.vectors(w.where(q), "x") for q in (C("run") <= a, (C("run") > a) & (C("run") <= b))]
+    fitted = M.together([partial(M.fit, train, "x", F.element_at("y", h + 1)) for h in range(7)])
+    models = M.together([partial(M.calibrate, m, cal, F.element_at("y", h + 1)) for h, m in enumerate(fitted)])
+    return M.predict_horizons(models, w.where((C("run") > b) & (C("run") <= c)), "x").select("run", "session_id", "event_id", "p")
 
 
 @query("m09_ensemble")
 def _(spark, d):
-    w = fitted_windows(spark, d).withColumn("y", F.array(F.element_at("y", 3), F.element_at("y", 5), F.element_at("y", 7)))
+    w = fitted_windows(spark, d)
     a, b, c = study_folds(w)[-1]
     run = C("run")
-    ens = M.fit_ensemble(w.where(run <= a), w.where((run > a) & (run <= b)), "x", 3, members=3)
+    ens = M.fit_ensemble(w.where(run <= a), w.where((run > a) & (run <= b)), "x", 7)
     got = M.member_predictions(ens, w.where((run > b) & (run <= c)), "x")
-    return A.ensemble_median(got, ["run", "session_id", "event_id"], 3)
+    return A.ensemble_median(got, ["run", "session_id", "event_id"])
 
 
 @query("m12_candidate_grid")
 def _(spark, d):
-    w = fitted_windows(spark, d).withColumn("y", F.array(F.element_at("y", 4), F.element_at("y", 7)))
-    grid = M.run_grid(w, {"elapsed": [5], "motion": [0, 1, 2, 3, 4]}, ["logistic"], 2, study_folds(w))
+    w = fitted_windows(spark, d)
+    # Screening grows fewer trees than the final fit (m04 grows all of them).
+    grid = M.run_grid(w, {"elapsed": [5], "motion": [0, 1, 2, 3, 4]}, ["logistic", "tree"], 7, study_folds(w), trees=10)
     per = grid.select("candidate", "fold", "run", F.explode(F.arrays_zip("p", "y")).alias("_z"))
     return per.groupBy("candidate", "fold", "run").agg(F.avg(F.pow(C("_z.p") - C("_z.y"), 2)).alias("brier"))
 
 
 @query("m15_freeze_candidate")
 def _(spark, d):
-    w = fitted_windows(spark, d).withColumn("y", F.array(F.element_at("y", 5)))
+    w = fitted_windows(spark, d)
     n = study_folds(w)[-1]
-    models = M.fit_horizons(w.where(C("run") <= n[0]), w.where((C("run") > n[0]) & (C("run") <= n[2])), "x", 1)
+    models = M.fit_horizons(w.where(C("run") <= n[0]), w.where((C("run") > n[0]) & (C("run") <= n[2])), "x", 7)
     return M.freeze(models, fresh_path(spark, "frozen"), {"fit_to": int(n[0]), "calibrate_to": int(n[2]), "purpose": "prospective candidate"})
 
