@@ -272,10 +272,21 @@ def _(spark, d):
 
 # --- streams ------------------------------------------------------------------------
 def event_stream(spark, d):
-    """The events table as a file stream with the session clock (starts come from the batch table)."""
+    """The events table arriving in files of a million rows at most (four at least), one per micro-batch.
+
+    State is therefore kept and restored between them.
+
+    The session clock starts at the session's first event, taken from the table.
+    """
     prepare_session(spark)
-    schema = spark.read.parquet(f"{d}/events.parquet").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", 64).parquet(d)
+    events = V.read(spark, d, "events").withColumn("_at", F.unix_micros(C("ts").cast("timestamp")))
+    path = fresh_path(spark, "arriving")
+    files = max(4, -(-events.count() // 1_000_000))
+    edges = [float("-inf"), *events.approxQuantile("_at", [i / files for i in range(1, files)], 0.01), float("inf")]
+    for i, (low, high) in enumerate(zip(edges, edges[1:])):
+        part = events.where((C("_at") > low) & (C("_at") <= high)).drop("_at")
+        part.coalesce(1).write.parquet(f"{path}/file={i}")
+    raw = spark.readStream.schema(V.read(spark, d, "events").schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(path)
     e = raw.select(
         C("user_id").alias("session_id"), "event_id", C("ts").cast("timestamp").alias("ts"), F.unix_micros(C("ts").cast("timestamp")).alias("ts_us"), "event_type", C("value").alias("motion"),
     )
