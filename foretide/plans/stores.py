@@ -458,10 +458,15 @@ def _(spark, d):
     return spark.read.parquet(path).groupBy(C("session_id").cast("long").alias("session_id")).agg(F.count("*").alias("frames"))
 
 
-@query("ud02_frame_extractor", "select vec_id as frame, round(abs(embedding[1]::double), 6) as first_value, 'v1' as schema_version from embeddings")
+ROW_SUMS = ", ".join(f"round(list_sum(list_transform(embedding[{8 * y + 1}:{8 * y + 8}], lambda x: abs(x::double))), 6) as row_{y}" for y in range(8))
+
+
+@query("ud02_frame_extractor", f"select vec_id as frame, {ROW_SUMS}, 'rows-v1' as schema_version, 'abc' as code_hash from embeddings")
 def _(spark, d):
     def extractor(frames):
-        return frames.select("frame", R(C("v")[0]).alias("first_value"), F.lit("v1").alias("schema_version"))
+        rows = [F.aggregate(F.slice("v", 8 * y + 1, 8), F.lit(0.0), lambda s, x: s + x) for y in range(8)]
+        return frames.select("frame", *[R(r).alias(f"row_{y}") for y, r in enumerate(rows)])
 
-    return V.lanes(spark, d).transform(extractor)
+    columns = {"frame": "bigint", **{f"row_{y}": "double" for y in range(8)}}
+    return RD.run_extractor(V.lanes(spark, d), extractor, columns, "rows-v1", "abc")
 

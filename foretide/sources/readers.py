@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -80,6 +80,20 @@ def list_uploads(spark: SparkSession, glob: str) -> DataFrame:
     return spark.read.format("binaryFile").load(glob).select("path", "length", "modificationTime")
 
 
+def run_extractor(
+    frames: DataFrame, extractor: Callable[[DataFrame], DataFrame], columns: dict[str, str], schema_version: str, code_hash: str
+) -> DataFrame:
+    """A plug-in's features with the version stamp that cached frames are checked against.
+
+    The plug-in must return exactly the promised columns and types.
+    """
+    out = extractor(frames)
+    got = dict(out.dtypes)
+    if got != columns:
+        raise ValueError(f"extractor returns {got}, promised {columns}")
+    return out.withColumn("schema_version", F.lit(schema_version)).withColumn("code_hash", F.lit(code_hash))
+
+
 def decode_data_urls(df: DataFrame, column: str, max_bytes: int = 500_000, header: str = "data:image/jpeg;base64") -> DataFrame:
     """Adds ``payload`` (bytes, null when refused) and ``reject_reason``."""
     u = F.col(column)

@@ -280,11 +280,16 @@ def flag_late(rows: DataFrame, line, clock: str, allowed: int) -> DataFrame:
 
 
 # --- sinks ---------------------------------------------------------------------------
-def append_frames(stream: DataFrame, path: str, checkpoint: str):
-    """Append rows per session; returns the started query."""
+def append_frames(stream: DataFrame, path: str, checkpoint: str, clock: str = "ts_ms", buckets: int = 16):
+    """Append rows by day, a session's rows of a day in one file per batch; returns the started query.
+
+    Days are few however many sessions there are; ``buckets`` files at most per day and batch.
+    """
+    placed = stream.withColumn("day", F.to_date(F.timestamp_millis(clock)))
     return (
-        stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
-        .partitionBy("session_id").outputMode("append").trigger(availableNow=True).start()
+        placed.repartition(F.col("day"), F.pmod(F.xxhash64("session_id"), F.lit(buckets)))
+        .writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+        .partitionBy("day").outputMode("append").trigger(availableNow=True).start()
     )
 
 

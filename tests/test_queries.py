@@ -1,6 +1,8 @@
 """Registered queries against their SQL twins on the smallest tables."""
 
 import os
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -19,6 +21,13 @@ def test_every_twin_has_a_query():
     assert len(entry.queries()) > 200
 
 
+def test_the_rest_stands_without_the_corpus_part():
+    hide = "import sys; sys.modules['foretide.llm'] = sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; n = e.queries(); "
+    check = "assert len(n) > 200 and 'pipeline' not in n and not any(k.startswith('op') for k in n)"
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    subprocess.run([sys.executable, "-c", hide + check], cwd=root, check=True)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() >= 0
 
