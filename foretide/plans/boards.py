@@ -414,7 +414,8 @@ def _(spark, d):
 V.register_ctes(
     {
         "fx_pairs": """select c.run, c.frame, c.seq, c.lane, p.incoming - c.incoming as step, (c.frame % 8 <= 5 and p.frame % 8 <= 5) as stable,
-          (c.frame % 8 <= 5 and p.frame % 8 <= 5) and p.incoming > p.height + .1 and c.incoming > c.height + .1 and p.incoming - c.incoming > .004 and p.incoming - c.incoming < .25 as matched,
+          (c.frame % 8 <= 5 and p.frame % 8 <= 5) and p.incoming >= 2.05 and c.incoming < 2.05 as appeared,
+          (c.frame % 8 <= 5 and p.frame % 8 <= 5) and p.incoming < 2.05 and c.incoming < 2.05 and p.incoming > p.height + .1 and c.incoming > c.height + .1 and p.incoming - c.incoming > .004 and p.incoming - c.incoming < .25 as matched,
           (c.frame % 8 <= 5 and p.frame % 8 <= 5) and p.incoming - p.height < .2 and c.incoming - p.incoming > .15 as landed
           from fx_lseq c join fx_lseq p on p.run = c.run and p.lane = c.lane and p.seq = c.seq - 1""",
         "fx_growth": "select run, seq, h - lag(h) over (partition by run order by seq) as g from (select run, seq, sum(height) as h from fx_lseq group by all)",
@@ -422,21 +423,29 @@ V.register_ctes(
 )
 
 
-@query(
-    "w09_motion_features",
-    """select f.run, f.frame, round(coalesce((select quantile_cont(step, .5) from fx_pairs p where p.run = f.run and p.matched and p.seq between f.seq - 7 and f.seq), 0)*4, 6) as median_2,
-       round((select count(case when matched then 1 end)/48.0 from fx_pairs p where p.run = f.run and p.seq between f.seq - 7 and f.seq), 6) as fraction_2,
-       (select count(case when landed then 1 end)*1.0 from fx_pairs p where p.run = f.run and p.seq between f.seq - 31 and f.seq) as landings_8,
-       round((select sum(greatest(g, 0)) from fx_growth p where p.run = f.run and p.seq between f.seq - 31 and f.seq), 6) as growth_8,
-       (select count(case when g < -.06 then 1 end)*1.0 from fx_growth p where p.run = f.run and p.seq between f.seq - 15 and f.seq) as clears_4
-       from (select run, frame, seq from fx_lseq where lane = 0 and seq >= 33) f""",
-)
+def motion_sql() -> str:
+    """All 48 numbers: per horizon, one aggregate over lane pairs and one over stack growth."""
+    parts, cols = [], []
+    for k, s in enumerate((1, 2, 4, 8)):
+        n, m = 4 * s, [f"m{12 * k + i}" for i in range(12)]
+        window = f"p.run = f.run and p.seq between f.seq - {n - 1} and f.seq group by f.run, f.frame"
+        speed = [f"round(coalesce(quantile_cont(step, {q}) filter (where matched), 0)*4, 6) as {m[i]}" for i, q in enumerate((0.5, 0.25, 0.75, 1.0))]
+        counts = [f"round(count(case when matched then 1 end)/{6 * n}.0, 6) as {m[4]}", f"count(case when appeared then 1 end)*1.0 as {m[5]}", f"count(case when landed then 1 end)*1.0 as {m[6]}"]
+        growth = [f"round(sum(greatest(g, 0)), 6) as {m[7]}", f"round(sum(greatest(-g, 0)), 6) as {m[8]}", f"count(case when g > .06 then 1 end)*1.0 as {m[9]}", f"count(case when g < -.06 then 1 end)*1.0 as {m[10]}", f"round(sum(g), 6) as {m[11]}"]
+        parts.append(f"(select f.run, f.frame, {', '.join(speed + counts)} from fx_full f join fx_pairs p on {window}) a{k}")
+        parts.append(f"(select f.run, f.frame, {', '.join(growth)} from fx_full f join fx_growth p on {window}) b{k}")
+        cols += m
+    joined = parts[0] + "".join(f" join {p} using (run, frame)" for p in parts[1:])
+    return f"select run, frame, {', '.join(cols)} from {joined}"
+
+
+V.register_ctes({"fx_full": "select run, frame, seq from fx_lseq where lane = 0 and seq >= 33"})
+
+
+@query("w09_motion_features", motion_sql())
 def _(spark, d):
     m = W.motion_features(timed_lanes(spark, d).withColumn("phase", C("frame") % 8), LANE_LINE).where("motion is not null")
-    at = lambda s, k: F.element_at("motion", {1: 0, 2: 12, 4: 24, 8: 36}[s] + k + 1)
-    return m.select(
-        "run", "frame", R(at(2, 0)).alias("median_2"), R(at(2, 4)).alias("fraction_2"), at(8, 6).alias("landings_8"), R(at(8, 7)).alias("growth_8"), at(4, 10).alias("clears_4")
-    )
+    return m.select("run", "frame", *[R(F.element_at("motion", i + 1)).alias(f"m{i}") for i in range(48)])
 
 
 def tracked(spark, d):
