@@ -282,22 +282,26 @@ def _(spark, d):
     return B.incoming(geo, flat, B.coloured_pixels(px)).select("frame", "lane", R(C("incoming")).alias("incoming"))
 
 
-@query(
-    "p21_board_vector",
-    """select run, frame, round(sum(height), 6) as heights, round(sum(greatest(0.0, incoming - height)), 6) as gaps, count(case when top >= 0 then 1 end) as onehots, count(case when top >= 0 and top = nxt then 1 end) as matches from (
-        select l.*, (frame + lane*lane) % 5 - 1 as top, (frame + ((lane+1)%6)*((lane+1)%6)) % 5 - 1 as nxt from fx_lanes l) group by all""",
-)
+def vector_sql() -> str:
+    """All 54 numbers: four of each lane, its colour as four flags, and whether the next lane's colour equals it."""
+    of = lambda lane, e: f"round(max(case when lane = {lane} then {e} end), 6)"
+    geometry = [of(lane, e) for lane in range(6) for e in ("height", "greatest(0.0, incoming - height)", "incoming", "0.9 - frame % 7 * 0.1")]
+    flags = [of(lane, f"case when top = {c} then 1.0 else 0.0 end") for lane in range(6) for c in range(4)]
+    same = [of(lane, "case when top >= 0 and top = nxt then 1.0 else 0.0 end") for lane in range(6)]
+    columns = ", ".join(f"{e} as v{i}" for i, e in enumerate(geometry + flags + same))
+    return f"""select run, frame, {columns} from (
+        select l.*, (frame + lane*lane) % 5 - 1 as top, (frame + ((lane+1)%6)*((lane+1)%6)) % 5 - 1 as nxt from fx_lanes l) group by run, frame"""
+
+
+@query("p21_board_vector", vector_sql())
 def _(spark, d):
     f = lane_frames(spark, d)
     lanes = f.select("run", "frame", F.posexplode(F.arrays_zip("height", "incoming")).alias("lane", "_v")).select(
         "run", "frame", "lane", "_v.height", "_v.incoming", ((C("frame") + C("lane") * C("lane")) % 5 - 1).cast("int").alias("top")
     )
-    geo = f.select("frame", F.lit(0.01).alias("residual"), F.lit(0.0).alias("orientation_error"))
+    geo = f.select("frame", F.lit(0.01).alias("residual"), (C("frame") % 7 * 0.01).alias("orientation_error"))
     v = B.board_vector(lanes, geo).join(f.select("run", "frame"), "frame")
-    part = lambda a, b, k=1: F.aggregate(F.transform(F.sequence(F.lit(a), F.lit(b), F.lit(k)), lambda i: F.element_at("vector", i)), F.lit(0.0), lambda s, x: s + x)
-    return v.select(
-        "run", "frame", R(part(1, 21, 4)).alias("heights"), R(part(2, 22, 4)).alias("gaps"), part(25, 48).cast("long").alias("onehots"), part(49, 54).cast("long").alias("matches")
-    )
+    return v.select("run", "frame", *[R(F.element_at("vector", i + 1)).alias(f"v{i}") for i in range(54)])
 
 
 @query("p22_route_repair", "select frame, valid and mx <= .3 as kept, case when valid and mx <= .3 then round(mx, 6) else -1.0 end as tallest from (select frame, frame % 9 <> 0 as valid, max(height) as mx from fx_lanes group by frame)")
