@@ -2,17 +2,19 @@
 
 A text is a sequence of lines; a line ends at a line feed or after the punctuation that
 ends a sentence or clause.  Each line is hashed, and a chunk ends where the hash of the
-last ``window`` line hashes is 0 modulo ``divisor``.  Boundaries depend on the content
-around them only, so a passage pasted elsewhere is cut in the same places, wherever it
-starts.  A chunk of several lines (``least_lines``, ``least_words``) that occurs more than
-once anywhere is kept at its first place, by doc_id and position, and removed elsewhere.
+last ``window`` line hashes falls below a bar.  The bar rises with the length of the line
+(to one half at most), so chunks have about ``target`` characters whether lines are long
+or short.  Boundaries depend on the content around them only, so a passage pasted
+elsewhere is cut in the same places, wherever it starts.  A chunk of several lines
+(``least_lines``, ``least_chars``) that occurs more than once anywhere is kept at its first
+place, by doc_id and position, and removed elsewhere.
 
 Equal hashes are candidates only: the chunks' bytes are compared, and a hash that two
 different chunks share removes nothing.
 
-Only DataFrame expressions.  Cutting happens inside the row, without a shuffle; what is
-grouped is one slim row per chunk, with partial aggregates, and only the texts of
-repeated chunks travel for the comparison.
+Only DataFrame expressions.  Cutting happens inside the row, without a shuffle, and its
+chunks are written once; what is grouped is one slim row per chunk, with partial
+aggregates.
 
 Nulls stay null and empty texts empty.  Rows that are equal in every column count as one
 document and are treated alike.  A null doc_id comes last in the order of places.  An
@@ -28,6 +30,7 @@ from foretide.llm.common import row_hash
 from foretide.settings import materialise
 
 LINE_END = r"(?<=\n)|(?<=[.!?,;:] )"
+MARK = "\uffff"  # a code point that is no character
 _SPACE = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -36,28 +39,34 @@ def _trimmed(line: Column) -> Column:
     return F.btrim(line, F.lit(_SPACE))
 
 
-def chunks(text: Column, window: int = 2, divisor: int = 3) -> Column:
+def lines(text: Column) -> Column:
+    """The lines of a text; marking the ends and cutting at the mark is the quick way to split there."""
+    marked = F.split(F.regexp_replace(text, r"(\n|[.!?,;:] )", "$1" + MARK), MARK)
+    exact = F.split(text, LINE_END)
+    return F.filter(F.when(F.contains(text, F.lit(MARK)), exact).otherwise(marked), lambda x: x != "")
+
+
+def chunks(text: Column, window: int = 2, target: int = 72) -> Column:
     """Array of chunks, each an array of lines; put together they are the text."""
-    lines = F.filter(F.split(text, LINE_END), lambda x: x != "")
-    hashes = F.transform(lines, lambda x: F.xxhash64(_trimmed(x)))
 
-    def ends(hs: Column, n: Column) -> Column:
+    def ends(v: Column) -> Column:
+        n = F.size(v["lines"])
+
         def here(i: Column) -> Column:
-            seen = F.xxhash64(*[F.get(hs, i - 1 - back) for back in range(window)])
-            return (F.pmod(seen, F.lit(divisor)) == 0) | (i == n)
+            seen = F.xxhash64(*[F.get(v["hs"], i - 1 - back) for back in range(window)])
+            bar = F.least(F.lit(500), F.length(F.get(v["lines"], i - 1)) * F.lit(1000) / F.lit(target))
+            return (F.pmod(seen, F.lit(1000)) < bar) | (i == n)
 
         return F.filter(F.sequence(F.lit(1), n), here)
 
+    def span(v: Column, end: Column, k: Column) -> Column:
+        start = F.when(k == 0, F.lit(0)).otherwise(F.get(v["ends"], k - 1))
+        return F.slice(v["lines"], start + 1, end - start)
 
-    # Spans between consecutive boundaries; every expression is bound once by transform over one value.
-    whole = F.transform(F.array(F.struct(lines.alias("lines"), hashes.alias("hs"))), lambda v: F.struct(v["lines"].alias("lines"), ends(v["hs"], F.size(v["lines"])).alias("ends")))
-    spans = F.transform(
-        whole,
-        lambda v: F.transform(
-            v["ends"], lambda e, k: F.slice(v["lines"], F.when(k == 0, F.lit(1)).otherwise(F.get(v["ends"], k - 1) + 1), e - F.when(k == 0, F.lit(0)).otherwise(F.get(v["ends"], k - 1)))
-        ),
-    )
-    return F.element_at(spans, 1)
+    # Each step goes through a one-element array, so that its value is computed once per row.
+    one = F.transform(F.array(lines(text)), lambda v: F.struct(v.alias("lines"), F.transform(v, lambda x: F.xxhash64(_trimmed(x))).alias("hs")))
+    two = F.transform(one, lambda v: F.struct(v["lines"].alias("lines"), F.when(F.size(v["lines"]) > 0, ends(v)).otherwise(F.array().cast("array<int>")).alias("ends")))
+    return F.element_at(F.transform(two, lambda v: F.transform(v["ends"], lambda e, k: span(v, e, k))), 1)
 
 
 def _bytes(chunk: Column) -> Column:
@@ -65,27 +74,27 @@ def _bytes(chunk: Column) -> Column:
     return F.array_join(F.transform(chunk, _trimmed), "\n")
 
 
-def dedup(docs: DataFrame, least_lines: int = 2, least_words: int = 8, window: int = 2, divisor: int = 3) -> DataFrame:
+def dedup(docs: DataFrame, least_lines: int = 2, least_chars: int = 48, window: int = 2, target: int = 72) -> DataFrame:
     """``docs`` with repeated chunks removed from ``text``.
 
-    Adds n_chunks, removed_chunks, removed_words and removed (positions of the chunks).
+    Adds removed_chunks, removed_words and removed (positions of the chunks).
     """
-    columns = [c for c in docs.columns if c not in ("n_chunks", "removed_chunks", "removed_words", "removed")]
+    columns = [c for c in docs.columns if c not in ("removed_chunks", "removed_words", "removed")]
     own = docs.select(*[F.col(f"`{c}`") for c in columns])
     keyed = own.select(F.col("doc_id").alias("_id"), row_hash(own).alias("_key"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"))
-    parts = keyed.select("_id", "_key", F.posexplode(chunks(F.col("_row.text"), window, divisor)).alias("pos", "chunk"))
+    parts = keyed.select("_id", "_key", F.posexplode(chunks(F.col("_row.text"), window, target)).alias("pos", "chunk"))
     parts = parts.where(F.size("chunk") >= least_lines).select("_id", "_key", "pos", _bytes(F.col("chunk")).alias("body"))
-    parts = parts.withColumn("words", F.regexp_count("body", F.lit(WORD))).where(F.col("words") >= least_words)
-    slim = materialise(parts.select("_id", "_key", "pos", "words", F.xxhash64("body").alias("h")), "chunks")
+    parts = materialise(parts.where(F.length("body") >= least_chars).withColumn("h", F.xxhash64("body")), "chunks")
     place = F.struct(F.col("_id").isNull().alias("none"), "_id", "_key", "pos")
-    repeated = slim.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("h", "first")
+    repeated = parts.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("h", "first")
     repeated = materialise(repeated, "chunks-repeated")
     # Byte comparison: all bodies of a hash must be one.
-    bodies = parts.select(F.xxhash64("body").alias("h"), "body").join(repeated.select("h"), "h", "left_semi").groupBy("h", "body").agg(F.lit(1).alias("one"))
-    same = bodies.groupBy("h").agg(F.count("*").alias("bodies")).where("bodies = 1").select("h")
-    real = materialise(repeated.join(same, "h", "left_semi"), "chunks-real")
+    bodies = parts.select("h", "body").join(repeated.select("h"), "h", "left_semi").groupBy("h", "body").agg(F.lit(1).alias("one"))
+    same = bodies.groupBy("h").agg(F.count("*").alias("bodies"), F.min(F.regexp_count("body", F.lit(WORD))).alias("words")).where("bodies = 1").select("h", "words")
+    real = materialise(repeated.join(same, "h"), "chunks-real")
     removed = (
-        slim.join(real, "h")
+        parts.select("_id", "_key", "pos", "h")
+        .join(real, "h")
         .where(place != F.col("first"))
         .groupBy("_id", "_key", "pos")
         .agg(F.min("words").alias("words"))
@@ -94,13 +103,11 @@ def dedup(docs: DataFrame, least_lines: int = 2, least_words: int = 8, window: i
     )
     removed = materialise(removed.withColumnRenamed("_id", "_gone_id").withColumnRenamed("_key", "_gone_key"), "chunks-removed")
     found = keyed.join(removed, F.col("_id").eqNullSafe(F.col("_gone_id")) & (F.col("_key") == F.col("_gone_key")), "left")
-    found = found.withColumn("_chunks", chunks(F.col("_row.text"), window, divisor))
-    kept = F.filter("_chunks", lambda c, i: ~F.array_contains("removed", i))
+    kept = F.filter(chunks(F.col("_row.text"), window, target), lambda c, i: ~F.array_contains("removed", i))
     text = F.when(F.col("removed").isNull(), F.col("_row.text")).otherwise(F.array_join(F.flatten(kept), ""))
     return found.select(
         F.col("_row").withField("text", text).alias("_row"),
-        F.coalesce(F.size("_chunks"), F.lit(0)).alias("n_chunks"),
         F.coalesce(F.size("removed"), F.lit(0)).alias("removed_chunks"),
         F.coalesce("removed_words", F.lit(0)).alias("removed_words"),
         F.coalesce("removed", F.array().cast("array<int>")).alias("removed"),
-    ).select("_row.*", "n_chunks", "removed_chunks", "removed_words", "removed")
+    ).select("_row.*", "removed_chunks", "removed_words", "removed")
