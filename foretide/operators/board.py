@@ -438,7 +438,8 @@ def orientation(geo: DataFrame, px: DataFrame, w: int, h: int, rays: int = 180,
         lambda deg: F.transform(
             F.array(spread(deg)),
             lambda t: F.struct(
-                _median(F.transform(t["a"], lambda v: F.abs(v - t["m"]))).alias("error"), deg.alias("deg"), t["m"].alias("core")
+                # Rounded, so that phases that fit equally well go to the least angle.
+                F.round(_median(F.transform(t["a"], lambda v: F.abs(v - t["m"]))), 9).alias("error"), deg.alias("deg"), t["m"].alias("core")
             ),
         )[0],
     )
@@ -446,7 +447,7 @@ def orientation(geo: DataFrame, px: DataFrame, w: int, h: int, rays: int = 180,
     deg = F.col("_best.deg")
     return geo.join(
         best.select(
-            "frame", "usable", F.when(deg < 30, deg).otherwise(deg - 60).alias("phase"),
+            "frame", "usable", F.when(F.col("_best.error").isNotNull(), F.when(deg < 30, deg).otherwise(deg - 60)).alias("phase"),
             F.col("_best.error").alias("orientation_error"), F.col("_best.core").alias("core_ratio"),
         ),
         "frame", "left",

@@ -195,7 +195,7 @@ V.register_ctes(
             from fx_boards, range(180) t(t), range(101) i(i)) q left join fx_dark d on d.frame = q.frame and d.x = q.sx and d.y = q.sy group by all""",
         "fx_facing": "select frame, deg.deg as deg, outer_r*greatest(" + ", ".join(f"cos(angle - radians(deg.deg + 30 + {60 * k}))" for k in range(6)) + ") as ap from fx_rays, range(60) deg(deg) where outer_r > .22",
         "fx_mad": "select f.frame, f.deg, median(abs(ap - m)) as error, any_value(m) as core from fx_facing f join (select frame, deg, median(ap) as m from fx_facing group by all) t on t.frame = f.frame and t.deg = f.deg group by all",
-        "fx_phase": "select frame, error, core from (select *, row_number() over (partition by frame order by round(error, 9), deg) as k from fx_mad) where k = 1",
+        "fx_phase": "select frame, deg, error, core from (select *, row_number() over (partition by frame order by round(error, 9), deg) as k from fx_mad) where k = 1",
     }
 )
 
@@ -236,12 +236,12 @@ def _(spark, d):
 
 @query(
     "p17_orientation",
-    "select g.frame, round(u.usable, 6) as usable, round(p.error, 6) as orientation_error from fx_boards g join (select frame, avg(case when outer_r > .22 then 1.0 else 0.0 end) as usable from fx_rays group by 1) u using (frame) left join fx_phase p using (frame)",
+    "select g.frame, round(u.usable, 6) as usable, round(p.error, 6) as orientation_error, cast(case when p.deg < 30 then p.deg else p.deg - 60 end as double) as phase from fx_boards g join (select frame, avg(case when outer_r > .22 then 1.0 else 0.0 end) as usable from fx_rays group by 1) u using (frame) left join fx_phase p using (frame)",
 )
 def _(spark, d):
     px, geo = board_scene(spark, d)
     o = B.orientation(geo.drop("phase", "core_ratio", "orientation_error"), px, 48, 48)
-    return o.select("frame", R(C("usable")).alias("usable"), R(C("orientation_error")).alias("orientation_error"))
+    return o.select("frame", R(C("usable")).alias("usable"), R(C("orientation_error")).alias("orientation_error"), C("phase").cast("double").alias("phase"))
 
 
 @query("p18_core_ratio", "select g.frame, round(p.core, 6) as core_ratio from fx_boards g left join fx_phase p using (frame)")
