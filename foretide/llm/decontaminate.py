@@ -32,7 +32,7 @@ from foretide.llm import bytesets as B
 from foretide.settings import materialise
 
 HITS = "array<struct<item_id:bigint,start:bigint,end:bigint,distance:int,windows:int>>"
-_PIECE = 1 << 18
+_PIECE = 1 << 17
 _BITS = 22
 _GAP = 16  # characters that no item has, between texts searched together
 
@@ -171,6 +171,9 @@ def search(index: Index, texts) -> list[list[dict]]:
             i, offset, _ = group[g]
             shift = offset - int(starts[g])
             found[i, item].append((start + shift, end + shift, distance))
+        hit = {i for i, _ in found}
+        for i in {i for i, _, _ in group} - hit - {group[-1][0]}:  # the last may go on
+            where.pop(i, None)
         group.clear()
 
     overlap, held = 2 * index.longest, 0
@@ -238,8 +241,10 @@ def _search_piece(index: Index, norm: np.ndarray) -> Iterator[tuple[int, int, in
             inside = (places >= start) & (places <= start + n - index.q)
             if inside.sum() < index.least(n):
                 continue
-            # Each band joins two neighbouring halves.
-            bands, votes = np.unique(np.concatenate([halves[inside], halves[inside] - 1]), return_counts=True)
+            # Each band joins two neighbouring halves; a q-gram of the window votes once in a band.
+            band, vote = halves[inside], places[inside] - start
+            ballots = np.unique(np.concatenate([band, band - 1]) * n + np.concatenate([vote, vote]))
+            bands, votes = np.unique(ballots // n, return_counts=True)
             bands = bands[votes >= max(1, index.least(n))]
             if not len(bands):
                 continue
