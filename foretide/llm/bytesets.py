@@ -128,3 +128,15 @@ def grams(codes: np.ndarray, q: int, size: int = BLOCK // 4) -> np.ndarray:
         at = np.arange(len(part) - q + 1)
         out.append(Hasher(part).spans(at, at + q))
     return np.concatenate(out)
+
+
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct values, where each is first met, each value's rank, and how often each occurs."""
+    order = np.argsort(values, kind="stable")
+    ranked = values[order]
+    new = np.ones(len(values), bool)
+    new[1:] = ranked[1:] != ranked[:-1]
+    at = np.flatnonzero(new)
+    back = np.empty(len(values), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return ranked[at], order[at], back, np.diff(np.append(at, len(values)))

@@ -10,9 +10,10 @@ A document's first id stands at the ids of the files' earlier ranges (a small ma
 summed from the files) plus its place in its own range.
 
 Encoding asks the tokenizers library about distinct pieces only.  A byte-level tokenizer
-of this kind never joins a character to a following blank or line feed, so a text may be
-cut there; ids of pieces met before come from a bounded cache per worker.  Texts with any
-other white space, and tokenizers of another kind, are encoded whole.
+of this kind never joins a character to a following blank or line feed, nor a letter to a
+following stop, so a text may be cut there; ids of pieces met before come from a bounded
+table per worker, keyed by 64-bit hashes.  Texts with any other white space or of over a
+megabyte, and tokenizers of another kind, are encoded whole.
 
 Nulls count as empty texts and hold the end id only.  Null doc_ids come last; repeated
 doc_ids are ordered by their texts' hashes.  An empty table gives no rows.
@@ -22,9 +23,9 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,14 +35,53 @@ from pyspark.sql import functions as F
 from foretide.llm import bytesets as B
 from foretide.settings import materialise
 
-_PIECES = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-_OTHER_SPACE = re.compile(r"[^\S \n]|[\x1c-\x1f]")
-CACHE = 400_000  # pieces per worker
-FLUSH = 2_000_000  # ids per batch
+FLUSH = 2_000_000  # characters per batch
+CACHE = 2_000_000  # distinct pieces a worker remembers
+GROUP = 1 << 19  # bytes of text encoded together
+_BLANK = B.lookup(b" \n")
+_ASCII_LETTER = B.lookup([*range(65, 91), *range(97, 123)])
+_STOP = B.lookup(b",.;:!?|%$&*#")
+_CONTROL_SPACE = B.lookup([9, 11, 12, 13, 28, 29, 30, 31])
 
 
-class _Encoder:
-    """Little-endian 32-bit ids of texts."""
+def _odd_space(data: np.ndarray) -> np.ndarray:
+    """Where white space other than blank and line feed begins."""
+    one, two = np.append(data[1:], np.uint8(0)), np.append(data[2:], np.zeros(2, np.uint8))[: len(data)]
+    general = (data == 0xE2) & (((one == 0x80) & ((two <= 0x8A) | (two == 0xA8) | (two == 0xA9) | (two == 0xAF))) | ((one == 0x81) & (two == 0x9F)))
+    rest = ((data == 0xC2) & ((one == 0x85) | (one == 0xA0))) | ((data == 0xE1) & (one == 0x9A)) | ((data == 0xE3) & (one == 0x80))
+    return _CONTROL_SPACE[data] | general | rest
+
+
+def _cuts(data: np.ndarray) -> np.ndarray:
+    """Starts of pieces: where a blank follows something else, or a stop follows a Latin letter."""
+    before, blank = data[:-1], _BLANK[data]
+    letter = _ASCII_LETTER[before]
+    letter[1:] |= (data[:-2] == 0xC3) & (before[1:] >= 0x80) & (before[1:] != 0x97) & (before[1:] != 0xB7)
+    return np.flatnonzero((blank[1:] & ~blank[:-1]) | (letter & _STOP[data[1:]])) + 1
+
+
+class _Table:
+    """Sorted piece hashes and where their ids lie in the pool."""
+
+    def __init__(self, keys=None, at=None, size=None):
+        self.keys = np.zeros(0, np.uint64) if keys is None else keys
+        self.at = np.zeros(0, np.int64) if at is None else at
+        self.size = np.zeros(0, np.int64) if size is None else size
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(self.keys):
+            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        i = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return i, self.keys[i] == keys
+
+    def plus(self, keys: np.ndarray, at: np.ndarray, size: np.ndarray) -> _Table:
+        keys = np.concatenate([self.keys, keys])
+        order = np.argsort(keys, kind="stable")
+        return _Table(keys[order], np.concatenate([self.at, at])[order], np.concatenate([self.size, size])[order])
+
+
+class Encoder:
+    """Ids of texts, as one array and the number of ids of each text."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -59,50 +99,95 @@ class _Encoder:
             and before.get("use_regex", True)
             and not (spec.get("truncation") or spec.get("padding"))
         )
-        self.known: dict[str, bytes | None] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.old, self.new = _Table(), _Table()
+        self.pool, self.used = np.zeros(1 << 16, np.int32), 0
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum())), sizes
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        raw = [t.encode("utf-8", "surrogatepass") for t in texts]
         if not self.cuttable:
-            return self._ids(texts)
-        cut = [_PIECES.findall(t) for t in texts]
-        new = list({p for pieces in cut for p in pieces if p not in self.known})
-        if len(self.known) + len(new) > CACHE:
-            self.known = {}
-            new = list({p for pieces in cut for p in pieces})
-        plain = [p for p in new if not _OTHER_SPACE.search(p)]
-        self.known.update(dict.fromkeys(new))
-        self.known.update(zip(plain, self._ids(plain), strict=True))
-        out = []
-        for text, pieces in zip(texts, cut, strict=True):
-            try:
-                out.append(b"".join(map(self.known.__getitem__, pieces)))
-            except TypeError:  # a piece with other white space: its neighbours matter
-                out.append(self._ids([text])[0])
-        return out
+            return self._library(texts)
+        ids: list[np.ndarray] = []
+        sizes = np.zeros(len(texts), np.int64)
+        held: list[int] = []
+        total = 0
+
+        def flush() -> None:
+            if held:
+                found, n = self._group([texts[i] for i in held], [raw[i] for i in held])
+                ids.append(found)
+                sizes[held] = n
+                held.clear()
+
+        for i, data in enumerate(raw):
+            if total + len(data) > GROUP:
+                flush()
+                total = 0
+            held.append(i)
+            total += len(data)
+        flush()
+        return np.concatenate([np.zeros(0, np.int32), *ids]), sizes
+
+    def _group(self, texts: list[str], raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        ends = np.cumsum([len(r) for r in raw])
+        if len(data) > B.BLOCK or (len(data) and _odd_space(data).any()):
+            if len(texts) == 1:
+                return self._library(texts)
+            parts = [self._group([t], [r]) for t, r in zip(texts, raw, strict=True)]
+            return np.concatenate([p for p, _ in parts]), np.concatenate([n for _, n in parts])
+        if not len(data):
+            return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
+        starts = np.sort(np.concatenate([[0], _cuts(data), ends[:-1][ends[:-1] < len(data)]]), kind="stable").astype(np.int64)
+        starts = starts[np.append(True, starts[1:] != starts[:-1])]
+        stops = np.append(starts[1:], len(data))
+        keys, first, back, _ = B.distinct(B.Hasher(data).spans(starts, stops))
+        at, size = self._known(keys, lambda new: [data[starts[j] : stops[j]].tobytes().decode("utf-8", "surrogatepass") for j in first[new]])
+        lengths = size[back]
+        upto = np.cumsum(lengths)
+        ids = self.pool[np.repeat(at[back] - (upto - lengths), lengths) + np.arange(upto[-1])]
+        # Ids of a text: those of its pieces.
+        last = np.searchsorted(starts, ends, side="left") - 1
+        per_end = np.where(last >= 0, upto[np.maximum(last, 0)], 0)
+        return ids, np.diff(per_end, prepend=0)
+
+    def _known(self, keys: np.ndarray, pieces) -> tuple[np.ndarray, np.ndarray]:
+        i, in_old = self.old.find(keys)
+        j, in_new = self.new.find(keys)
+        missing = np.flatnonzero(~in_old & ~in_new)
+        if len(missing):
+            if len(self.old.keys) + len(self.new.keys) + len(missing) > CACHE:
+                self._forget()
+                return self._known(keys, pieces)
+            ids, sizes = self._library(pieces(missing))
+            if self.used + len(ids) > len(self.pool):
+                self.pool = np.append(self.pool[: self.used], np.zeros(max(len(ids), self.used), np.int32))
+            self.pool[self.used : self.used + len(ids)] = ids
+            self.new = self.new.plus(keys[missing], self.used + np.cumsum(sizes) - sizes, sizes)
+            self.used += len(ids)
+            if len(self.new.keys) > 40_000:
+                self.old, self.new = self.old.plus(self.new.keys, self.new.at, self.new.size), _Table()
+            return self._known(keys, pieces)
+        at, size = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        at[in_old], size[in_old] = self.old.at[i[in_old]], self.old.size[i[in_old]]
+        at[in_new], size[in_new] = self.new.at[j[in_new]], self.new.size[j[in_new]]
+        return at, size
 
 
 def encoded(path: str, end_id: int):
     """For mapInArrow: (doc_id, bucket, text) in order, to the rows of the files."""
-    end = np.array([end_id], "<u4").tobytes()
-
-    def rows(docs: list, buckets: list, ids: list[bytes], at: int) -> pa.RecordBatch:
-        sizes = np.array([len(x) // 4 for x in ids], np.int64)
-        starts = at + np.cumsum(sizes) - sizes
-        offsets = np.append(0, np.cumsum(sizes)).astype(np.int32)
-        values = np.frombuffer(b"".join(ids), "<i4")
-        return pa.RecordBatch.from_arrays(
-            [pa.array(docs, pa.int64()), pa.array(buckets, pa.int32()), pa.array(starts), pa.array(sizes), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))],
-            names=["doc_id", "bucket", "place", "n_tokens", "ids"],
-        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = B.per_worker(f"encoder:{path}", lambda: _Encoder(path))
+        encoder = B.per_worker(f"encoder:{path}", lambda: Encoder(path))
         at = 0
         for batch in batches:
-            docs, buckets = batch.column("doc_id").to_pylist(), batch.column("bucket").to_pylist()
             texts = [t or "" for t in batch.column("text").to_pylist()]
             done = 0
             while done < len(texts):
@@ -110,9 +195,20 @@ def encoded(path: str, end_id: int):
                 while upto < len(texts) and (upto == done or chars + len(texts[upto]) <= FLUSH):
                     chars += len(texts[upto])
                     upto += 1
-                ids = [x + end for x in encoder.encode(texts[done:upto])]
-                yield rows(docs[done:upto], buckets[done:upto], ids, at)
-                at += sum(map(len, ids)) // 4
+                ids, sizes = encoder.encode(texts[done:upto])
+                ids = np.insert(ids, np.cumsum(sizes), np.int32(end_id))
+                sizes += 1
+                offsets = np.append(0, np.cumsum(sizes))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *batch.select(["doc_id", "bucket"]).slice(done, upto - done).columns,
+                        pa.array(at + offsets[:-1]),
+                        pa.array(sizes),
+                        pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids)),
+                    ],
+                    names=["doc_id", "bucket", "place", "n_tokens", "ids"],
+                )
+                at += int(offsets[-1])
                 done = upto
 
     return run
