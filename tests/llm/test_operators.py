@@ -269,8 +269,8 @@ def test_line_frequency(make):
     assert clean[3] == own[3].split("\n")[0] and clean[300] == rows[-1][1]
 
 
-def chunked(text, window=2, divisor=3):
-    """Chunk boundaries by the rule, from the engine's own line hashes."""
+def lines_of(text):
+    """Lines by the rule."""
     import re
 
     return [x for x in re.split(linechunks.LINE_END, text) if x]
@@ -282,20 +282,21 @@ def test_chunks_are_the_text_and_shift_resistant(spark, make):
     texts = [" ".join(" ".join(words(rng, 5)) + rng.choice(".,") for _ in range(20)) + " " for _ in range(6)]
     rows = [(i, t + (passage if i % 2 else "") + texts[-1 - i]) for i, t in enumerate(texts)]
     rows.append((50, "Start. " + passage))
+    rows.append((60, "A mark \uffff in it. " + passage + "\n\nend."))
     docs = make(rows)
     from pyspark.sql import functions as F
 
     cut = {r["doc_id"]: r["c"] for r in docs.select("doc_id", linechunks.chunks(F.col("text")).alias("c")).collect()}
     for i, t in rows:
         assert "".join(x for c in cut[i] for x in c) == t
-        assert [x for c in cut[i] for x in c] == chunked(t)
+        assert [x for c in cut[i] for x in c] == lines_of(t)
     out = {r["doc_id"]: r for r in linechunks.dedup(docs).collect()}
     # Brute force over the chunks: the first place of each body stays.
     first, want = {}, {}
     for i, _ in sorted(rows):
         for pos, c in enumerate(cut[i]):
             body = "\n".join(x.strip() for x in c)
-            if len(c) >= 2 and len(body.split()) >= 8:
+            if len(c) >= 2 and len(body) >= 48:
                 if first.setdefault(body, (i, pos)) != (i, pos):
                     want.setdefault(i, []).append(pos)
     assert {i: r["removed"] for i, r in out.items() if r["removed"]} == want
@@ -325,3 +326,37 @@ def test_warc_pushdown_and_revisits(spark):
     rest = list(reader.pushFilters([EqualTo(("record_type",), "revisit"), GreaterThan(("page_id",), 1)]))
     assert len(rest) == 1 and reader.tests == [("record_type", frozenset(["revisit"]))]
     assert warc.read(spark, path, payload=False).where("payload is not null").count() == 0
+
+
+@tables
+def test_warc_query_equals_its_twin(spark):
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{FOLDER}/pages.parquet'")
+    cur = con.execute(queries.TWINS["op10_warc"])
+    names = [c[0] for c in cur.description]
+    got = queries.QUERIES["op10_warc"](spark, FOLDER)
+    assert sorted(got.columns) == sorted(names)
+    assert sorted((tuple(r[n] for n in names) for r in got.collect()), key=str) == sorted(cur.fetchall(), key=str)
+
+
+@tables
+def test_shard_query(spark):
+    rows = queries.QUERIES["op1_virtual_slots"](spark, FOLDER).collect()
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
+    assert {r["doc_id"]: (r["size"], r["text_crc32"]) for r in rows} == {d: (len(t.encode()) + 8, zlib.crc32(t.encode())) for d, t in docs.items()}
+    assert {r["shard"] for r in rows} == set(range(24))
+    for s in range(24):
+        assert sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(sum(r["shard"] == s for r in rows)))
+
+
+@tables
+def test_mixture_query(spark):
+    rows = queries.QUERIES["op2_mixture"](spark, FOLDER).collect()
+    source = {r["doc_id"]: r["source"] for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
+    taken, target = Counter(), {}
+    for r in rows:
+        taken[source[r["doc_id"]]] += r["taken"]
+        target[source[r["doc_id"]]] = r["target"]
+        assert r["taken"] <= 3 * r["size"]
+    assert all(abs(taken[s] - t) <= 0.01 * t + 8 for s, t in target.items())
