@@ -76,13 +76,22 @@ def collection_status(runs: DataFrame) -> DataFrame:
     )
 
 
-def status_report(collection: DataFrame, reasons: DataFrame, dataset: DataFrame, collector: DataFrame) -> DataFrame:
-    """The status document as (section, document) rows of JSON."""
+def latest_job(jobs: DataFrame) -> DataFrame:
+    """The training job that changed last: job_id, milestone, state, updated_ms (no row without jobs)."""
+    row = F.struct("job_id", "milestone", "state", "updated_ms")
+    last = jobs.agg(F.max_by(row, F.struct("updated_ms", "job_id")).alias("_j"))
+    return last.where("_j is not null").select("_j.*")
+
+
+def status_report(
+    collection: DataFrame, reasons: DataFrame, dataset: DataFrame, collector: DataFrame, catalogue: DataFrame, jobs: DataFrame
+) -> DataFrame:
+    """The status document as (section, document) rows of JSON; one row per reason and evaluation."""
 
     def section(name: str, df: DataFrame) -> DataFrame:
         return df.select(F.lit(name).alias("section"), F.to_json(F.struct(*df.columns)).alias("document"))
 
-    parts = [section("collection", collection), section("reason", reasons), section("dataset", dataset), section("collector", collector)]
+    parts = [section("collection", collection), section("reason", reasons), section("dataset", dataset), section("collector", collector), section("evaluation", catalogue), section("job", latest_job(jobs))]
     return reduce(DataFrame.unionByName, parts)
 
 

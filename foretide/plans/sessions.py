@@ -571,10 +571,14 @@ def _(spark, d):
 
 @query(
     "a06_status_report",
-    """select section, count(*) as documents from (select 'collection' as section union all select 'dataset' union all select 'collector'
-       union all select 'reason' from (select distinct quality_reason from fx_sessions where model_version='collection-v3' and not usable)) group by section""",
+    """select section, count(*) as documents, max(job) as job, max(models) as models from (select 'collection' as section, null as job, null as models union all select 'dataset', null, null union all select 'collector', null, null
+       union all select 'reason', null, null from (select distinct quality_reason from fx_sessions where model_version='collection-v3' and not usable)
+       union all select 'evaluation', null, 'm' || label from (select distinct label from embeddings)
+       union all (select 'job', session_id, null from fx_facts order by ended_ms desc, session_id desc limit 1)) group by section""",
 )
 def _(spark, d):
+    from foretide.plans.stores import evaluations
+
     runs = status_runs(spark, d)
     s = V.session_facts(spark, d).select("session_id", (C("session_id") % 3 != 0).alias("complete"), (C("session_id") % 2 == 0).alias("automated"))
     doc = A.status_report(
@@ -582,8 +586,15 @@ def _(spark, d):
         A.reason_counts(runs.where(C("official") & ~C("usable")), "reason"),
         A.dataset_summary(V.labelled(spark, d), V.FX_HORIZONS),
         A.collector_summary(s, V.obs(spark, d)),
+        evaluations(spark, d),
+        V.session_facts(spark, d).select(
+            C("session_id").alias("job_id"), (C("session_id") % 4).alias("milestone"), C("end_reason").alias("state"), C("ended_ms").alias("updated_ms")
+        ),
+    )
+    field = lambda name: F.max(F.get_json_object("document", f"$.{name}"))
+    return doc.where(C("document").startswith("{")).groupBy("section").agg(
+        F.count("*").alias("documents"), field("job_id").cast("long").alias("job"), field("model").alias("models")
     )
-    return doc.where(C("document").startswith("{")).groupBy("section").agg(F.count("*").alias("documents"))
 
 
 @query(

@@ -161,8 +161,8 @@ def _(spark, d):
     return RD.load_frame_cache(spark, path, "v3", "abc").select(C("run").cast("long").alias("run"), "frame")
 
 
-@query("src10_read_evaluations", "select 'm' || label as model, cast(null as varchar) as split, false as eligible, cast(count(*) as double) as n from embeddings group by label")
-def _(spark, d):
+def evaluations(spark, d):
+    """Metrics documents, one file each, written from the table and read as the catalogue."""
     path = fresh_path(spark, "evaluation-v3")
     n = V.read(spark, d, "embeddings").groupBy("label").agg(F.count("*").cast("double").alias("n"))
     n.select(F.concat(F.lit("m"), C("label")).alias("model"), F.struct("n").alias("metrics")).write.json(path)
@@ -170,8 +170,12 @@ def _(spark, d):
     one = spark.read.text(path, wholetext=False)
     split = fresh_path(spark, "evaluation-split-v3")
     one.repartition(32, "value").write.option("maxRecordsPerFile", 1).text(split)
-    ev = RD.read_evaluations(spark, f"{split}/*")
-    return ev.select("model", "split", "eligible", C("metrics")["n"].alias("n"))
+    return RD.read_evaluations(spark, f"{split}/*")
+
+
+@query("src10_read_evaluations", "select 'm' || label as model, cast(null as varchar) as split, false as eligible, cast(count(*) as double) as n from embeddings group by label")
+def _(spark, d):
+    return evaluations(spark, d).select("model", "split", "eligible", C("metrics")["n"].alias("n"))
 
 
 # --- sinks ------------------------------------------------------------------------
