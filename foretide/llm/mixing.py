@@ -28,7 +28,7 @@ PERIOD = 1 << 31
 STRIDE = 1_327_217_885  # odd and nearest to PERIOD times the golden ratio's fraction
 LEAST_TURNS, MOST_BLOCK = 65_536, 4_096
 STRETCH = 8_192  # turns ranked together
-RANGES = 16_384  # hash ranges of the documents of a source
+RANGES = 2_048  # hash ranges of the documents of a source
 
 
 def n_words(text: Column) -> Column:
