@@ -773,6 +773,20 @@ def _(spark, d):
     return A.ensemble_median(got, ["run", "session_id", "event_id"])
 
 
+@query("m10_elapsed_references")
+def _(spark, d):
+    """The time-only references: logistic and boosted trees on elapsed time alone, for the study's last fold."""
+    w = fitted_windows(spark, d).withColumn("t", F.array(F.element_at("x", 6)))
+    a, b, c = study_folds(w)[-1]
+    run = C("run")
+    train, cal, test = w.where(run <= a), w.where((run > a) & (run <= b)), w.where((run > b) & (run <= c))
+    parts_ = [
+        M.predict_horizons(M.fit_horizons(train, cal, "t", 7, family), test, "t").select("run", "session_id", "event_id", F.lit(f"elapsed_{family}").alias("name"), "p")
+        for family in ("logistic", "tree")
+    ]
+    return parts_[0].unionByName(parts_[1])
+
+
 @query("m12_candidate_grid")
 def _(spark, d):
     w = fitted_windows(spark, d)
