@@ -150,7 +150,7 @@ def nnpu_fit(
 
 def fit(
     docs: DataFrame, labels: DataFrame, max_positive: int = 4_000, max_unlabelled: int = 8_000,
-    max_features: int = 2_000, least_surprise: float = 15.0, empty_prior: float = 0.1, seed: int = 11,
+    max_features: int = 2_000, least_surprise: float = 8.0, empty_prior: float = 0.1, seed: int = 11,
 ) -> Model:
     """Learn from the rows of ``labels`` (doc_id, toxic); ``docs`` has doc_id and text.
 
