@@ -360,3 +360,15 @@ def test_mixture_query(spark):
         target[source[r["doc_id"]]] = r["target"]
         assert r["taken"] <= 3 * r["size"]
     assert all(abs(taken[s] - t) <= 0.01 * t + 8 for s, t in target.items())
+
+
+def test_encoder_equals_the_library_on_odd_texts():
+    public = pytest.importorskip("public_tokenizers")
+    encoder = tokens.Encoder(str(public.path("byte_bpe_50k.json")))
+    rng = random.Random(3)
+    parts = [*"ab é'ñ,.;!?|%$&*# \n\t  　\u0085…“ж²3_-×÷ÿ́\U0001f600\x1c", "  ", " the", "don't", "'s", "n't", "ß", "\n\n"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 60))) for _ in range(1_500)]
+    ids, sizes = encoder.encode(texts)
+    ends = np.cumsum(sizes)
+    plain = encoder.tokenizer.encode_batch(texts, add_special_tokens=False)
+    assert [ids[e - n : e].tolist() for e, n in zip(ends, sizes, strict=True)] == [p.ids for p in plain]
