@@ -1,13 +1,13 @@
 """Line dedup by content-defined chunks.
 
 A text is a sequence of lines; a line ends at a line feed or after the punctuation that
-ends a sentence or clause.  Each line is hashed, and a chunk ends where the hash of the
-last ``window`` line hashes falls below a bar.  The bar rises with the length of the line
-(to one half at most), so chunks have about ``target`` characters whether lines are long
-or short.  Boundaries depend on the content around them only, so a passage pasted
-elsewhere is cut in the same places, wherever it starts.  A chunk of several lines
-(``least_lines``, ``least_chars``) that occurs more than once anywhere is kept at its first
-place, by doc_id and position, and removed elsewhere.
+ends a sentence or clause.  Each line is hashed, and a chunk ends after a line whose hash is
+the least among its neighbours: all lines whose ends are less than ``least_lines`` lines or
+less than ``least_chars`` characters away on either side.  Two borders are therefore never
+closer than that, so every chunk has ``least_lines`` lines and ``least_chars`` characters,
+and only a whole text can be shorter.  A border depends on its neighbours only, so a passage
+pasted elsewhere is cut in the same places, wherever it starts.  A chunk that occurs more
+than once anywhere is kept at its first place, by doc_id and position, and removed elsewhere.
 
 Equal hashes are candidates only: the chunks' bytes are compared, and a hash that two
 different chunks share removes nothing.
@@ -46,16 +46,56 @@ def lines(text: Column) -> Column:
     return F.filter(F.when(F.contains(text, F.lit(MARK)), exact).otherwise(marked), lambda x: x != "")
 
 
-def chunks(text: Column, window: int = 2, target: int = 72) -> Column:
+def chunks(text: Column, least_lines: int = 2, least_chars: int = 48) -> Column:
     """Array of chunks, each an array of lines; put together they are the text."""
+    far = least_chars + 1  # a line counts its characters and the line feed that joins it in a body
+    most = max(least_lines, far)  # lines that are a chunk whatever their lengths
+
+    def scanned(hs: Column, sizes: Column, below) -> Column:
+        """Do the lines make a chunk of the least size, and is the own hash below those of all lines before its end?"""
+        start = F.struct(F.lit(0).alias("far"), F.lit(0).alias("n"), F.lit(True).alias("least"))
+
+        def step(a: Column, p: Column) -> Column:
+            short = (a["far"] < far) | (a["n"] < least_lines)
+            # The line that crosses the least size belongs to the chunk, its far end is no neighbour.
+            d, n = a["far"] + p["size"], a["n"] + 1
+            near = short & ((d < far) | (n < least_lines))
+            return F.struct(d.alias("far"), n.alias("n"), (a["least"] & (~near | F.coalesce(below(p["h"]), F.lit(False)))).alias("least"))
+
+        pairs = F.zip_with(sizes, hs, lambda x, h: F.struct(x.alias("size"), h.alias("h")))
+        return F.aggregate(pairs, start, step, lambda a: a["least"] & (a["far"] >= far) & (a["n"] >= least_lines))
 
     def ends(v: Column) -> Column:
         n = F.size(v["lines"])
 
         def here(i: Column) -> Column:
-            seen = F.xxhash64(*[F.get(v["hs"], i - 1 - back) for back in range(window)])
-            bar = F.least(F.lit(500), F.length(F.get(v["lines"], i - 1)) * F.lit(1000) / F.lit(target))
-            return (F.pmod(seen, F.lit(1000)) < bar) | (i == n)
+            own = F.get(v["hs"], i - 1)
+
+            def side(size, other, below, slow: Column) -> Column:
+                """Few lines are looked at one by one, a long run of short ones is scanned."""
+                out, length, least = None, None, F.lit(True)
+                for k in range(1, least_lines + 4):
+                    length = size(k) if length is None else length + size(k)
+                    if k >= least_lines:
+                        out = (F if out is None else out).when(length >= far, least)
+                    least = least & below(other(k))
+                return out.otherwise(slow)
+
+            def under(x: Column) -> Column:
+                return own < x
+
+            def upto(x: Column) -> Column:
+                return own <= x
+
+            left, right = F.least(i, F.lit(most)), F.least(n - i, F.lit(most))
+            back = scanned(F.reverse(F.slice(v["hs"], F.greatest(i - left, F.lit(1)), F.least(left, i - 1))), F.reverse(F.slice(v["sizes"], i - left + 1, left)), under)
+            ahead = scanned(F.slice(v["hs"], i + 1, right), F.slice(v["sizes"], i + 1, right), upto)
+            before = side(lambda k: F.get(v["sizes"], i - k), lambda k: F.get(v["hs"], i - 1 - k), under, back)
+            after = side(lambda k: F.get(v["sizes"], i + k - 1), lambda k: F.get(v["hs"], i + k - 1), upto, ahead)
+            # The next line on either side settles most lines.
+            beside = under(F.get(v["hs"], i - 2)) & upto(F.get(v["hs"], i)) if least_lines > 1 else F.lit(True)
+            inner = F.when((i < least_lines) | (n - i < least_lines), False).when(~beside, False).when(~before, False).otherwise(after)
+            return (i == n) | inner
 
         return F.filter(F.sequence(F.lit(1), n), here)
 
@@ -64,7 +104,14 @@ def chunks(text: Column, window: int = 2, target: int = 72) -> Column:
         return F.slice(v["lines"], start + 1, end - start)
 
     # Each step goes through a one-element array, so that its value is computed once per row.
-    one = F.transform(F.array(lines(text)), lambda v: F.struct(v.alias("lines"), F.transform(v, lambda x: F.xxhash64(_trimmed(x))).alias("hs")))
+    one = F.transform(
+        F.array(lines(text)),
+        lambda v: F.struct(
+            v.alias("lines"),
+            F.transform(v, lambda x: F.xxhash64(_trimmed(x))).alias("hs"),
+            F.transform(v, lambda x: F.length(_trimmed(x)) + 1).alias("sizes"),
+        ),
+    )
     two = F.transform(one, lambda v: F.struct(v["lines"].alias("lines"), F.when(F.size(v["lines"]) > 0, ends(v)).otherwise(F.array().cast("array<int>")).alias("ends")))
     return F.element_at(F.transform(two, lambda v: F.transform(v["ends"], lambda e, k: span(v, e, k))), 1)
 
@@ -74,7 +121,7 @@ def _bytes(chunk: Column) -> Column:
     return F.array_join(F.transform(chunk, _trimmed), "\n")
 
 
-def dedup(docs: DataFrame, least_lines: int = 2, least_chars: int = 48, window: int = 2, target: int = 72) -> DataFrame:
+def dedup(docs: DataFrame, least_lines: int = 2, least_chars: int = 48) -> DataFrame:
     """``docs`` with repeated chunks removed from ``text``.
 
     Adds removed_chunks, removed_words and removed (positions of the chunks).
@@ -82,7 +129,7 @@ def dedup(docs: DataFrame, least_lines: int = 2, least_chars: int = 48, window:
     columns = [c for c in docs.columns if c not in ("removed_chunks", "removed_words", "removed")]
     own = docs.select(*[F.col(f"`{c}`") for c in columns])
     keyed = own.select(F.col("doc_id").alias("_id"), row_hash(own).alias("_key"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"))
-    parts = keyed.select("_id", "_key", F.posexplode(chunks(F.col("_row.text"), window, target)).alias("pos", "chunk"))
+    parts = keyed.select("_id", "_key", F.posexplode(chunks(F.col("_row.text"), least_lines, least_chars)).alias("pos", "chunk"))
     parts = parts.where(F.size("chunk") >= least_lines).select("_id", "_key", "pos", _bytes(F.col("chunk")).alias("body"))
     parts = materialise(parts.where(F.length("body") >= least_chars).withColumn("h", F.xxhash64("body")), "chunks")
     place = F.struct(F.col("_id").isNull().alias("none"), "_id", "_key", "pos")
@@ -103,7 +150,7 @@ def dedup(docs: DataFrame, least_lines: int = 2, least_chars: int = 48, window:
     )
     removed = materialise(removed.withColumnRenamed("_id", "_gone_id").withColumnRenamed("_key", "_gone_key"), "chunks-removed")
     found = keyed.join(removed, F.col("_id").eqNullSafe(F.col("_gone_id")) & (F.col("_key") == F.col("_gone_key")), "left")
-    kept = F.filter(chunks(F.col("_row.text"), window, target), lambda c, i: ~F.array_contains("removed", i))
+    kept = F.filter(chunks(F.col("_row.text"), least_lines, least_chars), lambda c, i: ~F.array_contains("removed", i))
     text = F.when(F.col("removed").isNull(), F.col("_row.text")).otherwise(F.array_join(F.flatten(kept), ""))
     return found.select(
         F.col("_row").withField("text", text).alias("_row"),

@@ -305,6 +305,41 @@ def test_chunks_are_the_text_and_shift_resistant(spark, make):
         assert out[i]["text"] == "".join(x for p, c in enumerate(cut[i]) if p not in want.get(i, []) for x in c)
 
 
+def test_chunks_are_never_short_and_find_short_passages(spark, make):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(12)
+
+    def prose(n, least=1, most=12):  # clauses of all lengths
+        out = []
+        while len(out) < n:
+            w = words(rng, min(rng.randint(least, most), n - len(out)))
+            out += [*w[:-1], w[-1] + rng.choice(".,")]
+        return " ".join(out)
+
+    passages = [prose(rng.randint(50, 100), 5) for _ in range(60)]
+    rows = [(i, f"{prose(rng.randint(60, 90))} {p} {prose(rng.randint(60, 90))}") for i, p in enumerate(passages * 2)]
+    rows.append((900, "a.\nb\n\n\n" * 200 + prose(40, 1, 2)))  # a long run of the shortest lines
+    docs = make(rows)
+    cut = {r["doc_id"]: r["c"] for r in docs.select("doc_id", linechunks.chunks(F.col("text")).alias("c")).collect()}
+    for i, t in rows:
+        assert [x for c in cut[i] for x in c] == lines_of(t)
+        assert all(len(c) >= 2 and len("\n".join(x.strip() for x in c)) >= 48 for c in cut[i]) and len(cut[i]) > 1
+        # Borders by the definition: the least hash among all lines closer than a chunk on either side.
+        size, hs = [len(x.strip()) + 1 for x in lines_of(t)], [xxhash.xxh64_intdigest(x.strip().encode(), 42) for x in lines_of(t)]
+        hs, at, want = [h - (1 << 64) if h >> 63 else h for h in hs], np.cumsum(size), []
+        for k in range(1, len(hs)):
+            near = [j for j in range(1, len(hs) + 1) if j != k and (abs(j - k) < 2 or abs(at[j - 1] - at[k - 1]) < 49)]
+            edge = k < 2 or len(hs) - k < 2 or at[k - 1] < 49 or at[-1] - at[k - 1] < 49
+            if not edge and all(hs[k - 1] < hs[j - 1] if j < k else hs[k - 1] <= hs[j - 1] for j in near):
+                want.append(k)
+        assert np.cumsum([len(c) for c in cut[i]]).tolist() == [*want, len(hs)]
+    out = {r["doc_id"]: r["removed_words"] for r in linechunks.dedup(docs).collect()}
+    planted = sum(len(p.split()) for p in passages)
+    assert sum(out[60 + i] for i in range(60)) >= 0.45 * planted
+    assert sum(out[60 + i] == 0 for i in range(60)) <= 10
+
+
 def test_warc_pushdown_and_revisits(spark):
     big = "<p>é" + "x" * 2_000
     pages = spark.createDataFrame(
