@@ -2,9 +2,8 @@
 
 Lines are normalised (lower case, single blanks, digits as 0) and hashed.  Per host, the
 documents that hold a line are counted: each document once however often it repeats the
-line, and documents with equal texts once.  Lines in more than
-``least + share * (documents of the host)`` are boilerplate and removed; a document left
-with less than ``keep_share`` of its words is depleted and rejected.  Base rules reject
+line, and documents with equal texts once.  Lines in more than a share of the host's documents, and
+in more than ``least`` of them, are boilerplate and removed; a document left with less than ``keep_share`` of its words is depleted and rejected.  Base rules reject
 texts that are too short or repeat themselves.
 
 Texts are read once, by one pass that writes counts and line hashes.  All counting is
@@ -106,17 +105,21 @@ def measures(docs: DataFrame) -> DataFrame:
     return materialise(rows.withColumn("row", F.monotonically_increasing_id()), "line-measures")
 
 
-def boilerplate(rows: DataFrame, least: int = 50, share: float = 0.01) -> DataFrame:
-    """(host, h): lines in more documents of their host than the limit."""
+def boilerplate(rows: DataFrame, least: int = 5, share: float = 0.01) -> DataFrame:
+    """(host, h): lines in more documents of their host than the limit.
+
+    The limit is a share of the documents, so hosts of all sizes are judged alike;
+    ``least`` only keeps a few chance repeats on a small host from counting.
+    """
     distinct = rows.select(F.col("source").alias("host"), "text_hash", F.explode("lines.h").alias("h")).distinct()
     counts = distinct.groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") > least)
-    hosts = rows.select(F.col("source").alias("host"), "text_hash").distinct().groupBy("host").agg((F.count("*") * share + least).alias("limit"))
+    hosts = rows.select(F.col("source").alias("host"), "text_hash").distinct().groupBy("host").agg(F.greatest(F.count("*") * F.lit(float(share)), F.lit(float(least))).alias("limit"))
     limits = materialise(hosts.select(F.col("host").alias("_host"), "limit").coalesce(1), "line-hosts")
     over = counts.join(limits, F.col("host").eqNullSafe(F.col("_host"))).where("n > limit").select("host", "h", "n")
     return materialise(over, "line-boilerplate")
 
 
-def judge(docs: DataFrame, least: int = 50, share: float = 0.01, keep_share: float = 0.3) -> tuple[DataFrame, DataFrame]:
+def judge(docs: DataFrame, least: int = 5, share: float = 0.01, keep_share: float = 0.3) -> tuple[DataFrame, DataFrame]:
     """Per row: counts, ``removed_words``, ``base_failed`` and ``kept``; and the boilerplate lines."""
     rows = measures(docs)
     over = boilerplate(rows, least, share)

@@ -269,6 +269,26 @@ def test_line_frequency(make):
     assert clean[3] == own[3].split("\n")[0] and clean[300] == rows[-1][1]
 
 
+def test_line_frequency_is_the_same_on_small_and_large_hosts(spark, make, tmp_path):
+    rng = random.Random(14)
+    footer = "All rights reserved by the site 2024"
+    rows = []
+    for host, n in (("small", 50), ("middle", 300), ("large", 1_200)):
+        for i in range(n):  # the same share of every host has the footer; a tenth of those hold little else
+            text = " ".join(words(rng, 25))
+            if i % 5 == 0:
+                text = "\n".join([footer] * 6 + [" ".join(words(rng, 3))]) if i % 50 == 0 else text + "\n" + footer
+            rows.append((len(rows), text, host))
+    rows += [(len(rows) + i, " ".join(words(rng, 25)) + ("\nSeen twice by chance" if i < 2 else ""), "tiny") for i in range(8)]
+    make(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in queries.QUERIES["op6_line_frequency"](spark, str(tmp_path)).collect()}
+    for i, text, host in rows:
+        held = text.count(footer)
+        assert got[i]["removed_words"] == 7 * held, host
+        assert got[i]["kept"] == (held < 6 and not got[i]["base_failed"]), host
+    assert sum(got[i]["removed_words"] > 0 for i, _, host in rows if host == "small") == 10
+
+
 def lines_of(text):
     """Lines by the rule."""
     import re
