@@ -1,19 +1,21 @@
 """Benchmark decontamination by q-gram lemma filtering.
 
 Texts and benchmark items are normalised to lower-case letters and digits with single
-blanks.  An item is searched by windows of ``window`` characters (an item shorter than
-that is one window).  A window of n characters that occurs with at most k edits shares at
+blanks.  An item is searched by its windows of ``window`` characters, one from every place of
+it (an item shorter than that is one window), so a quote of ``window`` characters is found
+wherever in the item it stands.  A window of n characters that occurs with at most k edits shares at
 least  n + 1 - q - k q  q-grams with the place, all on diagonals (place in the text minus
 place in the item) that differ by k at most.  So shared q-grams are counted in bands of
-2 (k + 1) diagonals that overlap by half, bands that reach the bound are retained, and a
-banded alignment decides.
+2 (k + 1) diagonals that overlap by half, bands that reach the bound are retained.  In those
+the missing q-grams of every window are covered greedily by edits, q places each; where k
+edits are enough, a banded alignment decides.
 
 The index of the items is bounded: a benchmark of more than ``block_chars`` characters is
 searched in blocks of about that size, each against all documents.  Each document's whole
 text is searched, in pieces that overlap by more than a window.
 
 Nulls and empty texts have no hits, items with fewer than ``least`` normalised characters
-are not searched (they are everyday phrases), repeated items and rows are treated one by
+are found where they stand whole, without edits and between blanks, repeated items and rows are treated one by
 one, and an empty benchmark finds nothing.
 """
 
@@ -76,7 +78,8 @@ class Index:
     maybe: np.ndarray  # bit table over the low bits of the hashes
     codes: list[np.ndarray]  # per item its normalised characters
     ids: list[int | None]
-    windows: list[list[tuple[int, int]]]  # per item (start, length)
+    windows: list[int]  # per item the length of its windows
+    short: dict[int, tuple[np.ndarray, np.ndarray]]  # by length: sorted hashes of short items, and which items they are
     rate: float
     longest: int  # of the windows
     furthest: int  # place of a q-gram
@@ -91,16 +94,26 @@ class Index:
 
 
 def build(items: list[tuple[int | None, str | None]], q: int = 8, window: int = 80, rate: float = 0.1, least: int = 40) -> Index:
-    codes, ids, windows = [], [], []
+    codes, ids, windows, brief = [], [], [], []
     for item_id, text in items:
         norm, _ = normalise(text)
+        if not len(norm):
+            continue
         if len(norm) < max(least, q):
+            brief.append((item_id, norm))
             continue
-        n = min(window, len(norm))
-        starts = sorted({*range(0, len(norm) - n + 1, max(1, n // 2)), len(norm) - n})
         codes.append(norm)
         ids.append(item_id)
-        windows.append([(s, n) for s in starts])
+        windows.append(min(window, len(norm)))
+    by_length: dict[int, list[int]] = defaultdict(list)
+    for i, (_, norm) in enumerate(brief):
+        by_length[len(norm)].append(len(codes) + i)
+    codes_all, ids = codes + [norm for _, norm in brief], ids + [item_id for item_id, _ in brief]
+    short = {}
+    for n, which in by_length.items():
+        h = np.concatenate([_hash(codes_all[i], n) for i in which])
+        order = np.argsort(h, kind="stable")
+        short[n] = h[order], np.array(which)[order]
     hashes, owner, place = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for i, norm in enumerate(codes):
         at = np.arange(len(norm) - q + 1)
@@ -112,8 +125,8 @@ def build(items: list[tuple[int | None, str | None]], q: int = 8, window: int =
     keys, first = np.unique(h[order], return_index=True)
     maybe = np.zeros(1 << _BITS, bool)
     maybe[(keys & np.uint64((1 << _BITS) - 1)).astype(np.int64)] = True
-    sizes = {n for ws in windows for _, n in ws} or {window}
-    plain = Index(q, keys, np.append(first, len(h)), o[order], p[order], maybe, codes, ids, windows, rate, max(sizes), int(p.max(initial=0)), 1, 1)
+    sizes = set(windows) or {window}
+    plain = Index(q, keys, np.append(first, len(h)), o[order], p[order], maybe, codes_all, ids, windows, short, rate, max(sizes), int(p.max(initial=0)), 1, 1)
     return replace(plain, reach=max(map(plain.budget, sizes)) + 1, bound=max(1, min(map(plain.least, sizes))))
 
 
@@ -130,15 +143,15 @@ def _hash(norm: np.ndarray, q: int) -> np.ndarray:
 
 
 def aligned(norm: np.ndarray, pattern: np.ndarray, low: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Least edit distance of ``pattern`` in each band of diagonals [low, low + width), and where it ends."""
-    n, c = len(pattern), np.arange(width, dtype=np.int32)
+    """Least edit distance of each row of ``pattern`` in its band of diagonals [low, low + width), and where it ends."""
+    n, c = pattern.shape[1], np.arange(width, dtype=np.int32)
     at = low[:, None] + np.arange(n + width)
     region = np.where((at >= 0) & (at < len(norm)), norm[np.minimum(np.maximum(at, 0), len(norm) - 1)], np.uint32(0))
     row = np.zeros((len(low), width), np.int32)
     skip = np.full((len(low), width), n + width, np.int32)
-    for i, char in enumerate(pattern.tolist()):
+    for i in range(n):
         skip[:, :-1] = row[:, 1:]
-        row += region[:, i : i + width] != char
+        row += region[:, i : i + width] != pattern[:, i : i + 1]
         skip += 1
         np.minimum(row, skip, out=row)
         row -= c
@@ -181,6 +194,10 @@ def search(index: Index, texts) -> list[list[dict]]:
         if not text:
             continue
         norm, where[i] = normalise(text)
+        for item, start, end in _search_short(index, norm):
+            found[i, item].append((start, end, 0))
+        if not index.windows:
+            continue
         for a in range(0, max(1, len(norm) - overlap), _PIECE):
             group.append((i, a, norm[a : a + _PIECE + overlap]))
             held += len(group[-1][2])
@@ -236,33 +253,76 @@ def _search_piece(index: Index, norm: np.ndarray) -> Iterator[tuple[int, int, in
     cuts = np.flatnonzero(np.diff(item[order])) + 1
     for mine in np.split(order, cuts):
         it = int(item[mine[0]])
-        places, halves, diagonals = place[mine], half[mine], pos[mine] - place[mine]
-        for start, n in index.windows[it]:
-            inside = (places >= start) & (places <= start + n - index.q)
-            if inside.sum() < index.least(n):
-                continue
-            # Each band joins two neighbouring halves; a q-gram of the window votes once in a band.
-            band, vote = halves[inside], places[inside] - start
-            ballots = np.unique(np.concatenate([band, band - 1]) * n + np.concatenate([vote, vote]))
-            bands, votes = np.unique(ballots // n, return_counts=True)
-            bands = bands[votes >= max(1, index.least(n))]
-            if not len(bands):
-                continue
-            pattern = index.codes[it][start : start + n]
-            # Where all q-grams of the window lie on one diagonal the window is there as it is.
-            straight, votes = np.unique(diagonals[inside], return_counts=True)
-            for d in straight[votes >= n + 1 - index.q].tolist():
-                if np.array_equal(norm[d + start : d + start + n], pattern):
-                    yield it, d + start, d + start + n, 0
-                    own = d // reach + shift
-                    bands = bands[(bands != own) & (bands != own - 1)]
-            if not len(bands):
-                continue
-            distance, end = aligned(norm, pattern, (bands - shift) * reach + start, 2 * reach)
-            for e, far in sorted({(int(e), int(x)) for e, x in zip(end, distance, strict=True) if x <= index.budget(n)}):
+        yield from _search_item(index, norm, it, place[mine], half[mine], pos[mine] - place[mine], shift)
+
+
+def _search_item(index: Index, norm: np.ndarray, it: int, places, halves, diagonals, shift: int) -> Iterator[tuple[int, int, int, int]]:
+    """Hits of the windows of one item, given its q-grams' places in it, half bands and diagonals."""
+    q, reach, pattern, n = index.q, index.reach, index.codes[it], index.windows[it]
+    budget, spots = index.budget(n), n + 1 - q  # q-grams of a window
+    starts, grams = len(pattern) - n + 1, len(pattern) - q + 1
+    # Where all characters of a window lie on one diagonal the window is there as it is.
+    exact: set[int] = set()
+    straight, votes = np.unique(diagonals, return_counts=True)
+    for d in straight[votes >= spots].tolist():
+        a, b = max(0, -d), min(len(pattern), len(norm) - d)
+        same = np.concatenate([[0], np.cumsum(pattern[a:b] == norm[a + d : b + d])])
+        for s in (a + np.flatnonzero(same[n:] - same[:-n] == n)).tolist():
+            yield it, d + s, d + s + n, 0
+            own = d // reach + shift
+            exact.update((own * starts + s, (own - 1) * starts + s))
+    done = np.fromiter(exact, np.int64, len(exact))
+    # Each band joins two neighbouring halves; a q-gram of the window votes once in a band.
+    bands, row = np.unique(np.concatenate([halves, halves - 1]), return_inverse=True)
+    column = np.concatenate([places, places])
+    many = np.bincount(row, minlength=len(bands)) >= max(1, index.least(n))
+    step = max(1, _PIECE * 8 // (grams + q))
+    rows = np.flatnonzero(many)
+    for part in (rows[a : a + step] for a in range(0, len(rows), step)):
+        at = np.full(len(bands), -1)
+        at[part] = np.arange(len(part))
+        pick = at[row] >= 0
+        there = np.zeros((len(part), grams), bool)
+        there[at[row[pick]], column[pick]] = True
+        upto = np.zeros((len(part), grams + 1), np.int32)
+        np.cumsum(there, axis=1, out=upto[:, 1:])
+        band, s = np.nonzero(upto[:, spots:] - upto[:, :-spots] >= max(1, index.least(n)))
+        if not len(band):
+            continue
+        # The next missing q-gram from each place on; past the end there is none.
+        missing = np.where(there, grams, np.arange(grams))
+        missing = np.minimum.accumulate(missing[:, ::-1], axis=1)[:, ::-1]
+        missing = np.concatenate([missing, np.full((len(part), 1), grams)], axis=1)
+        to = s.copy()
+        for _ in range(budget):
+            to = np.minimum(missing[band, to] + q, grams)
+        able = missing[band, to] >= s + spots
+        band, s = bands[part[band[able]]], s[able]
+        if len(done):
+            able = ~np.isin(band * starts + s, done)
+            band, s = band[able], s[able]
+        for a in range(0, len(s), 4_096):
+            b, t = band[a : a + 4_096], s[a : a + 4_096]
+            distance, end = aligned(norm, pattern[t[:, None] + np.arange(n)], (b - shift) * reach + t, 2 * reach)
+            for e, far in sorted({(int(e), int(x)) for e, x in zip(end, distance, strict=True) if x <= budget}):
                 yield it, e - n, e, far
 
 
+def _search_short(index: Index, norm: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(item, start, end) of every short item that stands in the text as it is, between blanks."""
+    for n, (keys, items) in index.short.items():
+        if len(norm) < n:
+            continue
+        edge = np.concatenate([[True], norm == 32, [True]])  # before each place, and after the last
+        pos = np.flatnonzero(edge[: len(norm) - n + 1] & edge[n + 1 :])
+        h = _hash(norm, n)[pos]
+        first, last = np.searchsorted(keys, h, side="left"), np.searchsorted(keys, h, side="right")
+        for j in np.flatnonzero(last > first).tolist():
+            for item in items[first[j] : last[j]].tolist():
+                if np.array_equal(norm[pos[j] : pos[j] + n], index.codes[item]):
+                    yield item, int(pos[j]), int(pos[j]) + n
+
+
 def indexes(benchmark: DataFrame, block_chars: int = 4_000_000, **how) -> list[Index]:
     """One index for each block of about ``block_chars`` characters of the items."""
     items = benchmark.select("item_id", "text").where("text is not null")

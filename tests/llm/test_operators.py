@@ -137,6 +137,35 @@ def test_band_search_equals_plain_edit_distance():
         assert bool(decontaminate.search(index, [text])[0]) == want
 
 
+def test_quotes_from_any_place_of_an_item_are_found():
+    rng = random.Random(15)
+    items = [(i, " ".join(words(rng, 60))) for i in range(4)]
+    index = decontaminate.build(items)
+    for size in (80, 100, 119):
+        for i, item in items:
+            for at in range(0, len(item) - size, 17):
+                quote = item[at : at + size + 1].strip()
+                if len(quote) < 80:
+                    continue
+                texts = [f"{' '.join(words(rng, 20))} 7{quote}7 {' '.join(words(rng, 20))}"]
+                (hit,) = [h for h in decontaminate.search(index, texts)[0] if h["item_id"] == i]
+                assert hit["distance"] == 0 and quote[8:-8] in texts[0][hit["start"] : hit["end"]]
+                # and with a few edits inside
+                body = list(quote)
+                for p in (20, 45):
+                    body[p] = "9"
+                assert i in [h["item_id"] for h in decontaminate.search(index, [f"xx {''.join(body)} yy"])[0]]
+
+
+def test_short_items_are_found_whole():
+    index = decontaminate.build([(1, "What is the capital of Peru?"), (2, "No way"), (3, "what is THE capital of peru"), (4, " ".join(["long item text"] * 10)), (5, "é")])
+    texts = ["He asked: what is the capital of Peru", "what is the capital of perus", "no, way", "anno way no wayx", "Well, NO WAY! É", "x" * 140_000 + " no way"]
+    found = [[h["item_id"] for h in hs] for hs in decontaminate.search(index, texts)]
+    assert found == [[1, 3], [], [2], [], [2, 5], [2]]
+    hit = decontaminate.search(index, texts)[0][0]
+    assert texts[0][hit["start"] : hit["end"]] == "what is the capital of Peru" and hit["distance"] == 0
+
+
 def test_benchmark_in_blocks(spark, make):
     rng = random.Random(5)
     items = [(i, " ".join(words(rng, 30))) for i in range(12)]
