@@ -6,6 +6,10 @@ source; the turns of a source are ranked, and turn r of a source takes block r o
 Blocks are equal runs of tokens: the documents of a source are laid end to end in a hashed
 order, again and again up to ``max_epochs`` times, and cut every ``block`` tokens.
 
+Every source gets its target to the word, however small: what the schedule's turns give
+beyond it is cut off, and what they leave is settled by further blocks, the last one
+partial, at the turns where they stand evenly in the mix.
+
 Only DataFrame expressions.  Texts are read once, to a slim table of (source, size,
 position hash).  Positions in a source and ranks of turns are running sums in two levels,
 hash range (or stretch of turns) first, then inside it, so a source with a third of all
@@ -80,6 +84,21 @@ def turns(plan: DataFrame, total: int, block: int) -> DataFrame:
     return dealt.join(before, ["sid", "_s"]).select("turn", "sid", (F.col("_before") + inside - 1).alias("rank"))
 
 
+def settled(schedule: DataFrame, plan: DataFrame, total: int, block: int) -> DataFrame:
+    """``schedule`` with further turns for the sources that it leaves below their targets.
+
+    A further turn comes where rank r of the source stands evenly in the mix, and not before
+    the source's last turn of the schedule.
+    """
+    n = -(-total // block) if total else 0
+    had = schedule.groupBy("sid").agg(F.count("*").alias("_n"), F.max("turn").alias("_last"))
+    short = plan.select("sid", "target", F.ceil(F.round("target") / block).alias("_need")).join(had, "sid", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    ranks = short.where("_need > _n").select("sid", "target", "_last", F.explode(F.sequence(F.col("_n"), F.col("_need") - 1)).alias("rank"))
+    even = F.floor((F.col("rank") + 0.5) * block / F.col("target") * n)
+    turn = F.greatest(F.least(even, F.lit(n - 1)), F.coalesce("_last", F.lit(0)))
+    return schedule.unionByName(ranks.select(turn.cast("long").alias("turn"), "sid", F.col("rank").cast("long").alias("rank")))
+
+
 def laid_out(slim: DataFrame) -> DataFrame:
     """``slim`` (sid, size, h, …) with ``start``: tokens of its source before it, in hash order."""
     ranged = slim.withColumn("_r", F.pmod(F.shiftrightunsigned("h", 50), F.lit(RANGES)).cast("int"))
@@ -99,9 +118,11 @@ def mix(
       in turn order they are the mixed stream
     * sources: source, sid, source_size, target
 
-    ``block`` defaults to a 65,536th of all tokens, between 1 and 4,096, so the schedule
-    has at least as many turns as it takes to hit every target closely.
+    ``block`` defaults to a 65,536th of all tokens, between 1 and 4,096, and each source's
+    words are settled to its target.  With a ``block`` of the caller's the turns of the
+    schedule are taken as they are, whole blocks only.
     """
+    settle = block is None
     slim = materialise(
         docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), row_hash(docs).alias("key")).withColumn(
             "h", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("key"))
@@ -116,12 +137,17 @@ def mix(
     placed = materialise(laid_out(known).drop("h"), "mix-placed")
     # A little beyond the target: the schedule may give a source a few turns more than its share.
     rounds = F.least(F.lit(max_epochs - 1), F.floor((F.col("target") + 64 * block) / F.col("source_size"))).cast("int")
-    again = placed.where("size > 0").select("doc_id", "key", "sid", "size", F.explode(F.sequence(F.lit(0), rounds)).alias("epoch"), (F.col("epoch") * F.col("source_size") + F.col("start")).alias("_at"))
-    cut = again.withColumn("rank", F.explode(F.sequence(F.floor(F.col("_at") / block), F.floor((F.col("_at") + F.col("size") - 1) / block))))
+    limit = F.round("target").cast("long") if settle else F.lit(None).cast("long")
+    again = placed.where("size > 0").select("doc_id", "key", "sid", "size", limit.alias("_limit"), F.explode(F.sequence(F.lit(0), rounds)).alias("epoch"), (F.col("epoch") * F.col("source_size") + F.col("start")).alias("_at"))
+    again = again.withColumn("_end", F.least(F.col("_at") + F.col("size"), F.col("_limit"))).where("_at < _end")
+    cut = again.withColumn("rank", F.explode(F.sequence(F.floor(F.col("_at") / block), F.floor((F.col("_end") - 1) / block))))
     low = F.greatest(F.col("_at"), F.col("rank") * block)
-    high = F.least(F.col("_at") + F.col("size"), (F.col("rank") + 1) * block)
+    high = F.least(F.col("_end"), (F.col("rank") + 1) * block)
     blocks = cut.select("sid", "rank", "doc_id", "key", "epoch", (low - F.col("_at")).alias("start"), (high - low).alias("words"))
-    pieces = turns(sources, total, block).join(blocks, ["sid", "rank"])
+    schedule = turns(sources, total, block)
+    if settle:
+        schedule = settled(materialise(schedule, "mix-turns"), sources, total, block)
+    pieces = schedule.join(blocks, ["sid", "rank"])
     return placed, sources, pieces
 
 
@@ -141,10 +167,13 @@ def mixed_documents(docs: DataFrame, weights: list[float], max_epochs: int = 3,
     """``docs`` repeated as the mix takes them: whole documents, to the nearest number of copies.
 
     A prefix of each source's stream is taken, so all but one of its documents are taken
-    a whole number of times and only that one is rounded.
+    a whole number of times and only that one is rounded.  The first document of a source
+    that has a share in the mix is kept once at least, so rounding drops no source.
     """
     placed, _, pieces = mix(docs, weights, max_epochs, block)
-    copies = taken(placed, pieces).where("size > 0").groupBy("doc_id", "key").agg(F.round(F.sum("taken") / F.sum("size")).cast("int").alias("_copies"))
+    least = F.when((F.min("start") == 0) & (F.sum("taken") > 0), 1).otherwise(0)
+    copies = taken(placed, pieces).where("size > 0").groupBy("doc_id", "key")
+    copies = copies.agg(F.greatest(F.round(F.sum("taken") / F.sum("size")), least).cast("int").alias("_copies"))
     copies = copies.where("_copies > 0").withColumnRenamed("doc_id", "_id").withColumnRenamed("key", "_key")
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), row_hash(docs).alias("_own"))
     match = F.col("_row.doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_key"))

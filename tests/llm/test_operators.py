@@ -226,6 +226,34 @@ def test_schedule_follows_the_definition(spark, make):
     assert sorted((r["doc_id"], r["taken"]) for r in rows) == sorted((r["doc_id"], r["taken"]) for r in again)
 
 
+def test_small_sources_get_their_words(spark, make, tmp_path):
+    rng = random.Random(16)
+    rows = [(i, "w " * 4_000, "a-hot") for i in range(150)]  # 600,000 words, so blocks of 9
+    small = {"b": [1], "c": [2], "d": [1, 1], "e": [30], "f": [7, 5, 9], "g": [200], "h": [2, 3]}
+    for source, sizes in small.items():
+        rows += [(1_000 + len(rows) + k, " ".join(words(rng, n)), source) for k, n in enumerate(sizes)]
+    docs = make(rows)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.QUERIES["op2_mixture"](spark, str(tmp_path)).collect()
+    source = {r[0]: r[2] for r in rows}
+    used, target = Counter(), {}
+    for r in got:
+        used[source[r["doc_id"]]] += r["taken"]
+        target[source[r["doc_id"]]] = r["target"]
+        assert r["taken"] <= 3 * r["size"]
+    assert used == {s: round(t) for s, t in target.items()}
+    _, _, pieces = mixing.mix(docs, [5, 2, 1])
+    order = {}
+    for r in sorted(pieces.collect(), key=lambda r: (r["sid"], r["rank"])):
+        assert r["turn"] >= order.get(r["sid"], 0)
+        order[r["sid"]] = r["turn"]
+    # A source whose target is less than half of its first document stays in the mix.
+    weights = [1_000_000.0] + [1.0] * 7
+    assert {r["source"] for r in mixing.mixed_documents(docs, weights).collect()} == set(target)
+    two = make([(1, "w " * 900, "a"), (2, "w " * 900, "b"), (3, "w " * 900, "b")])
+    assert {r["source"] for r in mixing.mixed_documents(two, [9, 1]).collect()} == {"a", "b"}
+
+
 @tables
 def test_token_files(spark):
     tk = pytest.importorskip("tokenizers")
