@@ -64,7 +64,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = fresh_path(spark, "tokens")
-    tokens.write(table(spark, sf_dir, "documents"), path, str(public_tokenizers.path("byte_bpe_50k.json")))
+    tokens.write(table(spark, sf_dir, "documents"), path, str(public_tokenizers.path("byte_bpe_50k.json")), added=True)
     return tokens.digests(spark, path)
 
 

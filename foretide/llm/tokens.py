@@ -15,6 +15,10 @@ following stop, so a text may be cut there; ids of pieces met before come from a
 table per worker, keyed by 64-bit hashes.  Texts with any other white space or of over a
 megabyte, and tokenizers of another kind, are encoded whole.
 
+With ``added``, the string of an added token (``<|endoftext|>``) in a text becomes that
+token's id, as the library does by itself; texts that hold one are encoded whole.  Without,
+such strings are ordinary text.
+
 Nulls count as empty texts and hold the end id only.  Null doc_ids come last; repeated
 doc_ids are ordered by their texts' hashes.  An empty table gives no rows.
 """
@@ -83,14 +87,17 @@ class _Table:
 class Encoder:
     """Ids of texts, as one array and the number of ids of each text."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         with open(path) as f:
             spec = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = not added
+        tokens = [t for t in spec.get("added_tokens") or [] if t["content"] and (added or not t.get("special"))]
+        # Without a normalizer a text holds a token only if it holds its content as it is.
+        self.whole = [t["content"].encode("utf-8", "surrogatepass") for t in tokens]
         before = spec.get("pre_tokenizer") or {}
         self.cuttable = (
             not spec.get("normalizer")
@@ -138,7 +145,7 @@ class Encoder:
     def _group(self, texts: list[str], raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         data = np.frombuffer(b"".join(raw), np.uint8)
         ends = np.cumsum([len(r) for r in raw])
-        if len(data) > B.BLOCK or (len(data) and _odd_space(data).any()):
+        if len(data) > B.BLOCK or (len(data) and (_odd_space(data).any() or any(t in r for t in self.whole for r in raw))):
             if len(texts) == 1:
                 return self._library(texts)
             parts = [self._group([t], [r]) for t, r in zip(texts, raw, strict=True)]
@@ -181,11 +188,11 @@ class Encoder:
         return at, size
 
 
-def encoded(path: str, end_id: int):
+def encoded(path: str, end_id: int, added: bool = False):
     """For mapInArrow: (doc_id, bucket, text) in order, to the rows of the files."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = B.per_worker(f"encoder:{path}", lambda: Encoder(path))
+        encoder = B.per_worker(f"encoder:{path}:{added}", lambda: Encoder(path, added))
         at = 0
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
@@ -215,13 +222,13 @@ def encoded(path: str, end_id: int):
 
 
 def write(
-    docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, stripe_bytes: int = 16 << 20, row_index_stride: int = 1_000
+    docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, stripe_bytes: int = 16 << 20, row_index_stride: int = 1_000, added: bool = False
 ) -> None:
     """Encode ``docs`` (doc_id, text) to ORC files under ``path``, ranges of doc_id in order."""
     order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")]
     ranged = docs.select("doc_id", "text").repartitionByRange(*order).sortWithinPartitions(*order)
     ranged = ranged.select("doc_id", F.spark_partition_id().alias("bucket"), "text")
-    out = ranged.mapInArrow(encoded(tokenizer, end_id), "doc_id long, bucket int, place long, n_tokens long, ids array<int>")
+    out = ranged.mapInArrow(encoded(tokenizer, end_id, added), "doc_id long, bucket int, place long, n_tokens long, ids array<int>")
     writer = out.write.option("compression", "zstd").option("orc.create.index", "true")
     writer = writer.option("orc.stripe.size", stripe_bytes).option("orc.row.index.stride", row_index_stride)
     writer.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", 0.01).orc(path)

@@ -484,3 +484,18 @@ def test_encoder_equals_the_library_on_odd_texts():
     ends = np.cumsum(sizes)
     plain = encoder.tokenizer.encode_batch(texts, add_special_tokens=False)
     assert [ids[e - n : e].tolist() for e, n in zip(ends, sizes, strict=True)] == [p.ids for p in plain]
+
+
+def test_token_query_equals_an_unmodified_tokenizer(spark, make, tmp_path):
+    tk = pytest.importorskip("tokenizers")
+    public = pytest.importorskip("public_tokenizers")
+    texts = ["plain text, no token.", "x <|endoftext|> y", "<|endoftext|>", "a<|endoftext|><|endoftext|> b.\nIt's <|endoftext", "<|end of text|>", None, "é " * 300 + "<|endoftext|>tail\u00a0end"]
+    make(list(enumerate(texts))).write.parquet(f"{tmp_path}/documents.parquet")
+    plain = tk.Tokenizer.from_file(str(public.path("byte_bpe_50k.json")))
+    at, want = 0, []
+    for i, t in enumerate(texts):
+        ids = [*plain.encode(t or "", add_special_tokens=False).ids, 2]
+        want.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    assert plain.encode(texts[1], add_special_tokens=False).ids == [87, 220, 50256, 331]
+    assert sorted(map(tuple, queries.QUERIES["op3_tokens_orc"](spark, str(tmp_path)).collect())) == want
