@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foretide.llm import decontaminate, linechunks, linefreq, mixing, quality, sharding, simhash, tokens, toxicity, warc
+from foretide.llm import bpecount, decontaminate, divergence, linechunks, linefreq, mixing, quality, resample, sharding, simhash, tokens, toxicity, warc
 from foretide.llm.common import fold, table
 from foretide.settings import fresh_path
 
@@ -27,6 +27,90 @@ from d left join g on d.digest = g.digest
 """
 
 
+# CRC-32 of the distinct words by its table, built from the rule; sums and draw as the contract states them.
+RESAMPLE_SQL = r"""
+with tab as (
+  select list(c order by i) as t from (
+    select i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as c
+    from (select unnest(range(256)) as i))
+),
+d as (
+  select row_number() over () as row, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words
+  from documents
+),
+b as (
+  select regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words
+  from benchmark
+),
+dw as (select row, w, count(*) as n from (select row, unnest(words) as w from d) group by 1, 2),
+bw as (select w, count(*) as n from (select unnest(words) as w from b) group by 1),
+words as (select w from dw union select w from bw),
+coded as (
+  select w, xor(list_reduce(
+      list_concat([4294967295], list_transform(range(1, octet_length(encode(w)) + 1), lambda k: cast('0x' || substr(hex(encode(w)), cast(2 * k - 1 as bigint), 2) as bigint))),
+      lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % 10000 as bucket
+  from words, tab
+),
+s as (select bucket, sum(n) as n from dw join coded using (w) group by 1),
+t as (select bucket, sum(n) as n from bw join coded using (w) group by 1),
+gain as (
+  select k.bucket, cast(floor(1000 * ln(((coalesce(t.n, 0) + 1)::double * ((select coalesce(sum(n), 0) from s) + 10000)::double)
+         / ((coalesce(s.n, 0) + 1)::double * ((select coalesce(sum(n), 0) from t) + 10000)::double))) as bigint) as g
+  from (select unnest(range(10000)) as bucket) k left join s on s.bucket = k.bucket left join t on t.bucket = k.bucket
+),
+weights as (select row, sum(dw.n * g) as weight from dw join coded using (w) join gain using (bucket) group by 1),
+scored as (
+  select doc_id, len(words) as n_features, cast(coalesce(weight, 0) as bigint) as weight,
+         cast(coalesce(weight, 0) + floor(-1000 * ln(-ln((cast('0x' || substr(sha256('2024:' || coalesce(cast(doc_id as varchar), '')), 1, 8) as bigint) + 0.5::double) / 4294967296::double))) as bigint) as score
+  from d left join weights using (row)
+),
+drawn as (
+  select *, row_number() over (partition by n_features >= 20 order by score desc, doc_id nulls last) as r, count(*) over (partition by n_features >= 20) as n from scored
+)
+select doc_id, cast(n_features as bigint) as n_features, weight, score, cast(case when n_features >= 20 and r <= 10 * n // 100 then r end as bigint) as "rank" from drawn
+"""
+
+DIVERGENCE_SQL = r"""
+with d as (
+  select row_number() over () as row, coalesce(lang, '') as lang, coalesce(source, '') as source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as terms
+  from documents
+),
+grp as (select distinct lang, source from d),
+occ as (select row, lang, source, term, count(*) as n from (select row, lang, source, unnest(terms) as term from d) group by all),
+kept as (select lang, term from occ group by all having count(*) >= 30),
+cnt as (select lang, source, term, sum(n)::hugeint as n from occ semi join kept on occ.lang = kept.lang and occ.term = kept.term group by all),
+v as (select lang, count(*)::hugeint as v from kept group by all),
+tot as (select lang, source, sum(n) as total from cnt group by all),
+cells as (
+  select g.lang, g.source, k.term, coalesce(c.n, 0) as n,
+         1 + (1000000000 * (coalesce(c.n, 0) + 5)) // (coalesce(tot.total, 0) + 5 * v.v) as p
+  from grp g join kept k on g.lang = k.lang join v on v.lang = g.lang
+  left join cnt c on c.lang = g.lang and c.source = g.source and c.term = k.term
+  left join tot on tot.lang = g.lang and tot.source = g.source
+),
+lang_total as (select lang, sum(n) as total from cnt group by all),
+lang_cnt as (select lang, term, sum(n) as n from cnt group by all),
+per_lang as (
+  select lang, term, 1 + (1000000000 * (n + 5)) // (total + 5 * v.v) as q from lang_cnt join lang_total using (lang) join v using (lang)
+),
+pair as (
+  select a.lang, a.source, b.source as item, coalesce(sum(abs(x.p - y.p)), 0) as value
+  from grp a join grp b on a.lang = b.lang and a.source <> b.source
+  left join cells x on x.lang = a.lang and x.source = a.source
+  left join cells y on y.lang = b.lang and y.source = b.source and y.term = x.term
+  group by all
+),
+term as (
+  select c.lang, c.source, c.term as item, c.p - l.q as value from cells c join per_lang l on l.lang = c.lang and l.term = c.term where c.n > 0 and c.p > l.q
+),
+parts as (select lang, source, 'pair' as part, item, value from pair union all select lang, source, 'term', item, value from term),
+ordered as (select *, row_number() over (partition by lang, source, part order by value desc, item) as r from parts)
+select lang, source, part, item, cast(value as bigint) as value, cast(r as int) as "rank" from ordered where part = 'pair' or r <= 50
+"""
+
+
 def query(name: str, twin: str | None = None):
     def keep(fn):
         QUERIES[name] = fn
@@ -115,3 +199,22 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.coalesce(F.octet_length("payload"), F.col("payload_bytes")).cast("long")
     digest = F.coalesce(F.sha1("payload"), F.col("payload_digest"))
     return warc.read(spark, path).select("page_id", size.alias("payload_bytes"), digest.alias("payload_digest"), "record_type", "refers_to")
+
+
+@query("op11_resample", RESAMPLE_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = resample.draw(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query("op12_divergence", DIVERGENCE_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+@query("op13_token_counts")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpecount.counts(docs, str(public_tokenizers.path("byte_bpe_50k.json"))).select("doc_id", "n_bytes", "n_tokens", "over_limit")
