@@ -17,13 +17,12 @@ pairs that the result itself lists, per block.
 Defined results: null text, language and source count as ''.  A row is a document, so repeated
 rows count again and doc_ids are not read.  Texts without terms make their (language, source)
 group occur with counts of 0; a language without kept terms has pairs of value 0 and no ``term`` rows.  Ties
-are ordered by the item's UTF-8 bytes.  Very long texts are cut into terms lazily, and a task
+are ordered by the item's UTF-8 bytes.  Very long texts are cut into blocks between terms, and a task
 writes a chunk out whenever it holds ``HELD`` terms.  Extra columns are ignored, so names cannot clash.  An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -35,12 +34,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foretide.llm import bytesets as B
 from foretide.settings import materialise
 
-TERM = re.compile("[^\x00-\x40\x5b-\x60\x7b-\x7f]+")
-LOWER = {c: c + 32 for c in range(65, 91)}
+#: Bytes outside terms become blanks, A-Z lower case; terms are runs of ASCII letters and bytes of other characters.
+PLAIN = bytes(int(B.LOWER[b]) if B.LETTER[b] else 32 for b in range(256))
 HELD = 400_000  # distinct terms of a task's chunk
-WHOLE = 1 << 20  # characters of a text whose terms may be listed at once
 TERMS, SIDE = 1024, 512
 SCALE = 1_000_000_000
 SCHEMA = "lang string, source string, digest long, docs long, n long, chunk long, word long, term string"
@@ -48,20 +47,23 @@ NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
 
 
 def terms(text: str) -> Counter:
-    plain = text.translate(LOWER) if not text.isascii() else text.lower()
-    return Counter(TERM.findall(plain) if len(plain) <= WHOLE else (m.group() for m in TERM.finditer(plain)))
+    """Occurrences of the terms, as UTF-8 bytes."""
+    found: Counter = Counter()
+    for block in B.blocks(text, cut=~B.LETTER):
+        found.update(block.tobytes().translate(PLAIN).split())
+    return found
 
 
-def digest(term: str, bits: int) -> int:
+def digest(term: bytes, bits: int) -> int:
     """The low bits of a signed 64-bit hash."""
-    h = xxhash.xxh64_intdigest(term.encode("utf-8", "surrogatepass"))
+    h = xxhash.xxh64_intdigest(term)
     return (h & ((1 << bits) - 1)) - (1 << 63) if bits == 64 else h & ((1 << bits) - 1)
 
 
 class _Words(dict):
     """Numbers terms as they are met."""
 
-    def __missing__(self, term: str) -> int:
+    def __missing__(self, term) -> int:
         self[term] = n = len(self)
         return n
 
@@ -72,7 +74,7 @@ class Held:
     def __init__(self):
         self.words, self.groups = _Words(), _Words()
         self.keys, self.docs, self.times = [], [], []  # sorted parts and single documents
-        self.size = 0
+        self.size = self.dense = 0  # entries, and those of the sorted part
 
     def add(self, group: tuple[str, str], text: str) -> None:
         g, found = self.groups[group], terms(text)
@@ -80,7 +82,7 @@ class Held:
         self.docs.append(np.ones(len(found), np.int64))
         self.times.append(np.fromiter(found.values(), np.int64, len(found)))
         self.size += len(found)
-        if self.size > 4 * HELD:
+        if self.size > self.dense + 4 * HELD:
             self.compact()
 
     def compact(self) -> None:
@@ -90,15 +92,15 @@ class Held:
         first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
         self.keys = [keys[first]]
         self.docs, self.times = ([np.add.reduceat(x[order], first) if len(first) else x] for x in (docs, times))
-        self.size = len(first)
+        self.size = self.dense = len(first)
 
     def full(self) -> bool:
-        return len(self.words) > HELD or self.size > 2 * HELD
+        return len(self.words) > HELD or self.dense > 3 * HELD
 
     def rows(self, chunk: int, bits: int, slice_rows: int = 100_000) -> Iterator[pa.RecordBatch]:
         self.compact()
-        names = list(self.words)
-        digests = np.fromiter((digest(t, bits) for t in names), np.int64, len(names))
+        digests = np.fromiter((digest(t, bits) for t in self.words), np.int64, len(self.words))
+        names = [t.decode("utf-8", "replace") for t in self.words]
         groups = [pa.array([g[i] for g in self.groups], pa.string()) for i in (0, 1)]
         keys, docs, times = self.keys[0], self.docs[0], self.times[0]
         word, group = keys & 0xFFFFFFFF, keys >> 32
@@ -148,14 +150,13 @@ def term_rows(docs: DataFrame, bits: int = 64) -> DataFrame:
     return materialise(plain.mapInArrow(counted(bits), SCHEMA), "divergence-terms")
 
 
-def maybe_in(rows: DataFrame, kept: DataFrame, pages: int = 1024) -> DataFrame:
-    """``rows`` whose digest may be in ``kept``: by a bitmap of ``pages`` x 4 KB, which bounds what is broadcast."""
-    page = F.pmod(F.shiftright(F.xxhash64("digest"), 15), F.lit(pages)).cast("int")
-    bit = F.xxhash64("digest").bitwiseAND(32767)
-    bitmap = kept.groupBy(page.alias("_page")).agg(F.bitmap_construct_agg(bit).alias("_bits"))
-    byte = F.conv(F.hex(F.substring("_bits", F.shiftright(bit, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    held = F.call_function("shiftright", byte, bit.bitwiseAND(7).cast("int")).bitwiseAND(1) == 1
-    return rows.withColumn("_page", page).join(F.broadcast(bitmap), "_page").where(held).select(*rows.columns)
+def maybe_in(rows: DataFrame, kept: DataFrame, pages: int = 1 << 18) -> DataFrame:
+    """``rows`` whose digest may be in ``kept``: by a bitmap of ``pages`` longs, which bounds what is broadcast."""
+    hashed = F.xxhash64("digest")
+    page = F.pmod(F.shiftright(hashed, 6), F.lit(pages))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), hashed.bitwiseAND(63).cast("int"))
+    bitmap = kept.groupBy(page.alias("_page")).agg(F.bit_or(bit).alias("_bits"))
+    return rows.join(F.broadcast(bitmap), page == F.col("_page")).where(F.col("_bits").bitwiseAND(bit) != 0).select(*rows.columns)
 
 
 def kept_counts(rows: DataFrame, least_docs: int) -> tuple[DataFrame, DataFrame]:
