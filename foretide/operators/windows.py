@@ -8,9 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foretide.functions import scalars as S
-from foretide.operators.chain import entry_states, state_maps
+from foretide.operators import thinning
 from foretide.operators.timeline import (
-    HALO,
     Timeline,
     drop_halo,
     islands,
@@ -21,7 +20,7 @@ from foretide.operators.timeline import (
     with_earlier_rows,
     with_earlier_time,
 )
-from foretide.settings import TARGET_RUNS, materialise
+from foretide.settings import TARGET_RUNS
 
 
 # --- run tables --------------------------------------------------------------
@@ -563,30 +562,5 @@ def count_rises(frames: DataFrame, line: Timeline, column: str) -> DataFrame:
 
 
 def thin(df: DataFrame, line: Timeline, step: float) -> DataFrame:
-    """Keep the first row, then always the next one at least ``step`` after the last kept.
-
-    State: how many rows back the last kept row is, at most the number of rows any
-    ``step`` holds (measured first, one number).  Whether a row is kept for each
-    such distance is a small map, and maps compose (see :mod:`chain`).
-    """
-    padded = with_earlier_time(df, line, step)
-    widest = (
-        padded.withColumn("_c", F.count("*").over(line.by_clock().rangeBetween(-step, 0)))
-        .where(~F.col(HALO))
-        .agg(F.max("_c"))
-        .first()[0]
-    )
-    n = int(widest or 1)
-    rows = row_numbers(df, line, "_rn")
-    ahead = with_earlier_rows(rows, line, n)
-    # State d-1 means: the last kept row is d rows back; state n: none within reach.
-    nexts = []
-    for d in range(1, n + 1):
-        gap = F.col(line.clock) - F.lag(line.clock, d).over(line.local())
-        nexts.append(F.when(F.coalesce(gap >= step, F.lit(True)), 0).otherwise(min(d, n)).cast("long"))
-    nexts.append(F.lit(0).cast("long"))
-    mapped = materialise(drop_halo(ahead.withColumn("change", F.array(*nexts)).withColumn("pos", F.col("_rn") - 1)), "thin")
-    states = entry_states(mapped.select(*line.keys, "pos", "change"), line.keys, state_maps(n + 1), n)
-    joined = mapped.join(states, [*line.keys, "pos"])
-    keep = F.element_at("change", (F.col("state") + 1).cast("int")) == 0
-    return joined.where(keep).select(*df.columns)
+    """Keep the first row, then always the next one at least ``step`` after the last kept (see :mod:`thinning`)."""
+    return thinning.thin(df, line.keys, line.order, line.clock, step)
