@@ -399,6 +399,30 @@ def _(spark, d):
     return drain(spark, L.close_sessions(s, 129_600_000), "closing").select("session_id", "ts_ms", "reason")
 
 
+V.register_ctes(
+    {
+        "fx_signals": """select session_id, ts_ms, event_id, case when event_type = 'purchase' and event_id % 9 = 0 then 'n' when event_type in ('error','click') then 'f' else 'o' end as k from fx_obs""",
+        "fx_streaks": """select *, case when k = 'f' then min(ts_ms) over (partition by session_id, g) end as since, lead(ts_ms) over (partition by session_id order by ts_ms, event_id) as next_ms from (
+            select *, sum(case when k = 'o' then 1 else 0 end) over (partition by session_id order by ts_ms, event_id) * 2 + case when k = 'f' then 1 else 0 end as g from fx_signals)""",
+    }
+)
+SILENCE_MS, FAILURE_MS, DELAY_MS = 432_000_000, 129_600_000, 86_400_000
+
+
+@query(
+    "st07_silent_sessions",
+    f"""select session_id, at_ms as ts_ms, reason from (select *, row_number() over (partition by session_id order by ts_ms, event_id) as n from (
+          select *, case when k = 'n' then ts_ms when k = 'f' and ts_ms - since >= {FAILURE_MS} then ts_ms
+                         when due < coalesce(next_ms, (select max(ts_ms) - {DELAY_MS} from fx_obs)) then due end as at_ms, case when k = 'n' then 'navigation' else 'capture_error' end as reason
+          from (select *, least(ts_ms + {SILENCE_MS}, case when k = 'f' then since + {FAILURE_MS} else ts_ms + {SILENCE_MS} end) as due from fx_streaks)) where at_ms is not null) where n = 1""",
+)
+def _(spark, d):
+    t = C("event_type")
+    sig = F.when((t == "purchase") & (C("event_id") % 9 == 0), "navigation").when(t.isin("error", "click"), "failed").otherwise("ok")
+    s = event_stream(spark, d).select("session_id", "ts_ms", "event_id", "ts", sig.alias("signal"))
+    return drain(spark, L.close_sessions(s, FAILURE_MS, SILENCE_MS, f"{DELAY_MS} milliseconds"), "silent").select("session_id", "ts_ms", "reason")
+
+
 @query(
     "st08_stream_clear_events",
     "select run, frame, valid as supported, coalesce(broad and evidence > 0 and seen = 1, false) as event, round(case when valid then evidence else 0 end, 6) as confidence from fx_clear",
@@ -428,6 +452,57 @@ def _(spark, d):
     return out.select("session_id", F.unix_millis("start").alias("start_ms"), "first_value", "n")
 
 
+def arriving(spark, rows, file, files):
+    """A stream of ``rows`` whose micro-batch number ``file`` is given, one file each."""
+    path = fresh_path(spark, "arriving")
+    for i in range(files):
+        rows.where(file == i).coalesce(1).write.parquet(f"{path}/file={i}")
+    return spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@query("st09_milestone_stream", "select cast(k as int) as milestone, session_id from (select session_id, row_number() over (order by started_ms, session_id) as k from fx_cohort) where k in (20, 25, 30, 40)")
+def _(spark, d):
+    runs = V.cohort(spark, d).select("session_id", "started_ms")
+    day = F.floor(C("started_ms") / V.DAY_MS)
+    stream = arriving(spark, runs, F.least(F.greatest(day - 19_723, F.lit(0)), F.lit(3)), 4)
+    path, log = fresh_path(spark, "milestones"), fresh_path(spark, "milestones-log")
+    L.milestone_sink(stream, path, log, ["started_ms", "session_id"]).awaitTermination()
+    return spark.read.schema("milestone int, session_id long").parquet(f"{path}/hits").select("milestone", "session_id")
+
+
+# Day numbers of the event table in quarters of a month; every thirteenth event arrives with the last file.
+# A micro-batch drops what is late by the watermark that the one before it ran with.
+ARRIVAL_SQL = "case when event_id % 13 = 5 then 3 else least(3, (epoch_us(ts) // 86400000000 - 19723) // 8) end"
+
+
+@query(
+    "st10_stream_buckets",
+    f"""with e as (select *, {ARRIVAL_SQL} as file, epoch_us(time_bucket(interval '1 day', ts)) // 1000 as start_ms from events),
+        marks as (select max(case when file < 2 then epoch_ms(ts) end) - 86400000 as before_last, max(epoch_ms(ts)) - 86400000 as final from e),
+        kept as (select * from e, marks where file < 3 or start_ms + 86400000 > before_last)
+        select user_id as session_id, start_ms, first(value order by ts, event_id) as first_value, count(*) as n from kept where start_ms + 86400000 <= final group by 1, 2""",
+)
+def _(spark, d):
+    e = V.read(spark, d, "events").select(C("user_id").alias("session_id"), "event_id", C("ts").cast("timestamp").alias("ts"), C("value").alias("motion"))
+    day = F.expr("unix_micros(ts) div 86400000000") - 19_723
+    stream = arriving(spark, e, F.when(C("event_id") % 13 == 5, 3).otherwise(F.least(F.lit(3), F.floor(day / 8))), 4)
+    out = drain(spark, L.bucketed(stream, "ts", "motion", "1 day", "1 day"), "buckets")
+    return out.select("session_id", F.unix_millis("start").alias("start_ms"), "first_value", "n")
+
+
+@query(
+    "st11_late_stream",
+    "select late, count(*) as n, sum(event_id) as ids from (select event_id, coalesce(active_ms < max(active_ms) over (partition by session_id order by (event_id * 7919) % 10007, event_id rows between unbounded preceding and 1 preceding) - 2000, false) as late from fx_obs) group by 1",
+)
+def _(spark, d):
+    o = V.obs(spark, d).withColumn("arrival", (C("event_id") * 7919) % 10007)
+    stream = arriving(spark, o, F.floor(C("arrival") / 2600), 4)
+    path, log = fresh_path(spark, "split"), fresh_path(spark, "split-log")
+    L.split_sink(L.late_rows(stream, "active_ms", ("arrival", "event_id"), 2000), path, log).awaitTermination()
+    sides = spark.read.parquet(path).withColumn("late", C("late").cast("boolean"))
+    return sides.groupBy("late").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+
+
 @query("st11_late_rows", "select session_id, event_id, coalesce(active_ms < max(active_ms) over (partition by session_id order by (event_id * 7919) % 10007, event_id rows between unbounded preceding and 1 preceding) - 2000, false) as late from fx_obs")
 def _(spark, d):
     o = V.obs(spark, d).withColumn("arrival", (C("event_id") * 7919) % 10007)
