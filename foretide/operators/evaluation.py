@@ -8,12 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foretide.operators.aggregates import exact_quantiles
 from foretide.operators.timeline import Timeline, by_depth, row_numbers, running
-from foretide.settings import LOCKED_TEST_RUNS, TARGET_RUNS
+from foretide.settings import LOCKED_TEST_RUNS, TARGET_RUNS, materialise
 
 
 def brier(long_df: DataFrame, keys: Sequence[str] = ("h",)) -> DataFrame:
@@ -211,26 +213,64 @@ def bootstrap_multiplicity(runs: DataFrame, seed: int, run: str = "run") -> Data
     return runs.join(counts, "pos").select(run, "multiplicity")
 
 
+def resample_means(pos: DataFrame, n: int, metrics: Sequence[str], seed: int, resamples: int, most: int = 1_000_000) -> DataFrame:
+    """(resample, one mean per metric): n values drawn with replacement, ``resamples`` times; nulls are left out.
+
+    ``pos`` has ``pos`` 0..n-1 and the metrics.  Draws follow from a rule, so they are no rows:
+    every task takes a range of draws and adds the values they hit into one array per
+    metric, and only these arrays are merged.  At most ``most`` values are with the tasks
+    at a time; more are gone through in blocks, each of which adds the draws that fall into it.
+    """
+    spark = pos.sparkSession
+    schema = "resample long, " + ", ".join(f"`{m}` double, `_n_{m}` long" for m in metrics)
+    tasks = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), n // 256))
+
+    def added(low: int, values):
+        def run(batches):
+            total, met = np.zeros((len(metrics), resamples)), np.zeros((len(metrics), resamples), np.int64)
+            block, rows = values.value, np.arange(resamples, dtype=np.int64)[:, None] * 1009 + seed * 104_729 + 1
+            for batch in batches:
+                for at in range(0, len(batch), 256):
+                    x = (rows + batch["id"].to_numpy(np.int64)[None, at : at + 256] * 7919) % LCG_M
+                    for _ in range(3):
+                        x = (x * LCG_A + 11) % LCG_M
+                    x = x % n - low
+                    hit = (x >= 0) & (x < block.shape[1])
+                    for i in range(len(metrics)):
+                        drawn = np.where(hit, block[i][np.where(hit, x, 0)], np.nan)
+                        total[i] += np.nansum(drawn, axis=1)
+                        met[i] += (~np.isnan(drawn)).sum(axis=1)
+            columns = {name: v for i, m in enumerate(metrics) for name, v in ((m, total[i]), (f"_n_{m}", met[i]))}
+            yield pd.DataFrame({"resample": np.arange(resamples), **columns})
+
+        return run
+
+    parts = []
+    for low in range(0, max(n, 1), most):
+        # At most ``most`` rows of a few numbers.
+        held = pos.where(F.col("pos").between(low, low + most - 1)).select("pos", *metrics).toPandas().sort_values("pos")
+        values = spark.sparkContext.broadcast(held[list(metrics)].to_numpy(float).T)
+        parts.append(spark.range(0, n, numPartitions=tasks).mapInPandas(added(low, values), schema))
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole.groupBy("resample").agg(*[F.try_divide(F.sum(m), F.sum(f"_n_{m}")).alias(m) for m in metrics])
+
+
 def paired_intervals(a: DataFrame, b: DataFrame, metrics: Sequence[str], seed: int = 1, resamples: int = 5000) -> DataFrame:
     """Paired bootstrap over runs: improvement, 95 % interval, runs won, per metric.
 
     ``a`` and ``b`` hold run and metrics.  Every run contributes one draw to each
-    resample; the draws are spread over the runs and met by position.
+    resample; see :func:`resample_means`.
     """
     pair = a.select("run", *[F.col(m).alias(f"a_{m}") for m in metrics]).join(
         b.select("run", *[F.col(m).alias(f"b_{m}") for m in metrics]), "run"
     )
+    pair = materialise(pair, "paired-runs")
+    n = pair.count()
     numbered = row_numbers(pair, Timeline((), ("run",), "run", 10_000), "_rn")
-    pos = numbered.withColumn("pos", F.col("_rn") - 1).drop("_rn")
-    n = pos.agg(F.count("*").alias("_n"))
-    slots = (
-        pos.select(F.col("pos").alias("slot")).join(F.broadcast(n))
-        .select("slot", "_n", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(resamples - 1).cast("long"))).alias("resample"))
-        .withColumn("pos", draw(F.col("resample") * 1009 + F.col("slot") * 7919 + seed * 104_729 + 1, F.col("_n")))
-    )
-    means = slots.join(pos, "pos").groupBy("resample").agg(
-        *[F.avg(F.col(f"b_{m}") - F.col(f"a_{m}")).alias(m) for m in metrics]
-    )
+    gains = numbered.select((F.col("_rn") - 1).alias("pos"), *[(F.col(f"b_{m}") - F.col(f"a_{m}")).alias(m) for m in metrics])
+    means = resample_means(gains, n, metrics, seed, resamples)
     bounds = means.agg(
         *[F.percentile(m, q).alias(f"{m}_{n_}") for m in metrics for q, n_ in ((0.025, "lo"), (0.975, "hi"))]
     )

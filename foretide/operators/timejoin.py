@@ -158,23 +158,36 @@ def asof_frame(anchors_: DataFrame, frames: DataFrame, line: Timeline, tolerance
 def nearest(targets: DataFrame, obs: DataFrame, line: Timeline, index: str, values: dict[str, Column]) -> DataFrame:
     """Observation with the smallest absolute time distance; the earliest on ties.
 
-    Two as-of passes (backward and, on the negated clock, forward) replace a range
-    join.  ``index`` orders observations of equal time.
+    Both sides are dealt once by (entity, slice); one sort carries the last observation
+    forward and the next one back, and a row per slice carries both across slices.
+    ``index`` orders observations of equal time: the first of them is taken.  A target
+    without a clock, or of an entity without observations, gets nulls.
     """
     clock = line.clock
-    back = Timeline(line.keys, (clock, "_pos"), clock, line.width)
-    ahead = Timeline(line.keys, ("_neg", "_pos"), "_neg", line.width)
-    t = targets.withColumn("_neg", -F.col(clock)).withColumn("_pos", F.lit(0).cast("long"))
-    o = obs.withColumn("_neg", -F.col(clock)).withColumn("_pos", -F.col(index).cast("long"))
-    payload = {"_v": F.struct(F.col(clock).alias("_at"), *[e.alias(n) for n, e in values.items()])}
-    first = as_of(t, o, back, {"_b": payload["_v"]})
-    both = as_of(first, o, ahead, {"_f": payload["_v"]})
-    gap_b, gap_f = F.col(clock) - F.col("_b._at"), F.col("_f._at") - F.col(clock)
-    use_back = F.col("_b").isNotNull() & (F.col("_f").isNull() | (gap_b <= gap_f))
-    best = F.when(use_back, F.col("_b")).otherwise(F.col("_f"))
-    return both.withColumn("_best", best).select(
-        *targets.columns, *[F.col(f"_best.{n}").alias(n) for n in values], F.col("_best._at").alias("nearest_at")
+    found = F.struct(F.col(clock).alias("_at"), *[e.alias(n) for n, e in values.items()])
+    base = [F.struct(*line.keys).alias("_k"), F.col(clock).alias("_t")]  # a struct of keys also matches nulls
+    # Of equal times the first observation is nearest: the others need not travel.
+    firsts = obs.where(F.col(clock).isNotNull()).groupBy(*line.keys, clock).agg(F.min_by(found, F.col(index)).alias("_o"))
+    both = targets.select(*base, F.lit(1).alias("_side"), F.struct(*targets.columns).alias("_row"), F.lit(None).alias("_o")).unionByName(
+        firsts.select(*base, F.lit(0).alias("_side"), F.lit(None).alias("_row"), "_o")
     )
+    rows = both.withColumn("_slice", F.coalesce(line.slice_of(F.col("_t")), F.lit(-(1 << 62)))).repartition("_k", "_slice")
+    place = F.when(F.col("_o").isNotNull(), F.col("_t"))
+    ends = rows.groupBy("_k", "_slice").agg(F.max_by("_o", place).alias("_last"), F.min_by("_o", place).alias("_first"))
+    across = Window.partitionBy("_k").orderBy("_slice")
+    carry = ends.select(
+        "_k", "_slice",
+        F.last("_last", ignorenulls=True).over(across.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
+        F.first("_first", ignorenulls=True).over(across.rowsBetween(1, Window.unboundedFollowing)).alias("_after"),
+    )
+    local = Window.partitionBy("_k", "_slice").orderBy("_t", "_side")
+    near = rows.withColumn("_b", F.last("_o", ignorenulls=True).over(local.rowsBetween(Window.unboundedPreceding, 0)))
+    near = near.withColumn("_f", F.first("_o", ignorenulls=True).over(local.rowsBetween(0, Window.unboundedFollowing)))
+    near = near.where(F.col("_row").isNotNull()).join(carry, ["_k", "_slice"])
+    back, ahead = F.coalesce("_b", "_before"), F.coalesce("_f", "_after")
+    use_back = back.isNotNull() & (ahead.isNull() | (F.col("_t") - back["_at"] <= ahead["_at"] - F.col("_t")))
+    best = near.withColumn("_best", F.when(F.col("_t").isNotNull(), F.when(use_back, back).otherwise(ahead)))
+    return best.select("_row.*", *[F.col(f"_best.{n}").alias(n) for n in values], F.col("_best._at").alias("nearest_at"))
 
 
 def best_alignment(
