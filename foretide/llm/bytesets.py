@@ -1,7 +1,9 @@
 """Vectorised views of UTF-8 text: token runs, and hashes of any spans of bytes.
 
 A span's hash is a polynomial over its bytes, read off one running sum per block, so
-words, word n-grams and character q-grams all cost a few array operations.  Blocks are
+words, word n-grams and character q-grams all cost a few array operations.  Modulo 2**64 such
+polynomials are equal for some pairs of long strings whatever their base (the order of Thue and
+Morse, from 1,024 letters on), so spans of ``LONG`` bytes and more, rare in texts, are hashed by XXH64.  Blocks are
 bounded (``BLOCK`` bytes); a longer text is cut between tokens, and only a single token
 longer than a block is cut inside.
 """
@@ -14,8 +16,10 @@ from types import ModuleType
 from typing import Any
 
 import numpy as np
+import xxhash
 
 BLOCK = 1 << 20
+LONG = 128
 # The white space of the word definition [^\x20\x09-\x0D]+.
 SPACES = b" \t\n\x0b\x0c\r"
 _ODD = 0x9E3779B97F4A7C15
@@ -69,6 +73,7 @@ class Hasher:
 
     def __init__(self, data: np.ndarray):
         values, self._up, self._down = per_worker("byte_tables", _tables)
+        self._data = np.ascontiguousarray(data)
         if data.dtype == np.uint8:
             coded = values[data]
         else:
@@ -77,7 +82,10 @@ class Hasher:
         np.cumsum(coded * self._up[: len(data)], out=self._sum[1:])
 
     def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix((self._sum[ends] - self._sum[starts]) * self._down[starts])
+        found = mix((self._sum[ends] - self._sum[starts]) * self._down[starts])
+        for i in np.flatnonzero(ends - starts >= LONG).tolist():
+            found[i] = xxhash.xxh64_intdigest(self._data[starts[i] : ends[i]].tobytes())
+        return found
 
 
 def blocks(text: str | None, cut: np.ndarray = SPACE, size: int = BLOCK) -> Iterator[np.ndarray]:
