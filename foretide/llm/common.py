@@ -29,6 +29,18 @@ def hashed_below(key: Column, share: float, seed: int) -> Column:
     return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 40)) < F.lit(int(share * (1 << 40)))
 
 
+def maybe_in(rows: DataFrame, kept: DataFrame, key: str, pages: int = 1 << 18) -> DataFrame:
+    """``rows`` whose long ``key`` may be in ``kept``: all that are, and few others.
+
+    By a bitmap of ``pages`` longs, which bounds what is broadcast whatever the size of ``kept``.
+    """
+    hashed = F.xxhash64(key)
+    page = F.pmod(F.shiftright(hashed, 6), F.lit(pages))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), hashed.bitwiseAND(63).cast("int"))
+    bitmap = kept.groupBy(page.alias("_page")).agg(F.bit_or(bit).alias("_bits"))
+    return rows.join(F.broadcast(bitmap), page == F.col("_page")).where(F.col("_bits").bitwiseAND(bit) != 0).select(*rows.columns)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the shared folder: ends the lineage, survives executors."""
     context = df.sparkSession.sparkContext

@@ -35,6 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foretide.llm import bytesets as B
+from foretide.llm.common import maybe_in
 from foretide.settings import materialise
 
 #: Bytes outside terms become blanks, A-Z lower case; terms are runs of ASCII letters and bytes of other characters.
@@ -150,15 +151,6 @@ def term_rows(docs: DataFrame, bits: int = 64) -> DataFrame:
     return materialise(plain.mapInArrow(counted(bits), SCHEMA), "divergence-terms")
 
 
-def maybe_in(rows: DataFrame, kept: DataFrame, pages: int = 1 << 18) -> DataFrame:
-    """``rows`` whose digest may be in ``kept``: by a bitmap of ``pages`` longs, which bounds what is broadcast."""
-    hashed = F.xxhash64("digest")
-    page = F.pmod(F.shiftright(hashed, 6), F.lit(pages))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), hashed.bitwiseAND(63).cast("int"))
-    bitmap = kept.groupBy(page.alias("_page")).agg(F.bit_or(bit).alias("_bits"))
-    return rows.join(F.broadcast(bitmap), page == F.col("_page")).where(F.col("_bits").bitwiseAND(bit) != 0).select(*rows.columns)
-
-
 def kept_counts(rows: DataFrame, least_docs: int) -> tuple[DataFrame, DataFrame]:
     """(lang, source, digest, part, n) of kept terms, and (digest, part, term) of their names.
 
@@ -169,7 +161,7 @@ def kept_counts(rows: DataFrame, least_docs: int) -> tuple[DataFrame, DataFrame]
     kept = met.groupBy("lang", "digest").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least_docs).select("lang", "digest")
     kept = materialise(kept, "divergence-kept")
     # Least and greatest string of the kept digests, partly aggregated before they move.
-    named = maybe_in(rows.where("term is not null").select("digest", "term"), kept)
+    named = maybe_in(rows.where("term is not null").select("digest", "term"), kept, "digest")
     named = named.groupBy("digest").agg(F.min("term").alias("least"), F.max("term").alias("most"))
     named = materialise(named.join(kept.select("digest").distinct(), "digest", "left_semi"), "divergence-names")
     shared = materialise(named.where("least <> most").select("digest"), "divergence-shared")
@@ -180,7 +172,7 @@ def kept_counts(rows: DataFrame, least_docs: int) -> tuple[DataFrame, DataFrame]
     frequent = split.groupBy("lang", "digest", "term").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least_docs).select("lang", "digest", "term")
     parts = split.select("digest", "term").distinct().withColumn("part", F.row_number().over(Window.partitionBy("digest").orderBy("term")))
     split = split.join(frequent, ["lang", "digest", "term"], "left_semi").join(parts, ["digest", "term"])
-    alone = maybe_in(met.select(*keys, "n"), kept).groupBy(*keys).agg(F.sum("n").alias("n"))
+    alone = maybe_in(met.select(*keys, "n"), kept, "digest").groupBy(*keys).agg(F.sum("n").alias("n"))
     alone = alone.join(kept, ["lang", "digest"], "left_semi").join(shared, "digest", "left_anti")
     counts = alone.select(*keys, F.lit(0).alias("part"), "n").unionByName(split.select(*keys, "part", "n"))
     names = named.where("least = most").select("digest", F.lit(0).alias("part"), F.col("least").alias("term")).unionByName(parts.select("digest", "part", "term"))

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foretide.llm.common import row_hash
+from foretide.llm.common import maybe_in, row_hash
 from foretide.settings import materialise
 
 LINE_END = r"(?<=\n)|(?<=[.!?,;:] )"
@@ -128,19 +128,23 @@ def dedup(docs: DataFrame, least_lines: int = 2, least_chars: int = 48) -> DataF
     """
     columns = [c for c in docs.columns if c not in ("removed_chunks", "removed_words", "removed")]
     own = docs.select(*[F.col(f"`{c}`") for c in columns])
-    keyed = own.select(F.col("doc_id").alias("_id"), row_hash(own).alias("_key"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"))
-    parts = keyed.select("_id", "_key", F.posexplode(chunks(F.col("_row.text"), least_lines, least_chars)).alias("pos", "chunk"))
-    parts = parts.where(F.size("chunk") >= least_lines).select("_id", "_key", "pos", _bytes(F.col("chunk")).alias("body"))
-    parts = materialise(parts.where(F.length("body") >= least_chars).withColumn("h", F.xxhash64("body")), "chunks")
+    rest = [F.col(f"`{c}`") for c in columns if c != "text"]
+    rows = own.select(F.col("doc_id").alias("_id"), row_hash(own).alias("_key"), F.struct(*rest).alias("_row"), F.when(F.col("text").isNotNull(), chunks(F.col("text"), least_lines, least_chars)).alias("_c"))
+    body = F.transform("_c", lambda c: F.when(F.size(c) >= least_lines, _bytes(c)))
+    hashes = F.transform(body, lambda b: F.when(F.length(b) >= least_chars, F.xxhash64(b)))
+    # Cut once: all that follows reads this table, and all but the byte comparison and the result only the hashes.
+    rows = materialise(rows.withColumn("_h", hashes), "chunks")
+    parts = rows.select("_id", "_key", F.posexplode("_h").alias("pos", "h")).where("h is not null")
     place = F.struct(F.col("_id").isNull().alias("none"), "_id", "_key", "pos")
     repeated = parts.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("h", "first")
     repeated = materialise(repeated, "chunks-repeated")
     # Byte comparison: all bodies of a hash must be one.
-    bodies = parts.select("h", "body").join(repeated.select("h"), "h", "left_semi").groupBy("h", "body").agg(F.lit(1).alias("one"))
+    bodies = rows.select(F.explode(F.arrays_zip(F.col("_c").alias("c"), F.col("_h").alias("h"))).alias("_p")).select("_p.c", "_p.h").where("h is not null")
+    bodies = maybe_in(bodies, repeated, "h").groupBy("h", _bytes(F.col("c")).alias("body")).agg(F.lit(1).alias("one"))
     same = bodies.groupBy("h").agg(F.count("*").alias("bodies"), F.min(F.regexp_count("body", F.lit(WORD))).alias("words")).where("bodies = 1").select("h", "words")
     real = materialise(repeated.join(same, "h"), "chunks-real")
     removed = (
-        parts.select("_id", "_key", "pos", "h")
+        maybe_in(parts, real, "h")
         .join(real, "h")
         .where(place != F.col("first"))
         .groupBy("_id", "_key", "pos")
@@ -149,12 +153,12 @@ def dedup(docs: DataFrame, least_lines: int = 2, least_chars: int = 48) -> DataF
         .agg(F.sort_array(F.collect_list("pos")).alias("removed"), F.sum("words").cast("long").alias("removed_words"))
     )
     removed = materialise(removed.withColumnRenamed("_id", "_gone_id").withColumnRenamed("_key", "_gone_key"), "chunks-removed")
-    found = keyed.join(removed, F.col("_id").eqNullSafe(F.col("_gone_id")) & (F.col("_key") == F.col("_gone_key")), "left")
-    kept = F.filter(chunks(F.col("_row.text"), least_lines, least_chars), lambda c, i: ~F.array_contains("removed", i))
-    text = F.when(F.col("removed").isNull(), F.col("_row.text")).otherwise(F.array_join(F.flatten(kept), ""))
+    found = rows.drop("_h").join(removed, F.col("_id").eqNullSafe(F.col("_gone_id")) & (F.col("_key") == F.col("_gone_key")), "left")
+    kept = F.when(F.col("removed").isNull(), F.col("_c")).otherwise(F.filter("_c", lambda c, i: ~F.array_contains("removed", i)))
+    text = F.array_join(F.flatten(kept), "")  # null stays null
     return found.select(
         F.col("_row").withField("text", text).alias("_row"),
         F.coalesce(F.size("removed"), F.lit(0)).alias("removed_chunks"),
         F.coalesce("removed_words", F.lit(0)).alias("removed_words"),
         F.coalesce("removed", F.array().cast("array<int>")).alias("removed"),
-    ).select("_row.*", "removed_chunks", "removed_words", "removed")
+    ).select(*[f"_row.`{c}`" for c in columns], "removed_chunks", "removed_words", "removed")
