@@ -46,8 +46,8 @@ def lines(text: Column) -> Column:
     return F.filter(F.when(F.contains(text, F.lit(MARK)), exact).otherwise(marked), lambda x: x != "")
 
 
-def chunks(text: Column, least_lines: int = 2, least_chars: int = 48) -> Column:
-    """Array of chunks, each an array of lines; put together they are the text."""
+def _borders(text: Column, least_lines: int, least_chars: int) -> Column:
+    """One-element array of a struct: the lines, the lines without the white space around them, and the chunks' last lines."""
     far = least_chars + 1  # a line counts its characters and the line feed that joins it in a body
     most = max(least_lines, far)  # lines that are a chunk whatever their lengths
 
@@ -99,21 +99,44 @@ def chunks(text: Column, least_lines: int = 2, least_chars: int = 48) -> Column:
 
         return F.filter(F.sequence(F.lit(1), n), here)
 
-    def span(v: Column, end: Column, k: Column) -> Column:
-        start = F.when(k == 0, F.lit(0)).otherwise(F.get(v["ends"], k - 1))
-        return F.slice(v["lines"], start + 1, end - start)
-
     # Each step goes through a one-element array, so that its value is computed once per row.
-    one = F.transform(
-        F.array(lines(text)),
+    cut = F.transform(F.array(lines(text)), lambda v: F.struct(v.alias("lines"), F.transform(v, _trimmed).alias("plain")))
+    sized = F.transform(
+        cut,
         lambda v: F.struct(
-            v.alias("lines"),
-            F.transform(v, lambda x: F.xxhash64(_trimmed(x))).alias("hs"),
-            F.transform(v, lambda x: F.length(_trimmed(x)) + 1).alias("sizes"),
+            v["lines"].alias("lines"), v["plain"].alias("plain"),
+            F.transform(v["plain"], lambda x: F.xxhash64(x)).alias("hs"), F.transform(v["plain"], lambda x: F.length(x) + 1).alias("sizes"),
         ),
     )
-    two = F.transform(one, lambda v: F.struct(v["lines"].alias("lines"), F.when(F.size(v["lines"]) > 0, ends(v)).otherwise(F.array().cast("array<int>")).alias("ends")))
-    return F.element_at(F.transform(two, lambda v: F.transform(v["ends"], lambda e, k: span(v, e, k))), 1)
+    none = F.array().cast("array<int>")
+    return F.transform(
+        sized, lambda v: F.struct(v["lines"].alias("lines"), v["plain"].alias("plain"), F.when(F.size(v["lines"]) > 0, ends(v)).otherwise(none).alias("ends"))
+    )
+
+
+def _spans(v: Column, name: str, end: Column, k: Column) -> Column:
+    start = F.when(k == 0, F.lit(0)).otherwise(F.get(v["ends"], k - 1))
+    return F.slice(v[name], start + 1, end - start)
+
+
+def chunks(text: Column, least_lines: int = 2, least_chars: int = 48) -> Column:
+    """Array of chunks, each an array of lines; put together they are the text."""
+    cut = _borders(text, least_lines, least_chars)
+    return F.element_at(F.transform(cut, lambda v: F.transform(v["ends"], lambda e, k: _spans(v, "lines", e, k))), 1)
+
+
+def hashed_chunks(text: Column, least_lines: int = 2, least_chars: int = 48) -> Column:
+    """Array of chunks with their text and the hash of what is compared; no hash for those too short to count."""
+
+    def counted(lines_: Column) -> Column:
+        body = F.array(F.when(F.size(lines_) >= least_lines, F.array_join(lines_, "\n")))
+        return F.element_at(F.transform(body, lambda b: F.when(F.length(b) >= least_chars, F.xxhash64(b))), 1)
+
+    def one(v: Column, e: Column, k: Column) -> Column:
+        return F.struct(F.array_join(_spans(v, "lines", e, k), "").alias("c"), counted(_spans(v, "plain", e, k)).alias("h"))
+
+    cut = _borders(text, least_lines, least_chars)
+    return F.element_at(F.transform(cut, lambda v: F.transform(v["ends"], lambda e, k: one(v, e, k))), 1)
 
 
 def _bytes(chunk: Column) -> Column:
@@ -129,18 +152,16 @@ def dedup(docs: DataFrame, least_lines: int = 2, least_chars: int = 48) -> DataF
     columns = [c for c in docs.columns if c not in ("removed_chunks", "removed_words", "removed")]
     own = docs.select(*[F.col(f"`{c}`") for c in columns])
     rest = [F.col(f"`{c}`") for c in columns if c != "text"]
-    rows = own.select(F.col("doc_id").alias("_id"), row_hash(own).alias("_key"), F.struct(*rest).alias("_row"), F.when(F.col("text").isNotNull(), chunks(F.col("text"), least_lines, least_chars)).alias("_c"))
-    body = F.transform("_c", lambda c: F.when(F.size(c) >= least_lines, _bytes(c)))
-    hashes = F.transform(body, lambda b: F.when(F.length(b) >= least_chars, F.xxhash64(b)))
+    rows = own.select(F.col("doc_id").alias("_id"), row_hash(own).alias("_key"), F.struct(*rest).alias("_row"), F.when(F.col("text").isNotNull(), hashed_chunks(F.col("text"), least_lines, least_chars)).alias("_p"))
     # Cut once: all that follows reads this table, and all but the byte comparison and the result only the hashes.
-    rows = materialise(rows.withColumn("_h", hashes), "chunks")
+    rows = materialise(rows.select("_id", "_key", "_row", F.col("_p.c").alias("_c"), F.col("_p.h").alias("_h")), "chunks")
     parts = rows.select("_id", "_key", F.posexplode("_h").alias("pos", "h")).where("h is not null")
     place = F.struct(F.col("_id").isNull().alias("none"), "_id", "_key", "pos")
     repeated = parts.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("h", "first")
     repeated = materialise(repeated, "chunks-repeated")
     # Byte comparison: all bodies of a hash must be one.
     bodies = rows.select(F.explode(F.arrays_zip(F.col("_c").alias("c"), F.col("_h").alias("h"))).alias("_p")).select("_p.c", "_p.h").where("h is not null")
-    bodies = maybe_in(bodies, repeated, "h").groupBy("h", _bytes(F.col("c")).alias("body")).agg(F.lit(1).alias("one"))
+    bodies = maybe_in(bodies, repeated, "h").groupBy("h", _bytes(lines(F.col("c"))).alias("body")).agg(F.lit(1).alias("one"))
     same = bodies.groupBy("h").agg(F.count("*").alias("bodies"), F.min(F.regexp_count("body", F.lit(WORD))).alias("words")).where("bodies = 1").select("h", "words")
     real = materialise(repeated.join(same, "h"), "chunks-real")
     removed = (
@@ -155,7 +176,7 @@ def dedup(docs: DataFrame, least_lines: int = 2, least_chars: int = 48) -> DataF
     removed = materialise(removed.withColumnRenamed("_id", "_gone_id").withColumnRenamed("_key", "_gone_key"), "chunks-removed")
     found = rows.drop("_h").join(removed, F.col("_id").eqNullSafe(F.col("_gone_id")) & (F.col("_key") == F.col("_gone_key")), "left")
     kept = F.when(F.col("removed").isNull(), F.col("_c")).otherwise(F.filter("_c", lambda c, i: ~F.array_contains("removed", i)))
-    text = F.array_join(F.flatten(kept), "")  # null stays null
+    text = F.array_join(kept, "")  # null stays null
     return found.select(
         F.col("_row").withField("text", text).alias("_row"),
         F.coalesce(F.size("removed"), F.lit(0)).alias("removed_chunks"),
