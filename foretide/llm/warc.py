@@ -7,22 +7,28 @@ record's headers before anything else.  Where a predicate fails, or ``payload``
 are decompressed and decoded.
 
 ``df.write.format("warc").save(path)`` writes records to files of about ``file_bytes``.
-Each task writes files of its own name and the commit lists those of successful tasks, so
-a task that ran twice, or whose executor was lost, leaves nothing that is read.  Payloads
+Each task writes files of its own name and each commit adds a listing of those of successful tasks, so
+a task that ran twice, or whose executor was lost, leaves nothing that is read, and an append
+keeps what earlier commits listed; overwriting removes it.  Payloads
 are stored as gzip-encoded HTTP bodies; records with ``refers_to`` become revisits without
-one.
+one.  A file, or a folder without a listing, is read as archives of others: all its ``.warc`` and
+``.warc.gz`` files (blocks of the latter are skipped by decompressing over them).
 
 Paths are any that pyarrow's file systems open (local, HDFS, object stores).
 
-Rows: page_id (null: a record without one), url, record_type, refers_to, payload_bytes,
-payload_digest (SHA-1 of the whole payload, lower-case hex) and payload (null for revisits
-and where not read).  Null payloads are written as empty ones.
+Rows: page_id (null: a record without one, or with an id of others), url, record_type, refers_to, payload_bytes,
+payload_digest (SHA-1 of the whole payload, lower-case hex; as the header has it in archives of others), payload (null for revisits
+and where not read; the whole block of records that hold no HTTP message) and record_id, the id as it stands in the header.  Null payloads are written as empty ones.
+Very long payloads are one record each, held once per task; repeated rows are records of their own;
+extra columns are not written.  An empty table gives an archive without files.
 """
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import json
+import re
 import uuid
 import zlib
 from collections.abc import Iterator, Sequence
@@ -35,7 +41,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from foretide.settings import materialise
 
 SCHEMA = (
-    "page_id bigint, url string, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string, payload binary"
+    "page_id bigint, url string, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string, payload binary, record_id string"
 )
 _ARROW = pa.schema(
     [
@@ -46,11 +52,13 @@ _ARROW = pa.schema(
         ("payload_bytes", pa.int64()),
         ("payload_digest", pa.string()),
         ("payload", pa.binary()),
+        ("record_id", pa.string()),
     ]
 )
 #: Header fields behind the columns that predicates may use.
-HEADER = ("record_type", "page_id", "url", "refers_to", "payload_digest", "payload_bytes")
-LISTING = "_archives.json"
+HEADER = ("record_type", "page_id", "url", "refers_to", "payload_digest", "payload_bytes", "record_id")
+LISTING = re.compile(r"_archives-[0-9a-f]+\.json")
+OWN_ID = re.compile(r"<urn:page:(-?[0-9]+)>")
 _BATCH = 8 << 20
 
 
@@ -63,7 +71,26 @@ def _files(path: str):
 
 
 def _number(urn: str | None) -> int | None:
-    return int(urn.rsplit(":", 1)[1].rstrip(">")) if urn else None
+    """The page of an id that :func:`record` wrote."""
+    own = OWN_ID.fullmatch(urn or "")
+    return int(own[1]) if own else None
+
+
+def _listings(files, root: str) -> list[str]:
+    """Names of the listings under ``root``, none where it is no folder."""
+    from pyarrow import fs
+
+    if files.get_file_info(root).type != fs.FileType.Directory:
+        return []
+    return sorted(i.base_name for i in files.get_file_info(fs.FileSelector(root)) if LISTING.fullmatch(i.base_name))
+
+
+def _listed(files, root: str, names: list[str]) -> list[list]:
+    out = []
+    for name in names:
+        with files.open_input_stream(f"{root}/{name}") as f:
+            out += json.loads(f.read())
+    return out
 
 
 def record(page_id, url, refers_to, payload: bytes | None, payload_bytes: int, digest: str, level: int = 1) -> bytes:
@@ -110,22 +137,29 @@ def records(stream, wanted, payload: bool) -> Iterator[tuple]:
             "url": head.get("warc-target-uri"),
             "record_type": head["warc-type"],
             "refers_to": _number(head.get("warc-refers-to")),
-            "payload_bytes": int(head.get("warc-payload-length", 0)),
+            "payload_bytes": int(head["warc-payload-length"]) if "warc-payload-length" in head else None,
             "payload_digest": head.get("warc-payload-digest", "").removeprefix("sha1:"),
             "payload": None,
+            "record_id": head.get("warc-record-id"),
         }
-        if not wanted(row) or not payload or row["record_type"] != "response":
+        if not wanted(row) or not payload or row["record_type"] == "revisit":
             stream.seek(length, 1)
             if wanted(row):
                 yield row
             continue
-        block = stream.read(length)
-        at = block.index(b"\r\n\r\n")
-        body = block[at + 4 :]
-        row["payload"] = zlib.decompress(body, wbits=31) if b"\r\nContent-Encoding: gzip" in block[:at] else body
+        row["payload"] = _payload(stream.read(length))
         yield row
 
 
+def _payload(block: bytes) -> bytes:
+    """The body of an HTTP message, decompressed; any other block as it is."""
+    at = block.find(b"\r\n\r\n")
+    if not block.startswith(b"HTTP/") or at < 0:
+        return block
+    body = block[at + 4 :]
+    return zlib.decompress(body, wbits=31) if b"\r\ncontent-encoding: gzip" in block[:at].lower() else body
+
+
 class Archive(InputPartition):
     def __init__(self, path: str, size: int):
         self.path, self.size = path, size
@@ -149,9 +183,18 @@ class WarcReader(DataSourceReader):
 
     def partitions(self) -> Sequence[InputPartition]:
         files, root = _files(self.root)
-        with files.open_input_stream(f"{root}/{LISTING}") as f:
-            listed = json.loads(f.read())
-        return [Archive(f"{root}/{name}", size) for name, size in listed] or [Archive("", 0)]
+        names = _listings(files, root)
+        if names:
+            return [Archive(f"{root}/{name}", size) for name, size in _listed(files, root, names)] or [Archive("", 0)]
+        return self._others(files, root) or [Archive("", 0)]
+
+    @staticmethod
+    def _others(files, root: str) -> list[InputPartition]:
+        from pyarrow import fs
+
+        info = files.get_file_info(root)
+        found = [info] if info.type == fs.FileType.File else files.get_file_info(fs.FileSelector(root, recursive=True))
+        return [Archive(i.path, i.size) for i in found if i.type == fs.FileType.File and i.base_name.endswith((".warc", ".warc.gz"))]
 
     def read(self, partition: Archive) -> Iterator[pa.RecordBatch]:
         if not partition.path:
@@ -163,8 +206,9 @@ class WarcReader(DataSourceReader):
             return all(row[c] in values for c, values in tests)
 
         held, size = [], 0
-        with files.open_input_file(partition.path) as raw, pa.BufferedInputStream(raw, 1 << 20) as buffered:
-            for row in records(_Forward(buffered, raw), wanted, self.payload):
+        with files.open_input_file(partition.path) as raw:
+            stream = gzip.GzipFile(fileobj=raw) if partition.path.endswith(".gz") else _Forward(raw)
+            for row in records(stream, wanted, self.payload):
                 held.append(row)
                 size += 200 + len(row["payload"] or b"")
                 if size >= _BATCH:
@@ -177,7 +221,7 @@ class WarcReader(DataSourceReader):
 class _Forward:
     """Line reads, block reads and skips over a random-access file, through one small buffer."""
 
-    def __init__(self, buffered, raw, chunk: int = 1 << 16):
+    def __init__(self, raw, chunk: int = 1 << 16):
         self.raw, self.chunk, self.at, self.base, self.data = raw, chunk, 0, 0, b""
         self.size = raw.size()
 
@@ -254,8 +298,14 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages: list) -> None:
         files, root = _files(self.root)
         files.create_dir(root, recursive=True)
-        with files.open_output_stream(f"{root}/{LISTING}") as f:
+        old = _listings(files, root) if self.overwrite else []
+        replaced = _listed(files, root, old)
+        with files.open_output_stream(f"{root}/_archives-{uuid.uuid4().hex}.json") as f:
             f.write(json.dumps([x for m in messages if m is not None for x in m.files]).encode())
+        for name in old:
+            files.delete_file(f"{root}/{name}")
+        for name, _ in replaced:
+            files.delete_file(f"{root}/{name}")
 
     def abort(self, messages: list) -> None:
         files, root = _files(self.root)
