@@ -1,4 +1,11 @@
-"""A training corpus from raw documents: filter, dedupe, decontaminate, mix, shard."""
+"""A training corpus from raw documents: filter, dedupe, decontaminate, mix, shard.
+
+Defined results of every stage: a null text counts as an empty one and a null doc_id, lang or source as a value
+of its own; such rows are judged like others, and all empty texts are copies of one another, so one of them
+stays.  Very long texts are judged whole.  Of repeated rows, and of ties between near copies, one row stays, the one
+with the smallest doc_id; in the mix, rows equal in doc_id and text share one place in the order.  Extra columns are
+carried along whatever their names.  An empty table gives an empty table of the same columns, the last stage's added.
+"""
 
 from __future__ import annotations
 
