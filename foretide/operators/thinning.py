@@ -21,7 +21,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from foretide.operators.timeline import null_safe_join
 from foretide.settings import materialise
@@ -59,47 +58,54 @@ def _first_step(clocks: np.ndarray, until: float) -> np.ndarray:
     return clocks[: int(np.searchsorted(clocks, until)) + 1]
 
 
-def _stretch(key: tuple, clocks: np.ndarray, exits: np.ndarray, columns: Sequence[str]) -> pd.DataFrame:
-    return pd.DataFrame([(*key, clocks.tolist(), exits.tolist())], columns=list(columns), dtype=object)
+def _parts(clocks, exits) -> list[tuple[np.ndarray, np.ndarray]]:
+    return [(np.asarray(c, float), np.asarray(e, float)) for c, e in zip(clocks, exits, strict=True)]
 
 
-def _repeated(columns: Sequence[str], key: tuple, n: int) -> dict[str, pd.Series]:
-    """Key columns of ``n`` rows; as objects, so a null key stays null whatever its type."""
-    return {c: pd.Series([v] * n, dtype=object) for c, v in zip(columns, key, strict=True)}
+def _functions(width: float, step: float):
+    """Step functions of stretches of ``width`` from their clocks, and from those of the stretches they are made of."""
 
+    @F.pandas_udf("struct<clocks:array<double>,exits:array<double>>")
+    def bottom(clocks: pd.Series, number: pd.Series) -> pd.DataFrame:
+        out = []
+        for all_clocks, at in zip(clocks, number, strict=True):
+            entry = _first_step(np.asarray(all_clocks, float), at * width + step)
+            out.append((entry.tolist(), jumps(np.asarray(all_clocks, float), entry, step).tolist()))
+        return pd.DataFrame(out, columns=["clocks", "exits"])
 
-def _composer(keys: Sequence[str], below: str, above: Sequence[str], width: float, step: float):
-    """For applyInPandas: the step function of the stretches of one larger stretch, one after the other."""
+    @F.pandas_udf("struct<clocks:array<double>,exits:array<double>>")
+    def composed(clocks: pd.Series, exits: pd.Series, number: pd.Series) -> pd.DataFrame:
+        out = []
+        for c, e, at in zip(clocks, exits, number, strict=True):
+            parts, heads, until = _parts(c, e), [], at * width + step
+            for own, _ in parts:
+                heads.append(_first_step(own, until))
+                if heads[-1][-1] >= until:
+                    break
+            entry = now = np.concatenate(heads)
+            for part in parts:  # entries of a later stretch lie beyond all clocks of the earlier ones
+                now = leave(*part, now)
+            out.append((entry.tolist(), now.tolist()))
+        return pd.DataFrame(out, columns=["clocks", "exits"])
 
-    def run(key: tuple, batch: pd.DataFrame) -> pd.DataFrame:
-        batch = batch.sort_values(below)
-        parts = [(np.asarray(c, float), np.asarray(e, float)) for c, e in zip(batch["clocks"], batch["exits"], strict=True)]
-        until = key[-1] * width + step
-        heads = []
-        for clocks, _ in parts:
-            heads.append(_first_step(clocks, until))
-            if heads[-1][-1] >= until:
-                break
-        entry = now = np.concatenate(heads)
-        for clocks, exits in parts:  # entries of a later stretch lie beyond all clocks of the earlier ones
-            now = leave(clocks, exits, now)
-        return _stretch(key, entry, now, [*keys, *above, "clocks", "exits"])
+    return bottom, composed
 
-    return run
 
+def _entries():
+    """The threshold at which each of a stretch's parts is entered, as an array."""
 
-def _replayer(columns: Sequence[str], own: str):
-    """For applyInPandas: the threshold at which each stretch is entered, from that of the larger one."""
+    @F.pandas_udf("array<double>")
+    def entered(clocks: pd.Series, exits: pd.Series, enter: pd.Series) -> pd.Series:
+        out = []
+        for c, e, at in zip(clocks, exits, enter, strict=True):
+            now, met = np.array([at]), []
+            for part in _parts(c, e):
+                met.append(float(now[0]))
+                now = leave(*part, now)
+            out.append(met)
+        return pd.Series(out, dtype=object)
 
-    def run(key: tuple, batch: pd.DataFrame) -> pd.DataFrame:
-        batch = batch.sort_values(own)
-        now, enter = np.array([batch["_enter"].iloc[0]]), []
-        for clocks, exits in zip(batch["clocks"], batch["exits"], strict=True):
-            enter.append(float(now[0]))
-            now = leave(np.asarray(clocks, float), np.asarray(exits, float), now)
-        return pd.DataFrame({**_repeated(columns, key, len(batch)), own: batch[own].to_numpy(), "_enter": enter})
-
-    return run
+    return entered
 
 
 def thin(df: DataFrame, keys: Sequence[str], order: Sequence[str], clock: str, step: float, fan: int = 256, levels: int = 1) -> DataFrame:
@@ -110,51 +116,43 @@ def thin(df: DataFrame, keys: Sequence[str], order: Sequence[str], clock: str, s
     """
     if step <= 0:
         return df
-    step = float(step)
+    step, keys = float(step), list(keys)
     widths = [step * fan ** (i + 1) for i in range(levels + 1)]
     names = [f"_b{i}" for i in range(levels + 1)]
-    schema = {f.name: f.dataType for f in df.schema.fields}
-    kinds = [T.StructField(k, schema[k]) for k in keys]
-    number = {n: T.StructField(n, T.LongType()) for n in names}
-    double = T.ArrayType(T.DoubleType())
     at = F.col(clock).cast("double")
-    rows = df.where(F.col(clock).isNotNull()).withColumns({n: F.floor(at / w).cast("long") for n, w in zip(names, widths, strict=True)})
+    rows = df.where(F.col(clock).isNotNull()).select(*keys, at.alias("_t"), *[F.floor(at / w).cast("long").alias(n) for n, w in zip(names, widths, strict=True)])
 
     # Up: each stretch's step function, from the clocks, then from the stretches below.
-    def bottom(key: tuple, batch: pd.DataFrame) -> pd.DataFrame:
-        clocks = np.unique(batch["_t"].to_numpy(float))
-        entry = _first_step(clocks, key[-1] * widths[0] + step)
-        return _stretch(key, entry, jumps(clocks, entry, step), [*keys, *names[::-1], "clocks", "exits"])
-
-    out = T.StructType([*kinds, *[number[n] for n in names[::-1]], T.StructField("clocks", double), T.StructField("exits", double)])
-    first = rows.select(*keys, *names, at.alias("_t")).groupBy(*keys, *names[::-1]).applyInPandas(bottom, out)
+    bottom, _ = _functions(widths[0], step)
+    first = rows.groupBy(*keys, *names).agg(F.array_sort(F.collect_set("_t")).alias("_all"))
+    first = first.withColumn("_f", bottom("_all", names[0])).select(*keys, *names, "_all", "_f.clocks", "_f.exits")
     tables = [materialise(first, "thin-0")]
-    for level in range(1, levels + 1):
-        above = names[level:][::-1]
 
-        out = T.StructType([*kinds, *[number[n] for n in above], T.StructField("clocks", double), T.StructField("exits", double)])
-        tables.append(materialise(tables[-1].groupBy(*keys, *above).applyInPandas(_composer(keys, names[level - 1], above, widths[level], step), out), f"thin-{level}"))
+    def gathered(level: int) -> DataFrame:
+        """The stretches of a level in order, per stretch of the level above (per entity, at the top)."""
+        parts = tables[level].groupBy(*keys, *names[level + 1 :]).agg(F.sort_array(F.collect_list(F.struct(names[level], "clocks", "exits"))).alias("_p"))
+        return parts.select(*keys, *names[level + 1 :], F.col(f"_p.{names[level]}").alias("_own"), F.col("_p.clocks").alias("clocks"), F.col("_p.exits").alias("exits"))
+
+    for level in range(1, levels + 1):
+        _, composed = _functions(widths[level], step)
+        above = gathered(level - 1).withColumn("_f", composed("clocks", "exits", names[level]))
+        tables.append(materialise(above.select(*keys, *names[level:], "_f.clocks", "_f.exits"), f"thin-{level}"))
 
     # Down: the threshold at which each stretch is entered.
     entered = None
     for level in range(levels, -1, -1):
-        above = names[level + 1 :][::-1]
-        table = tables[level]
-        if entered is None:
-            table = table.withColumn("_enter", F.lit(float("-inf")))
-        else:
-            table = null_safe_join(table, entered, [*keys, *above])
-
-        out = T.StructType([*kinds, *[number[n] for n in above], number[names[level]], T.StructField("_enter", T.DoubleType())])
-        entered = table.groupBy(*keys, *above).applyInPandas(_replayer([*keys, *above], names[level]), out)
-
-    def kept(key: tuple, batch: pd.DataFrame) -> pd.DataFrame:
-        clocks = walk(np.unique(batch["_t"].to_numpy(float)), float(batch["_enter"].iloc[0]), step)
-        return pd.DataFrame({**_repeated(keys, key[: len(keys)], len(clocks)), "_t": clocks})
-
-    cells = [*keys, *names[::-1]]
-    chosen = null_safe_join(rows.select(*cells, at.alias("_t")), entered, cells).groupBy(*cells)
-    chosen = chosen.applyInPandas(kept, T.StructType([*kinds, T.StructField("_t", T.DoubleType())]))
+        whole = gathered(level)
+        whole = whole.withColumn("_enter", F.lit(float("-inf"))) if entered is None else null_safe_join(whole, entered, [*keys, *names[level + 1 :]])
+        met = F.arrays_zip(F.col("_own").alias("own"), _entries()("clocks", "exits", "_enter").alias("enter"))
+        entered = whole.select(*keys, *names[level + 1 :], F.explode(met).alias("_m"))
+        entered = entered.select(*keys, *names[level + 1 :], F.col("_m.own").alias(names[level]), F.col("_m.enter").alias("_enter"))
+
+    @F.pandas_udf("array<double>")
+    def kept(clocks: pd.Series, enter: pd.Series) -> pd.Series:
+        return pd.Series([walk(np.asarray(c, float), e, step) for c, e in zip(clocks, enter, strict=True)], dtype=object)
+
+    chosen = null_safe_join(tables[0].select(*keys, *names, "_all"), entered, [*keys, *names])
+    chosen = chosen.select(*keys, F.explode(kept("_all", "_enter")).alias("_t"))
     # Of the rows at a kept clock, the first in order.
     firsts = df.where(F.col(clock).isNotNull()).withColumn("_t", at).groupBy(*keys, "_t").agg(F.min(F.struct(*order)).alias("_first"))
     chosen = null_safe_join(chosen, firsts, [*keys, "_t"]).select(*keys, "_t", "_first")
