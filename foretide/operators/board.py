@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from foretide.functions import scalars as S
 from foretide.operators.chain import entry_states, state_maps
+from foretide.operators.components import drop_specks
 from foretide.operators.timeline import (
     Timeline,
     drop_halo,
@@ -581,7 +582,7 @@ def extract_board(px: DataFrame, w: int, h: int, geo: DataFrame | None = None) -
     facing = facing.withColumn("reason", F.when(uncertain, "central_hexagon_uncertain").otherwise(F.col("reason")))
     facing = facing.withColumn("valid", F.col("reason") == "ok")
     good = facing.where("valid")
-    coloured = coloured_pixels(px)
+    coloured = drop_specks(coloured_pixels(px), good)
     stacks = lane_stacks(good, coloured, w, h)
     near = incoming(good, stacks, coloured)
     vec = board_vector(stacks.join(near, ["frame", "lane"]), good)

@@ -157,15 +157,17 @@ def board_scene(spark, d):
     return px, geo
 
 
-def _strips(name: str, start: float, stop: float, step: float, offsets, phase: str, where: str) -> str:
+def _strips(
+    name: str, start: float, stop: float, step: float, offsets, phase: str, where: str, scene: str = "fx_coloured", block: int = 6, centre: str = "24.0",
+) -> str:
     """SQL rows of a strip grid (frame, lane, j, radius, colour and pixel of each sample)."""
     last = math.ceil((stop - start) / step) - 1
     values = ", ".join(f"({o!r})" for o in offsets)
     axis = f"radians(30.0 + 60.0 * l.l + {phase})"
     r = f"({start!r} + j.j * {step!r})"
     return f"""select q.frame, q.lane, q.j, q.radius, c.colour, c.r, c.g, c.b from (
-        select frame, l.l as lane, j.j as j, {r} as radius, round_even(24.0 + ({r} * cos({axis}) - o.o * sin({axis})) * a, 0) as sx, round_even(24.0 + ({r} * sin({axis}) + o.o * cos({axis})) * a, 0) as sy
-        from fx_boards, range(6) l(l), range({last + 1}) j(j), (values {values}) o(o)) q join fx_coloured c on c.frame = q.frame and c.x = cast(floor(q.sx/6) as bigint) and c.y = cast(floor(q.sy/6) as bigint) {where}"""
+        select frame, l.l as lane, j.j as j, {r} as radius, round_even({centre} + ({r} * cos({axis}) - o.o * sin({axis})) * a, 0) as sx, round_even({centre} + ({r} * sin({axis}) + o.o * cos({axis})) * a, 0) as sy
+        from fx_boards, range(6) l(l), range({last + 1}) j(j), (values {values}) o(o)) q join {scene} c on c.frame = q.frame and c.x = cast(floor(q.sx/{block}) as bigint) and c.y = cast(floor(q.sy/{block}) as bigint) {where}"""
 
 
 def _votes(strips: str, least: int) -> str:
