@@ -145,6 +145,36 @@ def aggregate_window(windows: DataFrame, keys: Sequence[str], fields: Sequence[s
     return rows.groupBy(*keys).agg(*out)
 
 
+def array_statistics(history: Column, width: int) -> Column:
+    """The same five statistics of arrays of ``width`` numbers, element by element: stat-major, 5 x width numbers.
+
+    Works inside the window's own array, so nothing is exploded or grouped; entries that
+    are null make their five numbers null.  An empty history gives null.
+    """
+    zeros = F.array_repeat(F.lit(0.0), width)
+
+    def total(rows: Column) -> Column:
+        return F.aggregate(rows, zeros, lambda s, v: F.zip_with(s, v, lambda a, b: a + b))
+
+    def mean(rows: Column) -> Column:
+        n = F.size(rows)
+        return F.transform(total(rows), lambda v: v / n)
+
+    def extreme(rows: Column, pick) -> Column:
+        return F.aggregate(rows, F.element_at(rows, 1), lambda s, v: F.zip_with(s, v, lambda a, b: F.when(a.isNull() | b.isNull(), None).otherwise(pick(a, b))))
+
+    def spread(rows: Column) -> Column:
+        # bound through a one-element array, so that the mean is computed once
+        squares = lambda m: F.transform(rows, lambda v: F.zip_with(v, m, lambda a, b: (a - b) * (a - b)))
+        return F.transform(F.transform(F.array(mean(rows)), lambda m: mean(squares(m)))[0], lambda v: F.sqrt(v))
+
+    quarter = F.greatest(F.lit(1), F.floor(F.size(history) / 4)).cast("int")
+    head, tail = mean(F.slice(history, 1, quarter)), mean(F.slice(history, -quarter, quarter))
+    delta = F.zip_with(tail, head, lambda a, b: a - b)
+    stats = F.concat(mean(history), spread(history), extreme(history, F.least), extreme(history, F.greatest), delta)
+    return F.when(F.size(history) > 0, stats)
+
+
 # --- as-of and nearest ------------------------------------------------------
 def asof_frame(anchors_: DataFrame, frames: DataFrame, line: Timeline, tolerance: float, values: dict[str, Column]) -> DataFrame:
     """Latest frame at or before each anchor, null when older than ``tolerance``."""
