@@ -712,7 +712,9 @@ def invariant_features(frames: DataFrame) -> DataFrame:
     rows = frames.withColumn("_h", lane(0)).withColumn("_g", lane(1)).withColumn("_i", lane(2)).withColumn("_c", lane(3))
     rows = rows.withColumn("_top", F.array_max("_h")).withColumn("_med", _median(F.col("_h")))
     h, g, c = F.col("_h"), F.col("_g"), F.col("_c")
-    above = [F.size(F.filter(h, lambda x, t=t: x > t)).cast("double") for t in (0.5, 0.65, 0.8, 0.95)]
+    # A second parameter of the function, even one with a default, would receive the element's index.
+    over = lambda t: F.size(F.filter(h, lambda x: x > t)).cast("double")
+    above = [over(t) for t in (0.5, 0.65, 0.8, 0.95)]
     pairs = F.arrays_zip(h.alias("h"), g.alias("g"))
     least = lambda rule: F.array_min(F.transform(F.filter(pairs, rule), lambda p: p["g"]))
     geometry = F.concat(

@@ -196,6 +196,7 @@ def test_invariance_under_rotation(spark):
     df = spark.createDataFrame([(k, vector(k)) for k in range(6)], "frame long, vector array<double>")
     got = [r.invariant for r in B.invariant_features(df).orderBy("frame").collect()]
     assert len(got[0]) == 182
+    assert got[0][22:26] == [(lanes[:, 0] > t).sum() for t in (0.5, 0.65, 0.8, 0.95)]
     for g in got[1:]:
         assert np.allclose(g, got[0])
 
