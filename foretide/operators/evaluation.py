@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foretide.functions import scalars as S
 from foretide.operators.aggregates import exact_quantiles
 from foretide.operators.timeline import Timeline, by_depth, row_numbers, running
 from foretide.settings import LOCKED_TEST_RUNS, TARGET_RUNS, materialise
@@ -126,6 +127,46 @@ def promotion_gates(metrics: DataFrame) -> DataFrame:
     return out.withColumn("eligible", eligible)
 
 
+def survival_metrics(
+    model: DataFrame, references: DataFrame, warnings: DataFrame, horizons: Sequence[float], cap: float = 60.0, near: float = 10.0,
+    elapsed: str = "elapsed_time_only", average: str = "average_duration",
+) -> DataFrame:
+    """One row of the figures that :func:`promotion_gates` reads, from a model's forecasts and its references'.
+
+    ``model`` has run, ttf, p and y (one entry per horizon), ``references`` also a ``name``;
+    ``warnings`` is the row of :func:`warning_metrics`.  A reference that is absent, or an error
+    of 0, gives no improvement figure at all: null, which fails its gate.  Both tables are
+    aggregated once to a row per name.
+    """
+    n = len(horizons)
+    columns = ["name", "run", "ttf", "p", "y"]
+    rows = model.withColumn("name", F.lit("")).select(*columns).unionByName(references.where(F.col("name").isin(elapsed, average)).select(*columns))
+    p = S.monotone(F.col("p"), n)
+    squares = F.aggregate(F.zip_with("p", "y", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda t, v: t + v) / n
+    rows = rows.withColumn("p", p).withColumn("remaining", S.expected_remaining(F.col("p"), horizons)).withColumn("_s", squares)
+    err = F.abs(F.col("remaining") - F.least(F.col("ttf"), F.lit(float(cap))))
+    # A run may own a third of the rows: runs are counted from one partial row per run.
+    per = rows.groupBy("name", "run").agg(
+        F.sum("_s").alias("_s"), F.count("_s").alias("_n"), *[F.sum(F.when(F.col("ttf") <= lim, err)).alias(f"_e{i}") for i, lim in enumerate((cap, near))],
+        *[F.count(F.when(F.col("ttf") <= lim, err)).alias(f"_c{i}") for i, lim in enumerate((cap, near))],
+    )
+    ratio = lambda a, b: F.try_divide(F.sum(a), F.sum(b))
+    named = per.groupBy("name").agg(
+        ratio("_s", "_n").alias("brier"), F.coalesce(ratio("_e0", "_c0"), F.lit(float(cap))).alias("mae"),
+        F.coalesce(ratio("_e1", "_c1"), F.lit(float(cap))).alias("near_mae"), F.count("*").alias("runs"),
+    )
+    of = lambda name, c: F.max(F.when(F.col("name") == name, F.col(c)))
+    better = lambda name, c: F.try_divide(of(name, c) - of("", c), of(name, c))
+    wide = named.agg(
+        of("", "runs").alias("evaluated_runs"), better(elapsed, "brier").alias("brier_vs_elapsed"), better(average, "brier").alias("brier_vs_average"),
+        better(elapsed, "mae").alias("mae_vs_elapsed"), better(average, "mae").alias("mae_vs_average"), of("", "near_mae").alias("final10_mae"),
+        of(elapsed, "near_mae").alias("elapsed_final10_mae"),
+    )
+    each = model.select(F.posexplode(F.arrays_zip(S.monotone(F.col("p"), n).alias("p"), F.col("y").alias("y"))).alias("h", "_v")).select("h", "_v.p", "_v.y")
+    worst = ece(each).agg(F.max("ece").alias("worst_ece"))
+    return wide.join(F.broadcast(worst)).join(F.broadcast(warnings.select("useful_rate")))
+
+
 def per_run_metrics(preds: DataFrame, run: str, cap: float = 60.0, near: float = 10.0) -> DataFrame:
     """Mean Brier, time errors, early-warning fraction and first warning of each run.
 
