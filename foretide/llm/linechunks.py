@@ -5,13 +5,19 @@ ends a sentence or clause.  Each line is hashed, and a chunk ends after a line w
 the least among its neighbours: all lines whose ends are less than ``least_lines`` lines or
 less than ``least_chars`` characters away on either side.  Two borders are therefore never
 closer than that, so every chunk has ``least_lines`` lines and ``least_chars`` characters,
-and only a whole text can be shorter.  A border depends on its neighbours only, so a passage
+and only a whole text can be shorter.  With ``window`` above one the hash rolls over that many line
+hashes, the line's own last.  A border depends on its neighbours only, so a passage
 pasted elsewhere is cut in the same places, wherever it starts.  A chunk that occurs more
 than once anywhere is kept at its first place, by doc_id and position, and removed elsewhere.
 
 Equal hashes are candidates only: the chunks' bytes are compared, and a hash that two
 different chunks share removes nothing.
 
+The ends of a passage lie in chunks that hold foreign lines too.  With ``extend`` each stretch of
+removed chunks grows to both sides, line by line, as far as the lines before and after it equal those
+before and after the first place of its outermost chunk.  A line removed so stands at an earlier
+place, of which the same can be said, so one copy of every line stays.
+
 Only DataFrame expressions.  Cutting happens inside the row, without a shuffle, and its
 chunks are written once; what is grouped is one slim row per chunk, with partial
 aggregates.
@@ -46,7 +52,7 @@ def lines(text: Column) -> Column:
     return F.filter(F.when(F.contains(text, F.lit(MARK)), exact).otherwise(marked), lambda x: x != "")
 
 
-def _borders(text: Column, least_lines: int, least_chars: int) -> Column:
+def _borders(text: Column, least_lines: int, least_chars: int, window: int = 1) -> Column:
     """One-element array of a struct: the lines, the lines without the white space around them, and the chunks' last lines."""
     far = least_chars + 1  # a line counts its characters and the line feed that joins it in a body
     most = max(least_lines, far)  # lines that are a chunk whatever their lengths
@@ -108,6 +114,12 @@ def _borders(text: Column, least_lines: int, least_chars: int) -> Column:
             F.transform(v["plain"], lambda x: F.xxhash64(x)).alias("hs"), F.transform(v["plain"], lambda x: F.length(x) + 1).alias("sizes"),
         ),
     )
+    if window > 1:
+
+        def rolled(v: Column) -> Column:
+            return F.transform(v["hs"], lambda h, i: F.xxhash64(h, *[F.get(v["hs"], i - k) for k in range(1, window)]))
+
+        sized = F.transform(sized, lambda v: F.struct(v["lines"].alias("lines"), v["plain"].alias("plain"), rolled(v).alias("hs"), v["sizes"].alias("sizes")))
     none = F.array().cast("array<int>")
     return F.transform(
         sized, lambda v: F.struct(v["lines"].alias("lines"), v["plain"].alias("plain"), F.when(F.size(v["lines"]) > 0, ends(v)).otherwise(none).alias("ends"))
@@ -119,13 +131,13 @@ def _spans(v: Column, name: str, end: Column, k: Column) -> Column:
     return F.slice(v[name], start + 1, end - start)
 
 
-def chunks(text: Column, least_lines: int = 2, least_chars: int = 48) -> Column:
+def chunks(text: Column, least_lines: int = 2, least_chars: int = 48, window: int = 1) -> Column:
     """Array of chunks, each an array of lines; put together they are the text."""
-    cut = _borders(text, least_lines, least_chars)
+    cut = _borders(text, least_lines, least_chars, window)
     return F.element_at(F.transform(cut, lambda v: F.transform(v["ends"], lambda e, k: _spans(v, "lines", e, k))), 1)
 
 
-def hashed_chunks(text: Column, least_lines: int = 2, least_chars: int = 48) -> Column:
+def hashed_chunks(text: Column, least_lines: int = 2, least_chars: int = 48, window: int = 1) -> Column:
     """Array of chunks with their text and the hash of what is compared; no hash for those too short to count."""
 
     def counted(lines_: Column) -> Column:
@@ -135,7 +147,7 @@ def hashed_chunks(text: Column, least_lines: int = 2, least_chars: int = 48) ->
     def one(v: Column, e: Column, k: Column) -> Column:
         return F.struct(F.array_join(_spans(v, "lines", e, k), "").alias("c"), counted(_spans(v, "plain", e, k)).alias("h"))
 
-    cut = _borders(text, least_lines, least_chars)
+    cut = _borders(text, least_lines, least_chars, window)
     return F.element_at(F.transform(cut, lambda v: F.transform(v["ends"], lambda e, k: one(v, e, k))), 1)
 
 
@@ -144,15 +156,70 @@ def _bytes(chunk: Column) -> Column:
     return F.array_join(F.transform(chunk, _trimmed), "\n")
 
 
-def dedup(docs: DataFrame, least_lines: int = 2, least_chars: int = 48) -> DataFrame:
+def _same_lines(own: Column, other: Column) -> Column:
+    """How many lines agree from the start of both arrays on."""
+    agree = F.zip_with(own, other, lambda x, y: F.coalesce(_trimmed(x) == _trimmed(y), F.lit(False)))
+    return F.coalesce(F.nullif(F.array_position(agree, False), F.lit(0)) - 1, F.size(agree)).cast("int")
+
+
+def _trims(rows: DataFrame, spots: DataFrame) -> DataFrame:
+    """(_id, _key, trims): chunks beside removed ones, by position, with what stays of them and the words that go.
+
+    ``rows`` holds _id, _key and the chunks _c; ``spots`` _gone_id, _gone_key, removed and first, for each
+    removed chunk in order its position and the first place of the same chunk.
+    """
+
+    def beside(step: int) -> Column:
+        def open_end(s: Column, i: Column) -> Column:
+            alone = ~F.coalesce(F.get("removed", i + step) == s["pos"] + step, F.lit(False))
+            return alone & (s["pos"] + step >= 0) & (s["place"]["pos"] + step >= 0)
+
+        def edge(s: Column) -> Column:
+            first = s["place"]
+            return F.struct(F.lit(step).alias("step"), (s["pos"] + step).alias("pos"), first["_id"].alias("c_id"), first["_key"].alias("c_key"), (first["pos"] + step).alias("c_pos"))
+
+        return F.transform(F.filter("first", open_end), edge)
+
+    edges = materialise(
+        spots.select(F.col("_gone_id").alias("_id"), F.col("_gone_key").alias("_key"), F.explode(F.concat(beside(-1), beside(1))).alias("_e")).select("_id", "_key", "_e.*"),
+        "chunks-edges",
+    )
+    wanted = edges.select("_id", "_key", "pos").unionByName(edges.select(F.col("c_id").alias("_id"), F.col("c_key").alias("_key"), F.col("c_pos").alias("pos")))
+    at = F.xxhash64("_id", "_key", "pos")
+    some = maybe_in(rows.select("_id", "_key", "_c"), wanted, "_key").select("_id", "_key", F.posexplode("_c").alias("pos", "c"))
+    held = maybe_in(some.withColumn("_at", at), wanted.withColumn("_at", at), "_at").groupBy("_id", "_key", "pos").agg(F.min("c").alias("c"))
+    held = materialise(held, "chunks-beside")
+    theirs = held.select(F.col("_id").alias("o_id"), F.col("_key").alias("o_key"), F.col("pos").alias("o_pos"), F.col("c").alias("other"))
+    mine = held.select(F.col("_id").alias("m_id"), F.col("_key").alias("m_key"), F.col("pos").alias("m_pos"), F.col("c").alias("own"))
+    both = edges.join(theirs, F.col("c_id").eqNullSafe(F.col("o_id")) & (F.col("c_key") == F.col("o_key")) & (F.col("c_pos") == F.col("o_pos"))).join(
+        mine, F.col("_id").eqNullSafe(F.col("m_id")) & (F.col("_key") == F.col("m_key")) & (F.col("pos") == F.col("m_pos"))
+    )
+    back = F.col("step") == -1
+    a, b = lines(F.col("own")), lines(F.col("other"))
+    same = _same_lines(F.when(back, F.reverse(a)).otherwise(a), F.when(back, F.reverse(b)).otherwise(b))
+    cuts = (
+        both.select("_id", "_key", "pos", "own", back.alias("back"), same.alias("n"))
+        .where("n > 0")
+        .groupBy("_id", "_key", "pos")
+        .agg(F.min("own").alias("own"), F.coalesce(F.max(F.when(~F.col("back"), F.col("n"))), F.lit(0)).alias("head"), F.coalesce(F.max(F.when(F.col("back"), F.col("n"))), F.lit(0)).alias("tail"))
+    )
+    left = F.transform(F.array(lines(F.col("own"))), lambda v: F.array_join(F.slice(v, F.col("head") + 1, F.greatest(F.size(v) - F.col("head") - F.col("tail"), F.lit(0))), ""))
+    cuts = cuts.select("_id", "_key", "pos", F.element_at(left, 1).alias("c"), F.regexp_count("own", F.lit(WORD)).alias("words"))
+    cuts = cuts.withColumn("words", F.col("words") - F.regexp_count("c", F.lit(WORD)))
+    return cuts.groupBy("_id", "_key").agg(F.collect_list(F.struct("pos", "c")).alias("trims"), F.sum("words").cast("long").alias("trimmed_words"))
+
+
+def dedup(docs: DataFrame, least_lines: int = 2, least_chars: int = 48, window: int = 1, extend: bool = False) -> DataFrame:
     """``docs`` with repeated chunks removed from ``text``.
 
-    Adds removed_chunks, removed_words and removed (positions of the chunks).
+    Adds removed_chunks, removed_words and removed (positions of the chunks); ``removed_words`` counts the
+    lines that stretches grew by too.
     """
     columns = [c for c in docs.columns if c not in ("removed_chunks", "removed_words", "removed")]
     own = docs.select(*[F.col(f"`{c}`") for c in columns])
     rest = [F.col(f"`{c}`") for c in columns if c != "text"]
-    rows = own.select(F.col("doc_id").alias("_id"), row_hash(own).alias("_key"), F.struct(*rest).alias("_row"), F.when(F.col("text").isNotNull(), hashed_chunks(F.col("text"), least_lines, least_chars)).alias("_p"))
+    cut = F.when(F.col("text").isNotNull(), hashed_chunks(F.col("text"), least_lines, least_chars, window))
+    rows = own.select(F.col("doc_id").alias("_id"), row_hash(own).alias("_key"), F.struct(*rest).alias("_row"), cut.alias("_p"))
     # Cut once: all that follows reads this table, and all but the byte comparison and the result only the hashes.
     rows = materialise(rows.select("_id", "_key", "_row", F.col("_p.c").alias("_c"), F.col("_p.h").alias("_h")), "chunks")
     parts = rows.select("_id", "_key", F.posexplode("_h").alias("pos", "h")).where("h is not null")
@@ -164,19 +231,30 @@ def dedup(docs: DataFrame, least_lines: int = 2, least_chars: int = 48) -> DataF
     bodies = maybe_in(bodies, repeated, "h").groupBy("h", _bytes(lines(F.col("c"))).alias("body")).agg(F.lit(1).alias("one"))
     same = bodies.groupBy("h").agg(F.count("*").alias("bodies"), F.min(F.regexp_count("body", F.lit(WORD))).alias("words")).where("bodies = 1").select("h", "words")
     real = materialise(repeated.join(same, "h"), "chunks-real")
-    removed = (
+    spots = (
         maybe_in(parts, real, "h")
         .join(real, "h")
         .where(place != F.col("first"))
         .groupBy("_id", "_key", "pos")
-        .agg(F.min("words").alias("words"))
+        .agg(F.min("words").alias("words"), F.min("first").alias("first"))
         .groupBy("_id", "_key")
-        .agg(F.sort_array(F.collect_list("pos")).alias("removed"), F.sum("words").cast("long").alias("removed_words"))
+        .agg(F.sort_array(F.collect_list(F.struct("pos", F.col("first").alias("place")))).alias("first"), F.sum("words").cast("long").alias("removed_words"))
     )
-    removed = materialise(removed.withColumnRenamed("_id", "_gone_id").withColumnRenamed("_key", "_gone_key"), "chunks-removed")
-    found = rows.drop("_h").join(removed, F.col("_id").eqNullSafe(F.col("_gone_id")) & (F.col("_key") == F.col("_gone_key")), "left")
-    kept = F.when(F.col("removed").isNull(), F.col("_c")).otherwise(F.filter("_c", lambda c, i: ~F.array_contains("removed", i)))
-    text = F.array_join(kept, "")  # null stays null
+    spots = spots.select(F.col("_id").alias("_gone_id"), F.col("_key").alias("_gone_key"), F.col("first.pos").alias("removed"), "first", "removed_words")
+    if extend:
+        spots = materialise(spots, "chunks-spots")
+        grown = (F.col("_gone_id").eqNullSafe(F.col("_id"))) & (F.col("_gone_key") == F.col("_key"))
+        gone = spots.join(_trims(rows, spots), grown, "left").select(
+            "_gone_id", "_gone_key", "removed", (F.col("removed_words") + F.coalesce("trimmed_words", F.lit(0))).alias("removed_words"), "trims"
+        )
+    else:
+        gone = spots.select("_gone_id", "_gone_key", "removed", "removed_words", F.lit(None).cast("array<struct<pos:int,c:string>>").alias("trims"))
+    gone = materialise(gone, "chunks-removed")
+    found = rows.drop("_h").join(gone, F.col("_id").eqNullSafe(F.col("_gone_id")) & (F.col("_key") == F.col("_gone_key")), "left")
+    trims = F.coalesce("trims", F.array().cast("array<struct<pos:int,c:string>>"))
+    whole = F.array_except(F.sequence(F.lit(0), F.size("_c") - 1), F.concat(F.col("removed"), trims["pos"]))
+    kept = F.sort_array(F.concat(F.transform(whole, lambda i: F.struct(i.alias("pos"), F.get("_c", i).alias("c"))), trims))
+    text = F.array_join(F.when(F.col("removed").isNull(), F.col("_c")).otherwise(kept["c"]), "")  # null stays null
     return found.select(
         F.col("_row").withField("text", text).alias("_row"),
         F.coalesce(F.size("removed"), F.lit(0)).alias("removed_chunks"),

@@ -187,7 +187,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op9_line_chunks")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = linechunks.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = linechunks.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), least_chars=32, window=2, extend=True)
     return out.select("doc_id", "removed_chunks", "removed_words", "removed", F.crc32(F.col("text").cast("binary")).alias("kept_crc32"), "text")
 
 
