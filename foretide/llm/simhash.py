@@ -6,7 +6,12 @@ fingerprints within ``radius`` bits differ by at most ``radius`` over all coordi
 Cut the coordinates into ``groups`` groups: at least ``groups - radius`` of them agree
 entirely.  Every choice of that many groups is a grid, the coordinates in it name a cell,
 and each pair in range shares a cell of some grid.  Inside a cell the Manhattan bound is
-tested over 8-bit segments, then the exact distance.
+tested over all segments, as one bit count of the vectors in unary, then the exact distance.
+
+Cells differ in size: two of four segment values count one bit, so the cell of all ones holds far more
+than others and grows with the data.  Members of cells above ``split`` are dealt further, by the bits on which
+``parts - radius`` of ``parts`` parts of the fingerprint agree (all pairs in range share such a
+choice), before any task sees them; a walk that stalls inside a cell does the same with its rest.
 
 Copies collapse to one fingerprint first.  A cell never lists its pairs: it is walked from
 neighbour to neighbour over the members not reached yet and emits one verified link per
@@ -26,7 +31,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
@@ -95,79 +100,135 @@ def popcounts(fp):
     return one.bitwiseXOR(two).bitwiseOR(F.shiftleft(one.bitwiseAND(two), 1))  # two-bit sums, no carries
 
 
-def _linked(members: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Verified links that span every component of one cell."""
-    bytes_ = np.unpackbits(members.view(np.uint8).reshape(-1, 8, 1), axis=2).sum(axis=2).astype(np.int16)
-    left, out_a, out_b = np.arange(len(members)), [], []
-    while len(left) > 1:
-        queue, left = [left[0]], left[1:]
-        while queue and len(left):
-            i = queue.pop()
-            bound = left[np.abs(bytes_[left] - bytes_[i]).sum(axis=1) <= radius]
-            near = bound[np.bitwise_count(members[bound] ^ members[i]) <= radius]
-            if len(near):
-                out_a.append(np.full(len(near), i))
-                out_b.append(near)
-                left = np.setdiff1d(left, near, assume_unique=True)
-                queue.extend(near.tolist())
-    if not out_a:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(out_a), np.concatenate(out_b)
+def bit_masks(bits: np.ndarray, parts: int, radius: int) -> list[tuple[int, np.ndarray]]:
+    """Masks of which two fingerprints in range agree on at least one, with the bits left open."""
+    cuts = np.array_split(bits, min(parts, len(bits)))
+    out = []
+    for chosen in combinations(range(len(cuts)), len(cuts) - radius):
+        mask = sum(1 << int(x) for c in chosen for x in cuts[c])
+        out.append((mask, np.concatenate([cuts[c] for c in range(len(cuts)) if c not in chosen])))
+    return out
+
+
+def unary(fp: np.ndarray) -> np.ndarray:
+    """Two-bit counts as 00, 01 or 11, so that differing bits of two vectors are their Manhattan distance."""
+    low = np.uint64(0x5555555555555555)
+    one, two = fp & low, (fp >> np.uint64(1)) & low
+    return (one | two) | ((one & two) << np.uint64(1))
+
+
+_FEW = 8
+_ALL = np.arange(64)
+
+
+def _in_runs(fp: np.ndarray, starts: np.ndarray, radius: int, bits: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Verified links inside each run of ``fp``; ``bits`` are those that the members of a run may differ in."""
+    u = unary(fp)
+    sizes = np.diff(np.append(starts, len(fp)))
+    run = np.repeat(np.arange(len(starts)), sizes)
+    few = sizes[run] <= _FEW
+    a, b = [], []
+    for d in range(1, min(_FEW, int(sizes.max(initial=1)))):  # runs of a few members: by offset, all at once
+        at = np.flatnonzero(few[:-d] & (run[:-d] == run[d:]) & (np.bitwise_count(u[:-d] ^ u[d:]) <= radius))
+        at = at[np.bitwise_count(fp[at] ^ fp[at + d]) <= radius]
+        a.append(fp[at])
+        b.append(fp[at + d])
+    for s, n in zip(starts[sizes > _FEW].tolist(), sizes[sizes > _FEW].tolist(), strict=True):
+        x, y = _linked(fp[s : s + n], radius, bits)
+        a += x
+        b += y
+    return a, b
+
+
+def _linked(members: np.ndarray, radius: int, bits: np.ndarray, patience: int = 32) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Verified links that span every component of one cell.
+
+    Walks from neighbour to neighbour, which is quick where many are near.  Where ``patience`` steps reach
+    hardly any, the rest (the reached ones not walked from included) is split by its bits.
+    """
+    u = unary(members)
+    left, queue, a, b = np.arange(1, len(members)), [0], [], []
+    steps, before = 0, len(left)
+    while len(left):
+        if not queue:
+            queue, left = [int(left[0])], left[1:]
+            continue
+        i = queue.pop()
+        close = np.bitwise_count(u[left] ^ u[i]) <= radius
+        close[close] = np.bitwise_count(members[left[close]] ^ members[i]) <= radius
+        near, left = left[close], left[~close]
+        if len(near):
+            a.append(np.full(len(near), members[i]))
+            b.append(members[near])
+            queue.extend(near.tolist())
+        steps += 1
+        if steps % patience == 0:
+            if len(left) > patience and len(left) > 0.75 * before and len(bits) > radius:
+                rest = members[np.concatenate([np.array(queue, np.int64), left])]
+                for mask, others in bit_masks(bits, 7, radius):
+                    key = rest & np.uint64(mask)
+                    order = np.argsort(key, kind="stable")
+                    starts = np.concatenate(([0], np.flatnonzero(np.diff(key[order])) + 1))
+                    x, y = _in_runs(rest[order], starts, radius, others)
+                    a += x
+                    b += y
+                break
+            before = len(left)
+    return a, b
 
 
 def _walk(radius: int):
-    """Cells arrive one after another, each row holding (grid, cell, fp)."""
-
-    small = 8
-
-    def solve(grid: np.ndarray, cell: np.ndarray, fp: np.ndarray) -> pd.DataFrame:
-        a: list[np.ndarray] = []
-        b: list[np.ndarray] = []
-        new = np.flatnonzero((np.diff(grid) != 0) | (np.diff(cell) != 0)) + 1
-        starts = np.concatenate(([0], new))
-        sizes = np.diff(np.append(starts, len(fp)))
-        run = np.repeat(np.arange(len(starts)), sizes)
-        few = sizes[run] <= small
-        for d in range(1, small):  # cells of a few members: by offset, all at once
-            same = few[:-d] & (run[:-d] == run[d:]) & (np.bitwise_count(fp[:-d] ^ fp[d:]) <= radius)
-            at = np.flatnonzero(same)
-            a.append(fp[at])
-            b.append(fp[at + d])
-        for s, n in zip(starts[sizes > small].tolist(), sizes[sizes > small].tolist(), strict=True):
-            members = fp[s : s + n]
-            i, j = _linked(members, radius)
-            a.append(members[i])
-            b.append(members[j])
-        x, y = np.concatenate(a), np.concatenate(b)
-        return pd.DataFrame({"a": np.minimum(x.view(np.int64), y.view(np.int64)), "b": np.maximum(x.view(np.int64), y.view(np.int64))}).drop_duplicates()
+    """Cells arrive one after another, each row holding (grid, cell, part, fp)."""
+
+    def solve(grid: np.ndarray, cell: np.ndarray, part: np.ndarray, fp: np.ndarray) -> pd.DataFrame:
+        new = np.flatnonzero((np.diff(grid) != 0) | (np.diff(cell) != 0) | (np.diff(part) != 0)) + 1
+        a, b = _in_runs(fp.view(np.uint64), np.concatenate(([0], new)), radius, _ALL)
+        none = [np.zeros(0, np.uint64)]
+        x, y = np.concatenate(none + a).view(np.int64), np.concatenate(none + b).view(np.int64)
+        return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)}).drop_duplicates()
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
+        held: list[tuple[np.ndarray, ...]] = []  # the last cell may go on
         for batch in batches:
-            rows = tuple(batch[c].to_numpy() for c in ("grid", "cell", "fp"))
-            if rest is not None:
-                rows = tuple(np.concatenate(p) for p in zip(rest, rows, strict=True))
-            last = np.flatnonzero((rows[0] != rows[0][-1]) | (rows[1] != rows[1][-1]))
-            cut = int(last[-1]) + 1 if len(last) else 0  # the last cell may go on
-            rest = tuple(r[cut:] for r in rows)
-            if cut:
-                yield solve(rows[0][:cut], rows[1][:cut], rows[2][:cut].view(np.uint64))
-        if rest is not None and len(rest[0]):
-            yield solve(rest[0], rest[1], rest[2].view(np.uint64))
+            if not len(batch):
+                continue
+            rows = tuple(batch[c].to_numpy() for c in ("grid", "cell", "part", "fp"))
+            other = np.flatnonzero((rows[0] != rows[0][-1]) | (rows[1] != rows[1][-1]) | (rows[2] != rows[2][-1]))
+            cut = int(other[-1]) + 1 if len(other) else 0
+            goes_on = held and all(r[-1] == held[-1][k][-1] for k, r in enumerate(rows[:3]))
+            if cut or (held and not goes_on):
+                done = [*held, tuple(r[:cut] for r in rows)]
+                yield solve(*[np.concatenate(p) for p in zip(*done, strict=True)])
+                held = []
+            held.append(tuple(r[cut:] for r in rows))
+        if held:
+            yield solve(*[np.concatenate(p) for p in zip(*held, strict=True)])
 
     return walk
 
 
-def links(distinct: DataFrame, radius: int = 4, groups: int = 7) -> DataFrame:
+def _signed(mask: int) -> Column:
+    return F.lit(mask - (1 << 64) if mask >= 1 << 63 else mask)
+
+
+def links(distinct: DataFrame, radius: int = 4, groups: int = 7, split: int = 1 << 16) -> DataFrame:
     """(a, b): links between distinct fingerprints that keep all reachability within ``radius``."""
-    masks = grids(groups, radius)
+    masks, further = grids(groups, radius), [m for m, _ in bit_masks(_ALL, 7 if radius < 7 else radius + 3, radius)]
     counts = popcounts(F.col("fp"))
-    cells = distinct.select(
-        "fp", F.posexplode(F.array(*[counts.bitwiseAND(F.lit(m - (1 << 64) if m >= 1 << 63 else m)) for m in masks])).alias("grid", "cell")
-    )
+    cells = distinct.select("fp", F.posexplode(F.array(*[counts.bitwiseAND(_signed(m)) for m in masks])).alias("grid", "cell"))
+    # Large cells by a bitmap, so what is broadcast is bounded; a small cell taken for a large one is split in vain only.
+    name = F.xxhash64("grid", "cell")
+    page, bit = F.pmod(F.shiftright(name, 6), F.lit(1 << 18)), F.call_function("shiftleft", F.lit(1).cast("long"), name.bitwiseAND(63).cast("int"))
+    large = cells.groupBy("grid", "cell").count().where(F.col("count") > split).groupBy(page.alias("_page")).agg(F.bit_or(bit).alias("_bits"))
+    is_large = F.coalesce(F.col("_bits"), F.lit(0)).bitwiseAND(bit) != 0
+    whole = F.array(F.struct(F.lit(-1).alias("sub"), F.lit(0).cast("long").alias("part")))
+    parts = F.array(*[F.struct(F.lit(i).alias("sub"), F.col("fp").bitwiseAND(_signed(m)).alias("part")) for i, m in enumerate(further)])
+    dealt = cells.join(F.broadcast(large), page == F.col("_page"), "left").select("fp", "grid", "cell", F.explode(F.when(is_large, parts).otherwise(whole)).alias("_p"))
+    # A grid of a large cell is named by both choices.
+    dealt = dealt.select("fp", (F.col("grid") * (len(further) + 1) + F.col("_p.sub") + 1).alias("grid"), "cell", F.col("_p.part").alias("part"))
     return (
-        cells.repartition("grid", "cell")
-        .sortWithinPartitions("grid", "cell")
+        dealt.repartition("grid", "cell", "part")
+        .sortWithinPartitions("grid", "cell", "part")
         .mapInPandas(_walk(radius), "a long, b long")
         .distinct()
     )
@@ -227,9 +288,14 @@ def classes(docs: DataFrame, radius: int = 4, groups: int = 7) -> DataFrame:
     """doc_id, fingerprint (hex) and component_id (least doc_id reachable) of every row."""
     prints, roots = near_duplicates(docs, radius, groups)
     firsts = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    named = firsts.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    names = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = materialise(named.join(names, "root").select("fp", "component_id"), "simhash-classes")
+    named = materialise(firsts.join(roots, "fp", "left"), "simhash-roots")
+    # Only linked fingerprints need their root's name; a root may have many, so they are dealt over copies of it.
+    salts = 32
+    linked = named.where("root is not null").withColumn("_salt", F.pmod(F.xxhash64("fp"), F.lit(salts)))
+    names = linked.groupBy("root", "_salt").agg(F.min("least").alias("least")).groupBy("root").agg(F.min("least").alias("component_id"))
+    names = names.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    lone = named.where("root is null").select("fp", F.col("least").alias("component_id"))
+    ids = materialise(linked.join(names, ["root", "_salt"]).select("fp", "component_id").unionByName(lone), "simhash-classes")
     return prints.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
