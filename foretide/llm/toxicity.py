@@ -6,8 +6,9 @@ model, which numpy fits with the non-negative estimator of the classification ri
 
     R(f) = prior * R+(f on P) + max(0, R-(f on U) - prior * R-(f on P))
 
-Unlabelled texts are a sample of the corpus whose labels are not looked at; the prior
-is the share of toxic rows among the labelled rows one may learn from.
+Unlabelled texts are a sample of the rows one may learn from, their labels not looked at; the prior
+is the share of toxic rows among the same rows.  The two must be of one population: where labels do not
+cover the corpus evenly, the prior is wrong for unlabelled texts from elsewhere, and clean texts are flagged.
 
 Fitting reads a bounded sample (``max_positive`` + ``max_unlabelled`` texts); feature
 statistics are counted on the executors, and the driver sees the selected features only.
@@ -37,7 +38,7 @@ STEMS = (4, 5, 6)
 
 @dataclass(frozen=True)
 class Model:
-    """Sorted feature hashes, their weights and the bias: at most ``max_features`` entries."""
+    """Sorted feature hashes, their weights and the bias; the bounded sample bounds their number."""
 
     features: np.ndarray
     weights: np.ndarray
@@ -150,12 +151,13 @@ def nnpu_fit(
 
 def fit(
     docs: DataFrame, labels: DataFrame, max_positive: int = 4_000, max_unlabelled: int = 8_000,
-    max_features: int = 2_000, least_surprise: float = 8.0, empty_prior: float = 0.1, seed: int = 11,
+    least_surprise: float = 8.0, empty_prior: float = 0.1, seed: int = 11,
 ) -> Model:
     """Learn from the rows of ``labels`` (doc_id, toxic); ``docs`` has doc_id and text.
 
     ``labels`` holds only rows one may learn from.  About ``max_positive`` toxic texts and
     ``max_unlabelled`` texts of the labelled documents, their labels put aside, are read.
+    Every feature that passes the two tests of its counts is kept.
     """
     spark = docs.sparkSession
     known = labels.where("doc_id is not null and toxic is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
@@ -186,8 +188,6 @@ def fit(
         counts.where(F.col("p") * F.lit(prior * n_u) >= F.lit(0.5) * F.col("u") * F.lit(float(n_p)))
         .withColumn("s", surprise)
         .where(F.col("s") >= least_surprise)
-        .orderBy(F.col("s").desc(), "feature")
-        .limit(max_features)
         .select("feature")
         .toPandas()["feature"]
         .to_numpy(np.int64)
