@@ -35,17 +35,18 @@ GROUPS = {
 RASTERS = 500  # an observation shows raster event_id % RASTERS
 
 
-def vectors(spark, d):
-    """Observations with the 27 numbers of the frame they show."""
+def vectors(spark, d, runs=None):
+    """Observations (of ``runs``, if given) with the 27 numbers of the frame they show."""
     f = B.assemble_vector(features(spark, d), F.lit(0.0), F.lit(0.0)).select("frame", C("vector").alias("_v"))
-    shown = V.obs(spark, d).withColumn("frame", C("event_id") % RASTERS).join(f, "frame")
+    seen = V.obs(spark, d) if runs is None else V.obs(spark, d).join(runs.select("session_id"), "session_id", "left_semi")
+    shown = seen.withColumn("frame", C("event_id") % RASTERS).join(f, "frame")
     own = F.array((C("motion") / 100).cast("double"), S.clamp_motion(C("motion").cast("double")))
     return shown.withColumn("vector", F.concat(F.slice("_v", 1, 6), own, F.slice("_v", 9, 19))).drop("_v", "frame")
 
 
-def window_rows(spark, d):
-    """Anchored windows with their 135 numbers, before runs and labels are attached."""
-    w = J.select_history(vectors(spark, d), V.HISTORY_LINE, ["vector"])
+def window_rows(spark, d, runs=None):
+    """Anchored windows (of ``runs``, if given) with their 135 numbers, before runs and labels are attached."""
+    w = J.select_history(vectors(spark, d, runs), V.HISTORY_LINE, ["vector"])
     even = F.transform(J.resample_even(C("history")), lambda h: h["vector"])
     return w.select("session_id", "event_id", "active_ms", J.array_statistics(even, WIDTH).alias("numbers"))
 
@@ -66,7 +67,8 @@ def dataset(spark, d):
     folds = [role(q) for a, b, c in FOLDS for q in (run <= a, (run > a) & (run <= b), (run > b) & (run <= c))]
     draws = [F.coalesce(C(f"_d{m}"), F.lit(0)).cast("double") for m in range(5)]
     ttf = S.time_to_failure(C("active_duration_ms"), C("active_ms"))
-    rows = window_rows(spark, d).join(r, "session_id").withColumn("ttf", ttf)
+    # A window has rows of one session only, so windows of other sessions need not be made first.
+    rows = window_rows(spark, d, r).join(r, "session_id").withColumn("ttf", ttf)
     x = F.concat("numbers", F.array(C("active_ms") / 1000.0))
     y = F.transform(S.failure_targets(C("ttf"), FX), lambda v: v.cast("double"))
     return materialise(rows.select("run", *KEY, "ttf", x.alias("x"), y.alias("y"), F.array(*folds, *draws).alias("w")), "dataset")
