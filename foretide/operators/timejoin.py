@@ -380,18 +380,17 @@ def match_events(
     on q = p - k that is a clamp, so :mod:`chain` evaluates it block-wise.
     """
     none = F.lit(None).cast("long")
+    at = F.col("at").cast("long")
 
-    def mark(df, at, side, low, high, event):
-        return df.select(
-            *keys, at.alias("_at"), F.lit(side).alias("_side"), F.lit(low).alias("_low"), F.lit(high).alias("_high"),
-            event.alias("at"),
-        )
+    def mark(place, side, low, high):
+        return F.struct(place.alias("_at"), F.lit(side).alias("_side"), F.lit(low).alias("_low"), F.lit(high).alias("_high"))
 
-    at = F.col("at").cast("long")
+    # A truth is read once: it comes into reach at one place and expires at another.
+    borders = F.explode(F.array(mark(at + behind + 1, 0, 1, 0), mark(at - ahead, 0, 0, 1)))
     marks = (
-        mark(events, at, 1, 0, 0, at)
-        .unionByName(mark(truth, at + behind + 1, 0, 1, 0, none))
-        .unionByName(mark(truth, at - ahead, 0, 0, 1, none))
+        events.select(*keys, mark(at, 1, 0, 0).alias("_m"), at.alias("at"))
+        .unionByName(truth.select(*keys, borders.alias("_m"), none.alias("at")))
+        .select(*keys, "_m.*", "at")
     )
     line = Timeline(tuple(keys), ("_at", "_side", "_low"), "_at", width)
     counted = running(

@@ -480,7 +480,7 @@ fx_score as (select tp as true_positive, fp as false_positive, fn as false_negat
 
 
 def summary(spark, d):
-    m = J.match_events(marks(spark, d, "click"), marks(spark, d, "purchase"), ["session_id"], 1, 6)
+    m = J.match_events(*marks(spark, d, "click", "purchase"), ["session_id"], 1, 6)
     secs = V.session_facts(spark, d).agg((F.sum("active_duration_ms") / 1000.0).alias("_s"))
     return A.event_summary(m.join(F.broadcast(secs)), F.max("_s"))
 
@@ -499,7 +499,7 @@ def _(spark, d):
       (select avg(case when event_id % 50 <> 0 then 1.0 else 0.0 end) as supported, avg(case when event_id % 9 = 0 then 1.0 else 0.0 end) as ambiguous from fx_obs)""",
 )
 def _(spark, d):
-    truth = marks(spark, d, "purchase")
+    (truth,) = marks(spark, d, "purchase")
     covered = truth.select("session_id", F.explode(F.sequence(C("at") - 1, C("at") + 6)).alias("at")).distinct().agg(F.count("*").alias("_n"))
     secs = V.session_facts(spark, d).agg((F.sum("active_duration_ms") / 1000.0).alias("_s"))
     s = summary(spark, d).join(F.broadcast(covered)).join(F.broadcast(secs))

@@ -13,6 +13,7 @@ from foretide.operators.timeline import SLICE, Timeline, row_numbers
 from foretide.plans import views as V
 from foretide.plans.registry import query
 from foretide.plans.sessions import KEY, RUNS_LINE, R, cohort_runs, runs40
+from foretide.settings import materialise
 
 C = F.col
 O = V.OBS_LINE
@@ -270,9 +271,17 @@ def _(spark, d):
     return J.prior_baseline(V.sessions(spark, d), RUNS_LINE).select("session_id", R(C("baseline_s")).alias("baseline_s"))
 
 
-def marks(spark, d, kind, fps=12):
-    o = V.obs(spark, d).where(C("event_type") == kind)
-    return o.select("session_id", F.expr(f"active_ms * {fps} div 1000").alias("at")).distinct()
+def marks(spark, d, *kinds, fps=12):
+    """Distinct positions of each kind of event: one pass over the observations, one table.
+
+    Positions are dealt by all their columns to the session's number of partitions, so no
+    task's share depends on how small they are on the wire or on a busy session.
+    """
+    o = V.obs(spark, d).where(C("event_type").isin(*kinds))
+    at = o.select("session_id", F.expr(f"active_ms * {fps} div 1000").alias("at"), "event_type")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    once = materialise(at.repartition(parts, *at.columns).distinct(), "marks")
+    return [once.where(C("event_type") == k).select("session_id", "at") for k in kinds]
 
 
 @query(
@@ -292,7 +301,7 @@ select coalesce(u.session_id, t.session_id) as session_id, case when u.pos is nu
 from used u full join tn t on t.session_id = u.session_id and t.i = u.i""",
 )
 def _(spark, d):
-    return J.match_events(marks(spark, d, "click"), marks(spark, d, "purchase"), ["session_id"], 1, 6)
+    return J.match_events(*marks(spark, d, "click", "purchase"), ["session_id"], 1, 6)
 
 
 @query(

@@ -69,3 +69,42 @@ def test_vectors_of_runs_are_those_of_all_rows(spark, tmp_path):
     some = D.vectors(spark, d, runs).select("event_id", F.to_json(F.struct("vector")).alias("v"))
     every = D.vectors(spark, d).where("session_id in (1, 2)").select("event_id", F.to_json(F.struct("vector")).alias("v"))
     assert some.count() == 200 and some.exceptAll(every).count() == 0 and every.count() == 200
+
+
+def counted(spark, df):
+    """``df`` and an accumulator of the rows worked out for it."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(len(b))
+            yield b
+
+    return df.mapInPandas(count, df.schema), made
+
+
+def test_marks_of_all_kinds_are_one_table(spark, tmp_path):
+    from foretide.plans import timelines as L
+
+    n, step = 300, 10**10
+    kinds = ["click", "purchase", "error"]
+    spark.range(n).selectExpr(
+        "id as event_id", f"timestamp_micros(id * {step}) as ts", "if(id % 7 = 0, null, id % 5) as user_id",
+        "if(id % 11 = 0, null, element_at(array('click', 'purchase', 'error'), int(id div 5 % 3) + 1)) as event_type", "1.0 as value", "'' as props",
+    ).union(spark.range(1).selectExpr("999", "timestamp_micros(50000000000)", "0L", "'click'", "1.0", "''")).write.parquet(f"{tmp_path}/events.parquet")
+    got = dict(zip(kinds, L.marks(spark, str(tmp_path), *kinds), strict=True))
+    rows = [(i % 5, i * step, kinds[i // 5 % 3] if i % 11 else None) for i in range(n) if i % 7] + [(0, 5 * step, "click")]
+    start = {u: min(t for v, t, _ in rows if v == u) for u in range(5)}
+    for kind, df in got.items():
+        want = {(u, (t - start[u]) // 172_800_000 * 12 // 1000) for u, t, k in rows if k == kind}
+        assert sorted(tuple(r) for r in df.collect()) == sorted(want)
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and "Aggregate" not in plan
+
+
+def test_a_truth_is_read_once_for_its_two_borders(spark):
+    ev = spark.createDataFrame([(1, x) for x in (10, 11, 12, 20)], "c long, at long")
+    tr = spark.createDataFrame([(1, x) for x in (11, 24)], "c long, at long")
+    tr, made = counted(spark, tr)
+    J.match_events(ev, tr, ["c"], 1, 6)  # writes the events with the truths in reach
+    assert made.value <= 4  # once for the slices' sums, once for the rows
