@@ -72,10 +72,14 @@ def monotone_columns(p: Sequence[Column]) -> list[Column]:
 
 def monotone(p: Column, width: int = len(HORIZONS)) -> Column:
     """Array form of :func:`monotone_columns`; any other length raises."""
-    fixed = F.array(*monotone_columns([F.element_at(p, i + 1) for i in range(width)]))
-    return F.when(F.size(p) == width, fixed).otherwise(
+    checked = F.when(F.size(p) == width, p).otherwise(
         F.raise_error(F.lit("one cumulative probability per horizon expected"))
     )
+    # Each value holds the one before it and none stands in a branch, so Spark evaluates each once per row.
+    values = [clip(F.element_at(checked, 1), 0.0, 1.0)]
+    for i in range(1, width):
+        values.append(F.greatest(values[-1], clip(F.element_at(checked, i + 1), 0.0, 1.0)))
+    return F.array(*values)
 
 
 def first_crossing(p: Column, threshold: float = 0.5, width: int = len(HORIZONS)) -> Column:

@@ -20,7 +20,7 @@ from foretide.operators.timeline import (
     with_earlier_rows,
     with_earlier_time,
 )
-from foretide.settings import TARGET_RUNS
+from foretide.settings import TARGET_RUNS, materialise
 
 
 # --- run tables --------------------------------------------------------------
@@ -433,14 +433,42 @@ def insights(
     preds: DataFrame, line: Timeline, signal_ms: int = 3_000, imminent_ms: int = 1_000, within_ms: int = 3_000,
     drop: float = 15.0,
 ) -> DataFrame:
-    """All insight kinds of ready forecasts."""
-    ready = preds.where(F.col("status") == "ready")
+    """All insight kinds of ready forecasts.
+
+    The forecasts are worked out and written once, with only what the kinds need, and both
+    kinds of stretches are numbered in one pass.
+    """
     w = F.col("loss_window")
-    return (
-        segments(ready, line, w.isNotNull() & (w != "none"), signal_ms, "loss_signal")
-        .unionByName(segments(ready, line, w == "under_10s", imminent_ms, "imminent"))
-        .unionByName(forecast_shifts(ready, line, within_ms, drop))
+    needed = dict.fromkeys([*line.keys, *line.order, line.clock, "ts_ms", "remaining"])
+    hits = {"loss_signal": w.isNotNull() & (w != "none"), "imminent": w == "under_10s"}
+    ready = preds.where(F.col("status") == "ready").select(
+        *needed, *[F.coalesce(hit, F.lit(False)).alias(f"_hit_{kind}") for kind, hit in hits.items()]
+    )
+    ready = materialise(ready, "forecasts")
+    least = {"loss_signal": signal_ms, "imminent": imminent_ms}
+
+    def change(kind: str):
+        return lambda before, now: (before.isNull() | (before[kind] != now[kind])).cast("long")
+
+    numbered = running_pairs(
+        ready, line, {kind: F.col(f"_hit_{kind}") for kind in hits}, {f"_no_{kind}": change(kind) for kind in hits}
+    )
+    # A row belongs to a stretch of each kind it is a hit of.
+    member = [
+        F.when(F.col(f"_hit_{kind}"), F.struct(F.lit(kind).alias("kind"), F.col(f"_no_{kind}").alias("_no"), F.lit(ms).alias("_least")))
+        for kind, ms in least.items()
+    ]
+    a, t = F.col(line.clock), F.col("ts_ms")
+    rows = numbered.where(F.col("_hit_loss_signal") | F.col("_hit_imminent")).select(
+        *line.keys, t, a.alias("_a"), F.explode(F.array_compact(F.array(*member))).alias("_of")
+    )
+    stretches = (
+        rows.groupBy(*line.keys, "_of")
+        .agg(F.min(t).alias("start_ms"), F.max(t).alias("end_ms"), F.min("_a").alias("start_active_ms"), F.max("_a").alias("end_active_ms"))
+        .where(F.col("end_active_ms") - F.col("start_active_ms") >= F.col("_of._least"))
+        .select(*line.keys, "_of.kind", "start_ms", "end_ms", "start_active_ms", "end_active_ms")
     )
+    return stretches.unionByName(forecast_shifts(ready, line, within_ms, drop))
 
 
 def warning_leads(preds: DataFrame, horizon: float = 60.0) -> DataFrame:

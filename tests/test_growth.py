@@ -108,3 +108,45 @@ def test_a_truth_is_read_once_for_its_two_borders(spark):
     tr, made = counted(spark, tr)
     J.match_events(ev, tr, ["c"], 1, 6)  # writes the events with the truths in reach
     assert made.value <= 4  # once for the slices' sums, once for the rows
+
+
+def test_forecasts_are_worked_out_once_for_all_insights(spark):
+    from foretide.operators import windows as W
+    from foretide.operators.timeline import Timeline
+
+    rng = np.random.default_rng(3)
+    windows = ["none", "under_10s", "10_to_20s", None]
+    rows, t = [], {1: 0, 2: 0}
+    for i in range(240):
+        k = 1 + int(rng.random() < 0.3)
+        t[k] += int(rng.integers(1, 400))
+        rows.append((k, i, t[k], t[k], float(rng.random() * 30), windows[rng.choice(4, p=[0.2, 0.5, 0.25, 0.05])], "ready" if i % 9 else "warming_up"))
+    df, made = counted(spark, spark.createDataFrame(rows, "k long, id long, ts_ms long, at long, remaining double, loss_window string, status string"))
+    got = W.insights(df, Timeline(("k",), ("at", "id"), "at", 700), 500, 300, 300, 12.0)
+    want = []
+    for k in (1, 2):
+        mine = sorted((r for r in rows if r[0] == k and r[6] == "ready"), key=lambda r: (r[3], r[1]))
+        for kind, hit, least in (("loss_signal", lambda w: w not in (None, "none"), 500), ("imminent", lambda w: w == "under_10s", 300)):
+            run = []
+            for r in [*mine, None]:
+                if r is not None and hit(r[5]):
+                    run.append(r[3])
+                    continue
+                if run and run[-1] - run[0] >= least:
+                    want.append((k, kind, run[0], run[-1], run[0], run[-1]))
+                run = []
+        want += [(k, "forecast_shift", a[2], b[2], a[3], b[3]) for a, b in zip(mine, mine[1:], strict=False) if b[3] - a[3] <= 300 and a[4] - b[4] >= 12.0]
+    assert len(want) > 20 and sorted(tuple(r) for r in got.collect()) == sorted(want)
+    assert made.value == len(rows)
+
+
+def test_monotone_values_are_chained_outside_any_branch(spark):
+    from foretide.functions import scalars as S
+
+    rows = [([0.3, None, 0.1],), ([float("nan"), 0.2, 0.1],), ([-1.0, 0.2, 3.0],), ([-0.5, -0.4, -0.3],)]
+    df = spark.createDataFrame(rows, "p array<double>")
+    assert [r.m for r in df.select(S.monotone(F.col("p"), 3).alias("m")).collect()] == [[0.3, 1.0, 1.0], [1.0] * 3, [0.0, 0.2, 1.0], [0.0] * 3]
+    code = df.select(S.monotone(F.col("p"), 7).alias("m"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "array(greatest(" in code and "THEN array" not in code
+    with pytest.raises(Exception, match="one cumulative probability per horizon expected"):
+        spark.createDataFrame([(None,)], "p array<double>").select(S.monotone(F.col("p"), 3)).collect()
