@@ -1,35 +1,53 @@
 """Same-coloured areas of a raster, and the removal of specks.
 
-A frame is a fixed amount of data: its pixels are dealt once by frame, become runs
-along the pixel rows in the same task, and only the runs (few numbers each) are handed to
-numpy, which contracts the ones that touch.
+A frame is a fixed amount of data: its pixels are dealt and sorted once by frame, and
+numpy makes a frame's pixels into runs along the pixel rows and contracts the ones that
+touch.  No window and no aggregate holds pixels, so a task keeps one sort of them.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 RUN_COLUMNS = "y int, x0 int, x1 int, colour int, component int, size long"
 
 
+def _dealt(coloured: DataFrame) -> DataFrame:
+    """(frame, y, x, colour) of the pixels with a place and a colour, dealt by frame.
+
+    Dealt to the session's number of partitions: pixels are small on the wire, so tasks
+    joined by bytes would hold many times that in memory.
+    """
+    parts = int(coloured.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return coloured.where("y is not null and x is not null and colour >= 0").select(
+        "frame", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), F.col("colour").cast("int").alias("colour")
+    ).repartition(parts, "frame")
+
+
+def _frame_runs(pixels: pd.DataFrame) -> pd.DataFrame:
+    y, x, colour = (pixels[c].to_numpy().astype(np.int64) for c in ("y", "x", "colour"))
+    order = np.lexsort((x, y, colour))
+    y, x, colour = y[order], x[order], colour[order]
+    # A pixel that is given twice continues its run.
+    new = np.ones(len(x), dtype=bool)
+    new[1:] = (np.diff(colour) != 0) | (np.diff(y) != 0) | (np.diff(x) > 1)
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(x)) - 1
+    columns = {"y": y[first], "x0": x[first], "x1": x[last], "colour": colour[first]}
+    return pd.DataFrame({"frame": pixels["frame"].to_numpy()[: len(first)], **{c: v.astype(np.int32) for c, v in columns.items()}})
+
+
 def colour_runs(coloured: DataFrame) -> DataFrame:
     """(frame, y, x0, x1, colour): stretches of one colour along a pixel row.
 
     Pixels without a place or a colour belong to no run; a pixel that is given twice
     counts once.
     """
-    pixels = coloured.where("y is not null and x is not null and colour >= 0").select(
-        "frame", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), F.col("colour").cast("int").alias("colour")
-    )
-    # Dealt by frame once: the window, the runs and the contraction all keep that partitioning.
-    dealt = pixels.repartition("frame")
-    nth = F.dense_rank().over(Window.partitionBy("frame", "y", "colour").orderBy("x"))
-    return dealt.withColumn("_k", F.col("x") - nth).groupBy("frame", "y", "colour", "_k").agg(
-        F.min("x").alias("x0"), F.max("x").alias("x1")
-    ).select("frame", "y", "x0", "x1", "colour")
+    kind = coloured.schema["frame"].dataType.simpleString()
+    return _dealt(coloured).groupBy("frame").applyInPandas(_frame_runs, f"frame {kind}, y int, x0 int, x1 int, colour int")
 
 
 def contract(y: np.ndarray, x0: np.ndarray, x1: np.ndarray, colour: np.ndarray) -> np.ndarray:
@@ -72,7 +90,8 @@ def contract(y: np.ndarray, x0: np.ndarray, x1: np.ndarray, colour: np.ndarray)
     return out
 
 
-def _frame_components(runs: pd.DataFrame) -> pd.DataFrame:
+def _frame_components(pixels: pd.DataFrame) -> pd.DataFrame:
+    runs = _frame_runs(pixels)
     x0, x1 = runs["x0"].to_numpy(), runs["x1"].to_numpy()
     label = contract(runs["y"].to_numpy(), x0, x1, runs["colour"].to_numpy())
     size = np.bincount(label, weights=x1 - x0 + 1, minlength=1).astype(np.int64)
@@ -82,7 +101,7 @@ def _frame_components(runs: pd.DataFrame) -> pd.DataFrame:
 def same_colour_components(coloured: DataFrame) -> DataFrame:
     """Runs with their four-neighbour component (numbered within the frame) and its pixels: (frame, y, x0, x1, colour, component, size)."""
     kind = coloured.schema["frame"].dataType.simpleString()
-    return colour_runs(coloured).groupBy("frame").applyInPandas(_frame_components, f"frame {kind}, {RUN_COLUMNS}")
+    return _dealt(coloured).groupBy("frame").applyInPandas(_frame_components, f"frame {kind}, {RUN_COLUMNS}")
 
 
 def drop_specks(coloured: DataFrame, geo: DataFrame, least: float = 8.0, share: float = 0.004) -> DataFrame:

@@ -150,3 +150,24 @@ def test_monotone_values_are_chained_outside_any_branch(spark):
     assert "array(greatest(" in code and "THEN array" not in code
     with pytest.raises(Exception, match="one cumulative probability per horizon expected"):
         spark.createDataFrame([(None,)], "p array<double>").select(S.monotone(F.col("p"), 3)).collect()
+
+
+def test_runs_of_one_colour_need_no_window_and_no_aggregate(spark):
+    from foretide.operators import components as K
+
+    rng = np.random.default_rng(8)
+    pixels = [(int(f), int(y), int(x), int(c)) for f, y, x, c in rng.integers(0, [3, 6, 40, 3], (900, 4))] + [(None, 0, 0, 1), (None, 0, 1, 1)]
+    runs = K.colour_runs(spark.createDataFrame(pixels, "frame long, y int, x int, colour int"))
+    got = sorted((-1 if r.frame is None else r.frame, r.y, r.colour, r.x0, r.x1) for r in runs.collect())
+    at = {(-1 if f is None else f, y, c, x) for f, y, x, c in pixels}
+    want = []
+    for f, y, c, x in sorted(at):
+        if (f, y, c, x - 1) not in at:
+            end = x
+            while (f, y, c, end + 1) in at:
+                end += 1
+            want.append((f, y, c, x, end))
+    assert got == want
+    geo = spark.createDataFrame([(1, 10.0)], "frame long, apothem double")
+    plan = K.drop_specks(spark.createDataFrame(pixels, "frame long, y int, x int, colour int"), geo)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Aggregate" not in plan
