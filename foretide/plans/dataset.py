@@ -51,17 +51,24 @@ def window_rows(spark, d, runs=None):
     return w.select("session_id", "event_id", "active_ms", J.array_statistics(even, WIDTH).alias("numbers"))
 
 
+def study_runs(spark, d):
+    """(session_id, run, active_duration_ms, _d0.._d4) of the forty study runs, written once: multiplicities of five draws of the last fold's fit runs."""
+    # The runs are read 16 times here, and their order is a long plan: written first, so that no plan holds it more than once.
+    r = materialise(runs40(spark, d).select("session_id", "run", "active_duration_ms"), "runs")
+    a, _, _ = FOLDS[-1]
+    fit_runs = r.where(C("run") <= a).select("run", (C("run") - 1).alias("pos"))
+    for m in range(5):
+        r = r.join(E.bootstrap_multiplicity(fit_runs, 41 + m).withColumnRenamed("multiplicity", f"_d{m}"), "run", "left")
+    return materialise(r, "draws")
+
+
 def dataset(spark, d):
     """(run, session_id, event_id, ttf, x, y, w) of the forty study runs, written once.
 
     x: 135 numbers and the elapsed seconds.  y: seven targets.  w: for each fold the weights as
     fit, calibration and evaluation row, then the multiplicities of five bootstrap draws of the fit runs of the last fold.
     """
-    r = runs40(spark, d).select("session_id", "run", "active_duration_ms")
-    a, _, _ = FOLDS[-1]
-    fit_runs = r.where(C("run") <= a).select("run", (C("run") - 1).alias("pos"))
-    for m in range(5):
-        r = r.join(E.bootstrap_multiplicity(fit_runs, 41 + m).withColumnRenamed("multiplicity", f"_d{m}"), "run", "left")
+    r = study_runs(spark, d)
     run = C("run")
     role = lambda q: q.cast("double")
     folds = [role(q) for a, b, c in FOLDS for q in (run <= a, (run > a) & (run <= b), (run > b) & (run <= c))]
@@ -134,6 +141,19 @@ def _(spark, d):
     return p.groupBy("run").agg(F.count("*").alias("n"), n(falling, "falling"), n(outside, "outside")).withColumn("converged", F.lit(bool(stack.slope.max() < 1e-4)))
 
 
+def grid_scores(scored):
+    """Brier score and windows per candidate, fold and evaluation run of ``scored`` (run, y, w, q: probabilities of all candidates, folds and horizons)."""
+    parts = [
+        F.struct(F.lit(g).alias("candidate"), F.lit(f).alias("fold"), F.slice("q", 1 + 7 * (3 * i + f), 7).alias("q"))
+        for i, g in enumerate(GROUPS) for f in range(3)
+    ]
+    each = scored.select("run", "y", "w", F.explode(F.array(*parts)).alias("_c")).select("run", "y", "w", "_c.*")
+    # Made monotone after exploding: one long expression, not one for each candidate and fold.
+    each = each.where(F.element_at("w", C("fold") * 3 + fold_weight(0, "evaluation") + 1) > 0).withColumn("p", S.monotone(C("q"), 7))
+    squares = F.aggregate(F.zip_with("p", "y", lambda p, y: (p - y) * (p - y)), F.lit(0.0), lambda s, v: s + v) / 7
+    return each.groupBy("candidate", (C("fold") + 1).alias("fold"), "run").agg(F.avg(squares).alias("brier"), F.count("*").alias("n"))
+
+
 @query("m12_stacked_grid")
 def _(spark, d):
     """Brier score per candidate, fold and run: six feature groups, three folds, seven horizons, calibrated, in one scan per step."""
@@ -142,15 +162,7 @@ def _(spark, d):
     tasks = [T.Task(f"{g}|{f}|{h}", fold_weight(f, "fit"), h, x) for g, x in GROUPS.items() for f in range(3) for h in range(7)]
     stack = T.fit_stacked(rows, tasks, c=0.1)
     final = T.calibrate_stacked(stack, rows, [t.weight + 1 for t in tasks])
-    scored = T.score_stacked(final, rows, "q", probability=True)
-    parts = [
-        F.struct(F.lit(g).alias("candidate"), F.lit(f).alias("fold"), S.monotone(F.slice("q", 1 + 7 * (3 * i + f), 7), 7).alias("p"))
-        for i, g in enumerate(GROUPS) for f in range(3)
-    ]
-    each = scored.select("run", "y", "w", F.explode(F.array(*parts)).alias("_c")).select("run", "y", "w", "_c.*")
-    each = each.where(F.element_at("w", C("fold") * 3 + fold_weight(0, "evaluation") + 1) > 0)
-    squares = F.aggregate(F.zip_with("p", "y", lambda p, y: (p - y) * (p - y)), F.lit(0.0), lambda s, v: s + v) / 7
-    return each.groupBy("candidate", (C("fold") + 1).alias("fold"), "run").agg(F.avg(squares).alias("brier"), F.count("*").alias("n"))
+    return grid_scores(T.score_stacked(final, rows, "q", probability=True))
 
 
 @query("m09_stacked_ensemble")
