@@ -1,17 +1,23 @@
 """Same-coloured areas of a raster, and the removal of specks.
 
 A frame is a fixed amount of data: its pixels are dealt and sorted once by frame, and
-numpy makes a frame's pixels into runs along the pixel rows and contracts the ones that
-touch.  No window and no aggregate holds pixels, so a task keeps one sort of them.
+numpy makes the pixels of some frames at a time into runs along the pixel rows and contracts
+the ones that touch.  No window and no aggregate holds pixels, so a task keeps one sort of them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+CHUNK = 100_000  # rows of whole frames that numpy works off together
+
+
 RUN_COLUMNS = "y int, x0 int, x1 int, colour int, component int, size long"
 
 
@@ -27,17 +33,58 @@ def _dealt(coloured: DataFrame) -> DataFrame:
     ).repartition(parts, "frame")
 
 
-def _frame_runs(pixels: pd.DataFrame) -> pd.DataFrame:
-    y, x, colour = (pixels[c].to_numpy().astype(np.int64) for c in ("y", "x", "colour"))
-    order = np.lexsort((x, y, colour))
-    y, x, colour = y[order], x[order], colour[order]
+def by_frames(dealt: DataFrame, work: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """``work`` on tables of whole frames, in their order, of rows that are dealt by frame."""
+    return dealt.sortWithinPartitions("frame").mapInArrow(lambda batches: whole_frames(batches, work), schema)
+
+
+def whole_frames(batches: Iterator[pa.RecordBatch], work: Callable[[pa.Table], pa.Table], rows: int = CHUNK) -> Iterator[pa.RecordBatch]:
+    """``work`` on the frames of sorted batches, as soon as there are about ``rows`` rows of whole ones."""
+    held, many, most = [], 0, rows
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            many += batch.num_rows
+        if many >= most:
+            table = pa.Table.from_batches(held).combine_chunks()
+            cut = int(np.flatnonzero(frame_starts(table))[-1])
+            if cut:
+                yield from work(table.slice(0, cut)).to_batches()
+            # The last frame may go on in the next batch.
+            held, many = table.slice(cut).to_batches(), table.num_rows - cut
+            most = max(rows, 2 * many)
+    if held:
+        yield from work(pa.Table.from_batches(held).combine_chunks()).to_batches()
+
+
+def frame_starts(table: pa.Table) -> np.ndarray:
+    """Whether a row's frame is another than that of the row before; null is a frame."""
+    frame = table["frame"].combine_chunks()
+    none = frame.is_null().to_numpy(zero_copy_only=False)
+    start = np.ones(len(frame), dtype=bool)
+    other = pc.fill_null(pc.not_equal(frame[1:], frame[:-1]), False).to_numpy(zero_copy_only=False)
+    start[1:] = other | (none[1:] != none[:-1])
+    return start
+
+
+def _runs(table: pa.Table) -> tuple[pa.Array, np.ndarray, list[np.ndarray]]:
+    """Runs in the order of frame, colour and place: their frames, the frames' numbers, and y, x0, x1, colour."""
+    y, x, colour = (table[c].to_numpy().astype(np.int64) for c in ("y", "x", "colour"))
+    number = np.cumsum(frame_starts(table)) - 1
+    order = np.lexsort((x, y, colour, number))
+    y, x, colour, number = y[order], x[order], colour[order], number[order]
     # A pixel that is given twice continues its run.
     new = np.ones(len(x), dtype=bool)
-    new[1:] = (np.diff(colour) != 0) | (np.diff(y) != 0) | (np.diff(x) > 1)
+    new[1:] = (np.diff(number) != 0) | (np.diff(colour) != 0) | (np.diff(y) != 0) | (np.diff(x) > 1)
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(x)) - 1
-    columns = {"y": y[first], "x0": x[first], "x1": x[last], "colour": colour[first]}
-    return pd.DataFrame({"frame": pixels["frame"].to_numpy()[: len(first)], **{c: v.astype(np.int32) for c, v in columns.items()}})
+    frame = table["frame"].combine_chunks().take(pa.array(order[first]))
+    return frame, number[first], [y[first], x[first], x[last], colour[first]]
+
+
+def _run_table(frame: pa.Array, runs: list[np.ndarray], **more: np.ndarray) -> pa.Table:
+    columns = {c: pa.array(v.astype(np.int32)) for c, v in zip(("y", "x0", "x1", "colour"), runs)}
+    return pa.table({"frame": frame, **columns, **{c: pa.array(v) for c, v in more.items()}})
 
 
 def colour_runs(coloured: DataFrame) -> DataFrame:
@@ -46,8 +93,13 @@ def colour_runs(coloured: DataFrame) -> DataFrame:
     Pixels without a place or a colour belong to no run; a pixel that is given twice
     counts once.
     """
+
+    def work(table: pa.Table) -> pa.Table:
+        frame, _, runs = _runs(table)
+        return _run_table(frame, runs)
+
     kind = coloured.schema["frame"].dataType.simpleString()
-    return _dealt(coloured).groupBy("frame").applyInPandas(_frame_runs, f"frame {kind}, y int, x0 int, x1 int, colour int")
+    return by_frames(_dealt(coloured), work, f"frame {kind}, y int, x0 int, x1 int, colour int")
 
 
 def contract(y: np.ndarray, x0: np.ndarray, x1: np.ndarray, colour: np.ndarray) -> np.ndarray:
@@ -90,18 +142,21 @@ def contract(y: np.ndarray, x0: np.ndarray, x1: np.ndarray, colour: np.ndarray)
     return out
 
 
-def _frame_components(pixels: pd.DataFrame) -> pd.DataFrame:
-    runs = _frame_runs(pixels)
-    x0, x1 = runs["x0"].to_numpy(), runs["x1"].to_numpy()
-    label = contract(runs["y"].to_numpy(), x0, x1, runs["colour"].to_numpy())
+def _components(table: pa.Table) -> pa.Table:
+    frame, number, (y, x0, x1, colour) = _runs(table)
+    # Pixel rows of all frames and colours below one another, with a free one between any that are not neighbours.
+    same = (np.diff(number) == 0) & (np.diff(colour) == 0)
+    down = np.where(same, np.minimum(np.diff(y), 2), 2)
+    label = contract(np.concatenate([[0], np.cumsum(down)]), x0, x1, np.zeros(len(y), dtype=np.int64))
     size = np.bincount(label, weights=x1 - x0 + 1, minlength=1).astype(np.int64)
-    return runs.assign(component=label.astype(np.int32), size=size[label])
+    component = label - np.searchsorted(number, number)
+    return _run_table(frame, [y, x0, x1, colour], component=component.astype(np.int32), size=size[label])
 
 
 def same_colour_components(coloured: DataFrame) -> DataFrame:
     """Runs with their four-neighbour component (numbered within the frame) and its pixels: (frame, y, x0, x1, colour, component, size)."""
     kind = coloured.schema["frame"].dataType.simpleString()
-    return _dealt(coloured).groupBy("frame").applyInPandas(_frame_components, f"frame {kind}, {RUN_COLUMNS}")
+    return by_frames(_dealt(coloured), _components, f"frame {kind}, {RUN_COLUMNS}")
 
 
 def drop_specks(coloured: DataFrame, geo: DataFrame, least: float = 8.0, share: float = 0.004) -> DataFrame:
