@@ -45,9 +45,9 @@ def labels(points, px, votes, clamp):
 def test_steps_of_lanes_equal_joined_samples(spark):
     px, geo = scene(spark)
     offsets = [-0.085 + 0.17 * i / 14 for i in range(15)]
-    dealt = B._strips_dealt(geo, px, W, H, 0.008, 0.94, 0.012, core=True)
+    dealt = B._strips_dealt(geo, px, W, H)
     out = K.by_frames(
-        dealt, lambda t: B._lane_table(t, B._strip_labels(t, W, H, 0.012, offsets, 7, True)),
+        dealt, lambda t: B._lane_table(t, B._strip_labels(t, W, H, 0.008, 0.94, 0.012, offsets, 7, True)),
         "frame long, lane int, steps array<struct<j:int,radius:double,colour:int>>",
     )
     got = {(r.frame, r.lane, s.j, s.radius): s.colour for r in out.collect() if r.frame is not None for s in r.steps}
